@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from probelake.llm import packing, secrets, simhash, token_counts, transport_stream, url_filter
+from pyspark.sql import functions as F
+
+from probelake.llm import decontaminate, licenses, packing, quality, secrets, simhash, token_counts, toxicity, transport_stream, url_filter
 from probelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +25,26 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no path; source and language stand for directories."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return licenses.scan(docs)
+
+
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels have two categories: poor (quality 0), then toxic."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.lit(1) - F.col("quality")).alias("poor"), "toxic")
+    return toxicity.classify(table(spark, sf_dir, "documents"), labels, ["poor", "toxic"])
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +70,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_licenses": op1_licenses,
+    "op2_importance_resampling": op2_importance_resampling,
+    "op3_toxicity": op3_toxicity,
+    "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op6_transport_stream": op6_transport_stream,
     "op7_packing": op7_packing,
