@@ -56,10 +56,11 @@ def buckets(text: str | None, n: int = BUCKETS) -> np.ndarray:
 
 
 def labelled_sample(labels: DataFrame, column: str, id_col: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, label (the greatest of repeated ones): at most ``most`` rows."""
+    """doc_id, label (the greatest of repeated ones), held (is it left for the cut?): at most ``most`` rows."""
     return (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).dropna()
         .groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
+        .withColumn("held", (F.col("label") != 1) | (F.xxhash64(F.lit(SEED + 1), "doc_id") % 2 == 0))
     )
 
 
@@ -71,10 +72,10 @@ def _counts(n: int) -> tuple:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS).to_pydict()
-                for text, label in zip(part["text"], part["label"], strict=True):
+                for text, held in zip(part["text"], part["held"], strict=True):
                     c = np.bincount(buckets(text, n), minlength=n)
                     total[0] += c
-                    if label == 1:
+                    if held is False:
                         total[1] += c
         for k in (0, 1):
             own = np.flatnonzero(total[k])
@@ -84,9 +85,9 @@ def _counts(n: int) -> tuple:
 
 
 def log_ratio(docs: DataFrame, n: int = BUCKETS) -> np.ndarray:
-    """Log of target over raw probability by bucket, with one added to each count. ``docs``: text, label."""
+    """Log of target over raw probability by bucket, with one added to each count. ``docs``: text, held (false: target)."""
     run, kind = _counts(n)
-    rows = docs.select("text", "label").mapInArrow(run, kind).groupBy("target", "bucket").agg(F.sum("n").alias("n")).collect()  # 2 * n rows at most
+    rows = docs.select("text", "held").mapInArrow(run, kind).groupBy("target", "bucket").agg(F.sum("n").alias("n")).collect()  # 2 * n rows at most
     c = np.ones((2, n))
     for r in rows:
         c[int(r.target), r.bucket] += r.n
@@ -142,7 +143,7 @@ def best_cut(keys: np.ndarray, labels: np.ndarray) -> float:
 
 
 def weights(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, label (of the sample, else null), n_grams, log_weight, key: a row for each row."""
+    """doc_id, label (of the sample's rows that the models have not seen, else null), n_grams, log_weight, key: a row for each row."""
     sample = F.broadcast(labelled_sample(labels, label_col, most=most))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id", "left")
     ratio = log_ratio(rows)
@@ -157,7 +158,7 @@ def weights(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_c
                     [part.column("doc_id"), part.column("label"), pa.array([len(b) for b in found], pa.int64()), pa.array([float(ratio[b].sum()) for b in found], pa.float64())], schema=schema
                 )
 
-    scored = rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label int, n_grams bigint, log_weight double")
+    scored = rows.select("doc_id", F.when(F.col("held"), F.col("label")).alias("label"), "text").mapInArrow(run, "doc_id bigint, label int, n_grams bigint, log_weight double")
     return scored.withColumn("key", F.col("log_weight") + gumbel("doc_id"))
 
 
