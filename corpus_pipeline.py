@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that each call one training-data operator."""
+"""The corpus pipeline: stages that each call one training-data operator.
+
+Decisions go by doc_id, so a document without an id cannot be kept and goes in the first
+stage; null texts are empty ones to every stage. Of rows with one id, near-dedup keeps one.
+"""
 
 from __future__ import annotations
 
