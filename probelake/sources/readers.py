@@ -30,13 +30,13 @@ def observations(raw: DataFrame, msm_id, day) -> DataFrame:
 
 
 def read_measurements(spark: SparkSession, path: str, msm_id: int, day: str) -> tuple[DataFrame, DataFrame]:
-    """(observations, quarantined texts) of JSON files that hold an array of objects each.
+    """(observations, quarantined rows) of JSON files that hold an array of objects each.
 
     Only the columns of ``RAW_SCHEMA`` are parsed. Objects or files that are no JSON are
-    kept as they are for inspection, never deleted.
+    kept in ``_corrupt_record`` for inspection, never deleted.
     """
     raw = spark.read.schema(f"{S.RAW_SCHEMA}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return observations(raw.filter("_corrupt_record is null").drop("_corrupt_record"), msm_id, day), raw.filter("_corrupt_record is not null").select("_corrupt_record")
+    return observations(raw.filter("_corrupt_record is null").drop("_corrupt_record"), msm_id, day), raw.filter("_corrupt_record is not null")
 
 
 def parse_lines(lines: DataFrame, column: str, msm_id: int, day: str) -> DataFrame:
