@@ -85,3 +85,13 @@ def dimension_reports(enriched: DataFrame, prefix: str) -> DataFrame:
     top = ranking.ranked_top(counts, "asn", "n", ranking.TOP_ASNS)
     rows = ranking.top_semi_join(enriched, candidates, top, "asn", within)
     return cube.cube(rows, F.col("held_values"), "prb_id", 1, extra=["asn"])
+
+
+def run_days(spark: SparkSession, until: date, observations: str, snapshots: str, timelines: str, first: date = FIRST_DAY) -> list[date]:
+    """All days that have no snapshot yet, before ``until``, in order."""
+    done, day = [], next_day(spark, snapshots, first)
+    while day < until:
+        run_day(spark, day, observations, snapshots, timelines)
+        done.append(day)
+        day += timedelta(days=1)
+    return done

@@ -497,3 +497,77 @@ def address_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = addresses.address_bytes(F.col("text"))
     subnet = F.concat("text", F.lit("/"), (F.col("o_orderkey") % 33).cast("string"))
     return rows.withColumn("text", text).select("o_orderkey", "text", F.hex(full).alias("mapped"), addresses.v4_number(F.substring(full, 13, 4)).alias("number"), addresses.trailing_number(subnet).alias("mask"))
+
+
+# --- dimensions --------------------------------------------------------------
+
+
+@query("""
+SELECT s_suppkey, (s_suppkey * 2654435761) % 4294967296 // (CAST(1 AS BIGINT) << 8) * (CAST(1 AS BIGINT) << 8) AS network, 24 AS masklen, CAST(64500 + s_suppkey AS INTEGER) AS asn
+FROM supplier WHERE s_suppkey % 5 <> 0""")
+def prefix_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix text with one or several origins (the first counts); rows without a number are no prefixes."""
+    n = netjoin.network((F.col("s_suppkey") * 2654435761) % (1 << 32), F.lit(24))
+    asn = F.when(F.col("s_suppkey") % 5 == 0, "none").otherwise(F.concat((F.lit(64500) + F.col("s_suppkey")).cast("string"), F.when(F.col("s_suppkey") % 2 == 0, "_1,2").otherwise("")))
+    text = _table(spark, sf_dir, "supplier").select(addresses.v4_text(addresses.number_v4(n)).alias("prefix"), F.lit(24).alias("masklen"), asn.alias("asn"))
+    four, _ = readers.prefixes(text)
+    return four.select((F.col("asn") - 64500).cast("long").alias("s_suppkey"), "network", "masklen", "asn")
+
+
+@query("""
+SELECT c_custkey AS prb_id, CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE CAST(c_custkey % 1000 AS INTEGER) END AS asn_v4, CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE CAST(c_custkey % 900 AS INTEGER) END AS asn_v6
+FROM customer WHERE c_custkey % 12 <> 0""")
+def probe_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    none = F.lit(None)
+    raw = _table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.when(k % 3 != 0, (k % 1000).cast("int")).alias("asn_v4"), F.when(k % 4 != 0, (k % 900).cast("int")).alias("asn_v6"),
+        none.cast("double").alias("latitude"), none.cast("double").alias("longitude"), none.cast("string").alias("country_code"),
+    )
+    return readers.probes(raw).select("prb_id", "asn_v4", "asn_v6")
+
+
+@query("SELECT 'AS' || n_nationkey AS asn, 'N' || n_regionkey AS handle, n_name AS name FROM nation")
+def asn_name_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in the lines of a page's preformatted block, a page for each region."""
+    line = F.concat(F.lit("AS"), "n_nationkey", F.lit("  N"), "n_regionkey", F.lit(" - "), "n_name")
+    pages = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.collect_list(line), "<br />\n").alias("lines"))  # a nation's line each
+    return readers.asn_names(pages.select(F.concat(F.lit("<html><pre>"), "lines", F.lit("</pre></html>")).alias("html")), "html")
+
+
+@query("""
+WITH c AS (SELECT user_id % 10 AS sel, CAST(ts AS DATE) AS day, event_type AS value, count(*) AS n, count(DISTINCT user_id) AS n_prbs FROM events GROUP BY ALL)
+SELECT day, CAST(sel AS VARCHAR) AS selection, CAST(max(n) FILTER (value = 'click') AS VARCHAR) AS can_tcp, CAST(coalesce(max(n_prbs) FILTER (value = 'click'), 0) AS VARCHAR) AS can_tcp_prbs, '0' AS can_gost, sum(n) AS resolvers
+FROM c GROUP BY ALL HAVING can_tcp IS NOT NULL""")
+def wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of 965 columns from long tables; some of its columns."""
+    from probelake.sources import sinks
+
+    key = [F.to_date("ts").alias("day"), (F.col("user_id") % 10).cast("string").alias("selection")]
+    values = _events(spark, sf_dir).groupBy(*key, F.when(F.col("event_type") == "click", "can_tcp").otherwise(F.concat(F.lit("other_"), "event_type")).alias("value")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_prbs"))
+    base = values.groupBy("day", "selection").agg(F.sum("n").alias("n_resolvers"), F.sum("n_prbs").alias("n_probes")).withColumn("datetime", F.lit(""))
+    masks = spark.createDataFrame([], "day date, selection string, family string, rank int, mask string, n long")
+    bands = spark.createDataFrame([], "day date, selection string, dim string, band int, total long, label string")
+    wide = sinks.wide_report(base, values, masks, bands)
+    return wide.filter("can_tcp <> '0'").select("day", "selection", "can_tcp", "can_tcp_prbs", "can_gost", F.col("# resolvers").alias("resolvers"))
+
+
+@query("""
+SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS text, date_trunc('second', ts) AS back, CAST(ts AS DATE) = DATE '2024-01-07' AS on_day FROM events""")
+def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTC times to text and back, and the same-day test."""
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _events(spark, sf_dir).withColumn("text", text).select("event_id", "text", F.to_timestamp("text", "yyyy-MM-dd'T'HH:mm:ssX").cast("timestamp_ntz").alias("back"), (F.to_date("ts") == F.lit("2024-01-07").cast("date")).alias("on_day"))
+
+
+@query("""
+WITH h AS (SELECT event_id, user_id, CAST(ts AS DATE) AS dt, 'h' || (event_id % 7) AS a, 'h' || (event_id % 5) AS b FROM events),
+x AS (SELECT DISTINCT dt, user_id, unnest([a, b]) AS ip FROM h)
+SELECT CAST(substr(ip, 2) AS INTEGER) AS asn, user_id AS prb_id, max(dt) AS dt FROM x WHERE ip <> 'h0' GROUP BY ALL""")
+def rewrites_by_asn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last rewrite of each network and entity; networks that are not routed (0) do not count."""
+    e = F.col("event_id")
+    slots = F.array(F.concat(F.lit("h"), e % 7), F.concat(F.lit("h"), e % 5))
+    timeline = _events(spark, sf_dir).select(F.to_date("ts").alias("dt"), F.col("user_id").alias("prb_id"), F.lit("r").alias("resolver"), slots.alias("hijacked"))
+    asns = spark.range(7).select(F.concat(F.lit("h"), "id").alias("ip"), F.col("id").cast("int").alias("asn"))
+    return history.rewrites(timeline, asns)["by_asn"].select("asn", "prb_id", "dt")
