@@ -88,7 +88,10 @@ def flatten_v4(prefixes: DataFrame, order: str | None = None) -> DataFrame:
     pieces = cuts.withColumn("block", block).withColumn("till", F.lead("at").over(Window.partitionBy("block").orderBy("at"))).withColumn("till", F.coalesce("till", (F.col("block") + 1) * (1 << 24)))
     pieces = pieces.filter(F.col("at") < (1 << 32)).select(F.col("at").alias("from"), "till", "block")
     found = pieces.join(lpm_v4(pieces.select(F.col("from").alias("ip")), prefixes, "ip", order), F.col("from") == F.col("ip")).drop("ip").filter("asn <> 0")
-    return merge_ranges(merge_ranges(found, ["block"]).drop("block"), [])
+    merged = merge_ranges(found, ["block"]).drop("block")
+    # At most two ranges of a window touch its borders, so few rows are left for one task.
+    touches = (F.col("from") % (1 << 24) == 0) | (F.col("till") % (1 << 24) == 0)
+    return merged.filter(~touches).unionByName(merge_ranges(merged.filter(touches), []))
 
 
 def merge_ranges(ranges: DataFrame, within: list[str]) -> DataFrame:

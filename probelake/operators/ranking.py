@@ -61,8 +61,8 @@ def top_semi_join(rows: DataFrame, candidates: Column, top: DataFrame, item: str
     row = rows.withColumn("candidates", F.array_distinct(F.array_compact(candidates)))
     if within is None:
         return row.withColumn(item, F.explode("candidates")).drop("candidates").join(F.broadcast(top), item)
-    # The bounded list of top items is carried into every row, in rank order.
-    listed = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item))), lambda x: F.struct(x["rank"].alias("rank"), x[item].alias(item))).alias("listed"))
+    # The bounded list of top items goes into every row as a literal, in rank order.
+    listed = F.array(*[F.struct(F.lit(r["rank"]).alias("rank"), F.lit(r[item]).alias(item)) for r in sorted(top.select("rank", item).collect(), key=lambda r: r["rank"])])
     different = F.size(F.filter("candidates", lambda x: x != within))
-    matched = F.slice(F.filter("listed", lambda t: F.array_contains(F.col("candidates"), t[item])), 1, F.greatest(different, F.lit(1)))
-    return row.crossJoin(F.broadcast(listed)).filter(different > 0).withColumn("m", F.explode(matched)).withColumns({item: F.col(f"m.{item}"), "rank": F.col("m.rank")}).drop("m", "listed", "candidates")
+    matched = F.slice(F.filter(listed, lambda t: F.array_contains(F.col("candidates"), t[item])), 1, F.greatest(different, F.lit(1)))
+    return row.filter(different > 0).withColumn("m", F.explode(matched)).withColumns({item: F.col(f"m.{item}"), "rank": F.col("m.rank")}).drop("m", "candidates")
