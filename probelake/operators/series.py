@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Properties: fixed values, (name, values that make it up).
 from probelake.functions.schema import CAPABILITIES
 
-PROPERTIES = [(key, names) for key, names in CAPABILITIES]
+#: Properties: (name, values that make it up).
+PROPERTIES = list(CAPABILITIES)
 
 
 def trim(series: DataFrame, by: list[str], day: str, value: str) -> DataFrame:

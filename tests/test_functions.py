@@ -1,4 +1,3 @@
-import base64
 import ipaddress
 import random
 import struct
