@@ -19,7 +19,6 @@ discoveries over all candidates of the whole table.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 
