@@ -261,7 +261,7 @@ def assign(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .drop("n")
     )
     ranked = (
-        salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "piece")) - 1)
+        salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy(*[c for c in ("doc_id", "piece", "ids_crc32") if c in columns])) - 1)
         .join(before, ["length", "share"])
         .withColumn("rank", F.col("rank") + F.col("before"))
     )
