@@ -36,9 +36,9 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels have two categories: poor (quality 0), then toxic."""
+    """The labels have two categories: poor (quality 0), then toxic, whose verdict is the result."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.lit(1) - F.col("quality")).alias("poor"), "toxic")
-    return toxicity.classify(table(spark, sf_dir, "documents"), labels, ["poor", "toxic"])
+    return toxicity.classify(table(spark, sf_dir, "documents"), labels, ["poor", "toxic"]).select("doc_id", "toxic", "p_toxic", "p_poor")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,32 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
 }
 
+_NOTICES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(sorted(licenses.TEMPLATES)))
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": f"""
+        WITH t(k, name, text) AS (VALUES {_NOTICES}),
+        tw AS (SELECT k, name, w, count(*) AS n FROM (SELECT k, name, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM t) GROUP BY ALL),
+        d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS text FROM documents),
+        total AS (SELECT count(*) AS docs, ln(1 + count(*)) + 1 AS other FROM d),
+        df AS (SELECT w, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM d) WHERE w IN (SELECT w FROM tw) GROUP BY w),
+        idf AS (SELECT w, ln((1 + docs) / (1 + coalesce(c, 0))) + 1 AS v FROM (SELECT DISTINCT w FROM tw) LEFT JOIN df USING (w), total),
+        tn AS (SELECT k, sqrt(sum((n * v) ** 2)) AS norm FROM tw JOIN idf USING (w) GROUP BY k),
+        weight AS (SELECT k, name, w, v * n * v / norm AS x FROM tw JOIN idf USING (w) JOIN tn USING (k)),
+        line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+        unit AS (SELECT doc_id, 0.8 AS least, i, text FROM line UNION ALL SELECT doc_id, 0.5, -1, text FROM d),
+        tf AS (SELECT doc_id, least, i, w, count(*) AS n FROM (SELECT doc_id, least, i, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM unit) GROUP BY ALL),
+        sq AS (SELECT doc_id, i, sum(CASE WHEN v IS NULL THEN other ** 2 ELSE (n * v) ** 2 END) AS q FROM tf LEFT JOIN idf USING (w), total GROUP BY ALL),
+        scored AS (SELECT doc_id, least, i, k, name, round(sum(n * x) / sqrt(any_value(q)), 6) AS score FROM tf JOIN weight USING (w) JOIN sq USING (doc_id, i) GROUP BY ALL),
+        best AS (SELECT doc_id, i, arg_max(name, (score, -k)) AS name, max(score) AS score, arg_max(k, (score, -k)) AS k FROM scored WHERE score >= least GROUP BY doc_id, i),
+        own AS (SELECT doc_id, arg_max(name, (score, -k)) AS license, max(score) AS score, max(name) FILTER (i = -1) AS file, string_agg(DISTINCT name, ',' ORDER BY name) FILTER (i >= 0) AS notices FROM best GROUP BY doc_id),
+        dirs AS (SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM d),
+        held AS (SELECT dir AS directory, arg_min(file, (-n, file)) AS dir_license FROM (SELECT dir, file, count(*) AS n FROM own JOIN dirs USING (doc_id) WHERE file IS NOT NULL GROUP BY ALL) GROUP BY dir),
+        up AS (SELECT DISTINCT dir, unnest(['', split_part(dir, '/', 1), dir]) AS directory FROM dirs),
+        near AS (SELECT dir, arg_max(directory, length(directory)) AS directory, arg_max(dir_license, length(directory)) AS dir_license FROM up JOIN held USING (directory) GROUP BY dir)
+        SELECT doc_id, path, coalesce(license, dir_license) AS license, score, CASE WHEN license IS NOT NULL THEN 'notice' WHEN dir_license IS NOT NULL THEN 'inherited' END AS origin,
+               CASE WHEN license IS NULL THEN directory END AS directory, coalesce(notices, '') AS notices
+        FROM dirs LEFT JOIN own USING (doc_id) LEFT JOIN near USING (dir)""",
     "op10_url_filter": r"""
         WITH u AS (
           SELECT page_id,
