@@ -33,7 +33,7 @@ CAPACITY = 2048
 #: (share of the capacity over which a length is large, groups), tried in turn until no plan can have fewer sequences.
 TRIALS = ((1 / 2, 48), (1 / 3, 48), (1 / 4, 96), (1 / 8, 96))
 #: Pieces of a length that one rank window holds, about.
-RANK_ROWS = 20_000
+RANK_ROWS = 1000
 MAX_PLAN = 1_000_000
 
 
@@ -252,9 +252,9 @@ def assign(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = items.sparkSession
     where = spark.createDataFrame(rows, "length long, lo long, hi long, first long, times long, place long")
     # Rank among equal lengths: within a share of them, plus the shares before.
-    shares = 1 + max(histogram.values(), default=0) // RANK_ROWS
+    shares = spark.createDataFrame([(s, 1 + n // RANK_ROWS) for s, n in histogram.items()], "length long, shares long")
     columns = items.columns
-    salted = items.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)))
+    salted = items.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shares"))).drop("shares")
     before = (
         salted.groupBy("length", "share").agg(F.count("*").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
