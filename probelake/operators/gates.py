@@ -22,10 +22,12 @@ def disorder(rows: DataFrame, by: list[str], seq: str, time: str) -> DataFrame:
     return rows.withColumn("before", F.lag(time).over(order)).groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(F.col("before") > F.col(time)).alias("back"))
 
 
-def missing_days(existing: DataFrame, day: str, first: Column, last: Column) -> DataFrame:
-    """Days from ``first`` to ``last`` that are not among the existing ones."""
-    calendar = existing.sparkSession.range(1).select(F.explode(F.sequence(first.cast("date"), last.cast("date"))).alias(day))
-    return calendar.join(existing.select(F.col(day).cast("date").alias(day)).distinct(), day, "left_anti")
+def missing_days(existing: DataFrame, day: str, first: Column, last: Column, by: list[str] | None = None) -> DataFrame:
+    """Days from ``first`` to ``last`` that are not among the existing ones, for each value of ``by`` if given."""
+    by = by or []
+    keys = existing.select(*by).distinct() if by else existing.sparkSession.range(1)
+    calendar = keys.select(*by, F.explode(F.sequence(first.cast("date"), last.cast("date"))).alias(day))
+    return calendar.join(existing.select(*by, F.col(day).cast("date").alias(day)).distinct(), [*by, day], "left_anti")
 
 
 def newest_missing(existing: DataFrame, day: str, first: Column, last: Column) -> DataFrame:

@@ -397,6 +397,16 @@ def missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.missing_days(orders.filter("o_custkey % 50 = 0"), "day", F.lit(first), F.lit(last))
 
 
+@query("""
+WITH o AS (SELECT o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT priority, CAST(g AS DATE) AS day FROM (SELECT min(day) AS a, max(day) AS b FROM o), (SELECT DISTINCT priority FROM o), generate_series(a, b, INTERVAL 1 DAY) t(g) WHERE (priority, CAST(g AS DATE)) NOT IN (SELECT (priority, day) FROM o)""")
+def missing_days_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days without an order of a priority, over all orders."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.to_date("o_orderdate").alias("day"))
+    first, last = orders.agg(F.min("day"), F.max("day")).first()
+    return gates.missing_days(orders, "day", F.lit(first), F.lit(last), ["priority"])
+
+
 @query("""
 WITH d AS (SELECT max(CAST(ts AS DATE)) AS last FROM events)
 SELECT user_id, event_type, max(ts) AS dt FROM events, d GROUP BY ALL HAVING max(ts) >= max(last) - INTERVAL 10 DAY""")
