@@ -5,9 +5,12 @@ the patterns' spans. Each gets an inferred encoding, the smallest alphabet that
 Three tests look at how far it lies from ordinary words, whose letters are uneven and
 whose vowels and consonants alternate:
 
-* chi-squared of the letters against a uniform alphabet (low for random strings),
-* runs of the lower and upper half of the alphabet (as many as chance makes),
-* serial correlation of neighbouring letters (near zero).
+* the sum of squares of the letters' shares against that of ordinary text (low for random strings),
+* runs of digits, upper and lower case (as many as chance makes; p = 1 for one class alone),
+* serial correlation of a vowel indicator (near zero; p = 1 without vowels).
+
+The tests do not look at positions in the inferred alphabet; random strings of one class
+are mostly missed (see the README).
 
 For each a p-value is computed under the null "an ordinary string of this length": the
 distance of the chi-squared value from what the ordinary letters' distribution makes at
