@@ -11,22 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: what the cluster names, else a temporary one (single machine)."""
+    """The shared folder that the session names. Only a local session may go without: it gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back, so that no later failure recomputes it."""
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stage_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet under the shared folder and read it back, so that no later failure recomputes it; and where it is."""
     spark = df.sparkSession
     out = f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(out)
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(out)
+    path, system = _path(spark, out)
+    system.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(out), out
+
+
+def stage(df: DataFrame, tag: str) -> DataFrame:
+    return stage_at(df, tag)[0]
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    path, system = _path(spark, at)
+    system.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

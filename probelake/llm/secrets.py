@@ -1,118 +1,255 @@
 """Secret scans: patterns, and a battery of randomness tests with false-discovery control.
 
 Candidates of the battery are maximal runs of 20 or more of ``A-Za-z0-9+/_=-`` outside
-the patterns' spans. Each gets an inferred encoding, the smallest alphabet that holds it.
-Three tests look at how far it lies from ordinary words, whose letters are uneven and
-whose vowels and consonants alternate:
-
-* the sum of squares of the letters' shares against that of ordinary text (low for random strings),
-* runs of digits, upper and lower case (as many as chance makes; p = 1 for one class alone),
-* serial correlation of a vowel indicator (near zero; p = 1 without vowels).
-
-The tests do not look at positions in the inferred alphabet; random strings of one class
-are mostly missed (see the README).
-
-For each a p-value is computed under the null "an ordinary string of this length": the
-distance of the chi-squared value from what the ordinary letters' distribution makes at
-this length, and the probability under that null of coming as close to chance in runs
-and correlation. They are joined by Fisher's method. Benjamini-Hochberg with weights by
-length (long candidates have power, short ones have little) then controls the false
-discoveries over all candidates of the whole table.
+the patterns' spans. Each gets an inferred encoding, the smallest alphabet that holds it
+(trailing ``=`` is padding), and is judged twice by the positions in that alphabet:
+
+* Is it random? Chi-squared of the letters' counts against a uniform alphabet, the runs above
+  and below the alphabet's middle, and the serial correlation of neighbours, each with its
+  p-value under letters that are all alike and independent, joined by Fisher's method. A
+  string with less than ``LEAST_RANDOM`` is no candidate for a secret (p = 1).
+* Is it ordinary? Chi-squared of the counts against the shares of the letters in the corpus'
+  own words (all documents; numbers for digits, words in capitals for capitals, words with
+  a first capital joined for mixed case), with the variance that words have beyond
+  independent letters, measured over pieces of ``PIECE`` letters.
+
+Benjamini-Hochberg over the second p-value, with weights in proportion to the length (mean
+one over all candidates), controls the false discoveries over the whole table at ``RATE``.
+
+An alphabet of which the corpus has fewer than ``LEAST_PIECES`` ordinary pieces has no null:
+nothing in it is found.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probelake.llm.common import arrow_rows, stage
+from probelake.llm.common import ROWS, arrow_rows, stage
 
 #: Fixed patterns: kind, pattern, group whose length counts, least length.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones need no match
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 _WORDS = ("passw", "secret", "token", "api")
 
-#: Alphabets from small to large; the first that holds a string is its encoding.
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Alphabets from small to large, and the ordinary text that each is held against; the first that holds a string is its encoding.
 ENCODINGS = (
-    ("decimal", "0123456789"),
-    ("hex", "0123456789abcdef"),
-    ("hex_upper", "0123456789ABCDEF"),
-    ("lower", "abcdefghijklmnopqrstuvwxyz"),
-    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("base36_upper", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="),
+    ("decimal", _DIGITS, "numbers"),
+    ("hex", _DIGITS + "abcdef", "hex words"),
+    ("hex_upper", _DIGITS + "ABCDEF", "hex words"),
+    ("lower", _LOWER, "words"),
+    ("upper", _UPPER, "words"),
+    ("base32", _UPPER + "234567", "words"),
+    ("base36", _DIGITS + _LOWER, "words"),
+    ("base36_upper", _DIGITS + _UPPER, "words"),
+    ("base62", _DIGITS + _UPPER + _LOWER, "names"),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/-_", "names"),
 )
-_SETS = [(name, set(letters), {c: i for i, c in enumerate(letters)}) for name, letters in ENCODINGS]
-#: The sum of squares of letter shares in ordinary text; a uniform alphabet of 26 has 0.038.
-ORDINARY_SQUARES, ORDINARY_CUBES = 0.066, 0.0059
-#: Share of false ones among the found, and lengths from which a candidate weighs more.
-RATE, WEIGHTS = 0.01, ((20, 0.25), (28, 1.0), (40, 2.0), (64, 3.0))
-#: Steps of -log10 p in the table over which the threshold is found.
-STEPS, DEEP = 20, 300
+_SETS = [(name, set(letters), {c: i for i, c in enumerate(letters)}) for name, letters, _ in ENCODINGS]
+#: Ordinary texts and their letters: words of these letters alone; ``names`` are words with a first capital, the others are in lower case.
+ORDINARY = (("numbers", _DIGITS), ("hex words", _DIGITS + "abcdef"), ("words", _DIGITS + _LOWER), ("names", _UPPER + _LOWER + _DIGITS + "+/-_"))
+PIECE, LEAST_PIECES = 32, 100
+#: Share of false ones among the found, and of random strings that the tests against chance may lose.
+RATE, LEAST_RANDOM = 0.01, 0.01
 
 
-def encoding(s: str) -> tuple[str, dict[str, int]]:
+def encoding(s: str) -> tuple[str, dict[str, int]] | None:
+    """Name and positions of the smallest alphabet; None if none holds the string."""
     letters = set(s)
     for name, alphabet, index in _SETS:
         if letters <= alphabet:
             return name, index
-    raise ValueError(s)
+    return None
 
 
-def _below(z: float) -> float:
-    return 0.5 * math.erfc(-z / math.sqrt(2))
+def chi_squared_tail(x: float, df: int) -> float:
+    """The probability of a chi-squared variable of ``df`` degrees of freedom to exceed ``x``."""
+    h = max(x, 0.0) / 2
+    if df % 2:
+        out, term, j = math.erfc(math.sqrt(h)), 2 * math.sqrt(h / math.pi) * math.exp(-h), 1.5
+    else:
+        out, term, j = 0.0, math.exp(-h), 1.0
+    for _ in range(df // 2):
+        out += term
+        term *= h / j
+        j += 1
+    return min(out, 1.0)
 
 
-def battery(s: str) -> tuple[str, float]:
-    """The encoding and -log10 of the joint p-value that an ordinary string looks as random as ``s``."""
-    name, index = encoding(s)
-    v = np.fromiter((index[c] for c in s), np.int64, len(s))
-    n, k = len(v), len(index)
+def fisher(ps: list[float]) -> float:
+    return chi_squared_tail(-2 * sum(math.log(max(p, 1e-300)) for p in ps), 2 * len(ps))
+
+
+def _two_sided(z: float) -> float:
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def chance(v: np.ndarray, k: int) -> tuple[float, float, float]:
+    """p-values of chi-squared, runs and serial correlation of positions against ``k`` letters that are all alike and independent."""
+    n = len(v)
     counts = np.bincount(v, minlength=k)
-    # Chi-squared: n * k * (sum of squares of shares) - n. Under the ordinary null the expected sum
-    # of squares is that of ordinary text, or what words leave of a larger alphabet.
-    squares = float((counts * (counts - 1)).sum()) / (n * (n - 1))
-    sd = math.sqrt(max(4 * (ORDINARY_CUBES - ORDINARY_SQUARES**2) / n + 2 * ORDINARY_SQUARES / (n * (n - 1)), 1e-9))
-    if k <= 16:  # digits: ordinary strings repeat and count up; three tenths of the mass on one digit
-        base, sd = 0.16, math.sqrt(4 * 0.02 / n + 0.32 / (n * (n - 1)))
-    else:
-        base = ORDINARY_SQUARES
-    p_chi = max(_below((squares - base) / sd), 1e-12)
-    # Runs of classes: vowels and consonants in letters alternate more than chance, case and digits less.
-    kinds = np.fromiter((2 if c.isdigit() else (1 if c.isupper() else 0) for c in s), np.int64, n)
-    changes = int((kinds[1:] != kinds[:-1]).sum())
-    mixed = len(set(kinds.tolist())) > 1
-    # Ordinary strings change class at a boundary now and then: about one in eight places.
-    p_runs = max(_below(-(changes - (n - 1) / 8) / math.sqrt((n - 1) * 7 / 64)), 1e-12) if mixed else 1.0
-    # Serial correlation: ordinary words alternate, which makes it negative in a vowel indicator.
-    vowel = np.fromiter((c in "aeiouyAEIOUY" for c in s), np.float64, n)
-    if 0 < vowel.sum() < n:
-        d = vowel - vowel.mean()
-        r = float((d[1:] * d[:-1]).sum() / (d * d).sum())
-        p_serial = max(_below(-(r + 0.3) * math.sqrt(n)), 1e-12)
-    else:
-        p_serial = 1.0
-    x = -(math.log(p_chi) + math.log(p_runs) + math.log(p_serial))
-    return name, -math.log10(max(math.exp(-x) * (1 + x + x * x / 2), 1e-300))  # Fisher, 6 degrees of freedom
+    high = v >= k / 2
+    changes = int((high[1:] != high[:-1]).sum())
+    x = (v - (k - 1) / 2) / math.sqrt((k * k - 1) / 12)
+    return (
+        chi_squared_tail(k * float((counts * counts).sum()) / n - n, k - 1),
+        _two_sided((changes - (n - 1) / 2) / math.sqrt((n - 1) / 4)),
+        _two_sided(float((x[1:] * x[:-1]).sum()) / math.sqrt(n - 1)),
+    )
 
 
-def weight(n: int) -> float:
-    out = 0.0
-    for least, w in WEIGHTS:
-        if n >= least:
-            out = w
-    return out
+class Null:
+    """Ordinary text of one alphabet."""
+
+    def __init__(self, pieces: float, second: np.ndarray):
+        """``second``: sum of the outer products of the counts of ``pieces`` pieces, for the letters of the alphabet."""
+        k = len(second)
+        counts = second.sum(axis=1) / PIECE  # a piece's counts sum to PIECE, but for letters outside the alphabet
+        self.shares = (counts + 0.5) / (counts.sum() + 0.5 * k)
+        n = counts.sum() / max(pieces, 1)
+        cells, df = self.cells(n)
+        squares = np.array([second[np.ix_(c, c)].sum() for c in cells]) / max(pieces, 1)
+        expected = n * np.array([self.shares[c].sum() for c in cells])
+        #: Correlation of the letters of a piece: counts have 1 + (n - 1) * within times the variance of independent letters.
+        self.within = max((float((squares / expected).sum()) - n) / df - 1, 0.0) / max(n - 1, 1)
+
+    def cells(self, n: float) -> tuple[list[np.ndarray], int]:
+        """Each letter that ``n`` ordinary ones hold once or more, and all others as one cell; and the degrees of freedom."""
+        often = n * self.shares >= 1
+        cells = [np.array([i]) for i in np.flatnonzero(often)]
+        if not often.all():
+            cells.append(np.flatnonzero(~often))
+        return cells, max(len(cells) - 1, 1)
+
+    def p_value(self, v: np.ndarray) -> float:
+        """The probability that ordinary text of this length is as far from ordinary."""
+        n = len(v)
+        counts = np.bincount(v, minlength=len(self.shares))
+        cells, df = self.cells(n)
+        x = sum(float(counts[c].sum()) ** 2 / (n * float(self.shares[c].sum())) for c in cells) - n
+        return chi_squared_tail(x / (1 + (n - 1) * self.within), df)
+
+
+#: For each byte: what it is in each ordinary text, and bits for those that hold it.
+_INDEX = np.zeros((len(ORDINARY), 256), np.int64)
+_HOLDS = np.zeros(256, np.uint8)
+for _n, (_name, _letters) in enumerate(ORDINARY):
+    for _i, _c in enumerate(_letters):
+        for _d in {_c} if _name == "names" else {_c, _c.upper()}:
+            _INDEX[_n, ord(_d)] = _i
+            _HOLDS[ord(_d)] |= 1 << _n
+_HOLDS[ord("=")] = 128  # part of a run, of no alphabet
+
+
+def ordinary(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the ordinary text, positions in pieces) of a text's words of fewer than ``SHORTEST`` letters, in order."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    holds = _HOLDS[b]
+    edge = np.flatnonzero(np.diff(holds != 0, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return
+    bounds = edge[:-1] if edge[-1] == len(b) else edge
+    words = np.bitwise_and.reduceat(holds, bounds)[::2]  # the texts that hold every letter of a word
+    words[ends - starts >= SHORTEST] = 0
+    size = ends - starts
+    letters = holds != 0
+    b, first = b[letters], np.cumsum(size) - size
+    mask = np.repeat(words, size)
+    for n, (name, _) in enumerate(ORDINARY):
+        own = mask >> n & 1 != 0
+        if name == "names":
+            b = b.copy()
+            lower = first[(b[first] >= 97) & (b[first] <= 122)]
+            b[lower] -= 32
+        v = _INDEX[n][b[own]]
+        full = len(v) // PIECE
+        if full:
+            yield n, v[: full * PIECE].reshape(full, PIECE)
+
+
+class Sums:
+    """Numbers of pieces, and sums of the outer products of their counts, of each ordinary text; additive."""
+
+    def __init__(self) -> None:
+        self.pieces = np.zeros(len(ORDINARY))
+        self.second = [np.zeros((len(letters), len(letters))) for _, letters in ORDINARY]
+
+    def add(self, n: int, v: np.ndarray) -> None:
+        k = len(self.second[n])
+        for at in range(0, len(v), 4096):
+            part = v[at : at + 4096]
+            counts = np.bincount((np.arange(len(part))[:, None] * k + part).ravel(), minlength=len(part) * k).reshape(-1, k).astype(np.float32)
+            self.pieces[n] += len(part)
+            self.second[n] += counts.T @ counts
+
+    def nulls(self) -> dict[str, Null]:
+        """By encoding; those without enough ordinary text are missing."""
+        out, at = {}, {name: n for n, (name, _) in enumerate(ORDINARY)}
+        for name, letters, text in ENCODINGS:
+            n = at[text]
+            if self.pieces[n] >= LEAST_PIECES:
+                own = [ORDINARY[n][1].index(c if text == "names" else c.lower()) for c in letters]
+                out[name] = Null(self.pieces[n], self.second[n][np.ix_(own, own)])
+        return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield from (t for t in batch.slice(at, ROWS).column(0).to_pylist() if t)
+
+
+def fit_nulls(docs: DataFrame, text_col: str = "text") -> dict[str, Null]:
+    """The ordinary texts of all documents; some 6,000 sums reach the driver, at any size."""
+    schema = pa.schema([("kind", pa.int32()), ("cell", pa.int32()), ("x", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, waiting = Sums(), [[] for _ in ORDINARY]
+        for text in _texts(batches):
+            for n, v in ordinary(text):
+                waiting[n].append(v)
+                if len(waiting[n]) >= 64:
+                    sums.add(n, np.concatenate(waiting[n]))
+                    waiting[n] = []
+        for n, own in enumerate(waiting):
+            if own:
+                sums.add(n, np.concatenate(own))
+            x = np.append(sums.second[n].ravel(), sums.pieces[n])
+            cell = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(cell), pa.int32()), pa.array(cell, pa.int32()), pa.array(x[cell])], schema=schema)
+
+    total = Sums()
+    flat = [np.append(s.ravel(), 0.0) for s in total.second]
+    for r in docs.select(F.col(text_col)).mapInArrow(run, "kind int, cell int, x double").groupBy("kind", "cell").agg(F.sum("x").alias("x")).collect():
+        flat[r.kind][r.cell] += r.x
+    for n, x in enumerate(flat):
+        total.pieces[n], total.second[n] = x[-1], x[:-1].reshape(total.second[n].shape)
+    return total.nulls()
+
+
+def battery(s: str, nulls: dict[str, Null]) -> tuple[str | None, float]:
+    """The encoding, and the p-value that an ordinary string is this far from ordinary: 1 if it isn't random, or nothing ordinary is known."""
+    s = s.rstrip("=")
+    found = encoding(s) if len(s) > 1 else None
+    if found is None:
+        return None, 1.0
+    name, index = found
+    v = np.fromiter((index[c] for c in s), np.int64, len(s))
+    if name not in nulls or fisher(list(chance(v, len(index)))) < LEAST_RANDOM:
+        return name, 1.0
+    return name, nulls[name].p_value(v)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -127,22 +264,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, encoding, score) of candidates that no base span touches."""
-    out = []
+def candidates(text: str, base: list[tuple[int, int, int]], nulls: dict[str, Null]) -> list[tuple[int, int, str | None, float]]:
+    """(start, end, encoding, p-value) of candidates that no base span touches."""
+    out, k = [], 0
+    reach = [e for _, _, e in base]
+    for i in range(1, len(reach)):
+        reach[i] = max(reach[i], reach[i - 1])  # spans come by start
     for m in CANDIDATE.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        name, score = battery(m.group())
-        out.append((m.start(), m.end(), name, score + math.log10(weight(m.end() - m.start()))))
+        while k < len(base) and base[k][0] < m.end():
+            k += 1
+        if not k or reach[k - 1] <= m.start():
+            out.append((m.start(), m.end(), *battery(m.group(), nulls)))
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, base spans and candidates with weighted scores, before the threshold."""
+def scan(docs: DataFrame, nulls: dict[str, Null], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, base spans and candidates with p-values, before the threshold; a row for each row."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))),
-         ("found", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("score", pa.float64())])))]
+         ("found", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("p", pa.float64())])))]
     )
 
     def run(c: dict) -> dict:
@@ -150,58 +290,73 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for t in c["text"]:
             spans = base_spans(t or "")
             base.append([dict(zip(("start", "kind", "end"), s, strict=True)) for s in spans])
-            found.append([dict(zip(("start", "end", "encoding", "score"), x, strict=True)) for x in candidates(t or "", spans)])
+            found.append([dict(zip(("start", "end", "encoding", "p"), x, strict=True)) for x in candidates(t or "", spans, nulls)])
         return {"doc_id": c["doc_id"], "base": base, "found": found}
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        arrow_rows(run, schema), "doc_id bigint, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,encoding:string,score:double>>"
+        arrow_rows(run, schema), "doc_id bigint, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,encoding:string,p:double>>"
     )
 
 
 def threshold(scanned: DataFrame, rate: float = RATE) -> float:
-    """The least weighted score that Benjamini-Hochberg accepts over all candidates; infinite if none is.
+    """The greatest p-value per unit of length that weighted Benjamini-Hochberg accepts; -1 if none is.
 
-    The scores are counted in steps of 1/20 decade, at most 6,000 rows for the driver.
+    A candidate's weight is its length over the mean length of all candidates. The greatest
+    level t with at least m * t / ``rate`` weighted p-values up to t is found by counting
+    from above, exactly: each count gives the next level, until it stays.
     """
-    step = F.least(F.greatest(F.floor(F.col("x.score") * STEPS), F.lit(-2 * STEPS)), F.lit(DEEP * STEPS))
-    rows = scanned.select(F.explode("found").alias("x")).groupBy(step.alias("k")).count().collect()
-    total, passed, best = sum(r["count"] for r in rows), 0, math.inf
-    for r in sorted(rows, key=lambda r: -r.k):
-        passed += r["count"]
-        if total * 10 ** (-r.k / STEPS) <= rate * passed:
-            best = r.k / STEPS
-    return best
+    each = scanned.select(F.explode("found").alias("x")).select((F.col("x.end") - F.col("x.start")).alias("n"), F.col("x.p").alias("p"))
+    total = each.agg(F.count("*").alias("m"), F.avg("n").alias("mean")).first()
+    if not total.m:
+        return -1.0
+    low = each.select((F.col("p") * F.lit(float(total["mean"])) / F.col("n")).alias("q")).filter(F.col("q") <= F.lit(rate))
+    level = rate
+    while True:
+        passed = low.filter(F.col("q") <= F.lit(level)).count()
+        if not passed:
+            return -1.0
+        if rate * passed / total.m >= level:
+            return level / float(total["mean"])
+        level = rate * passed / total.m
 
 
 def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
+def _passes(p: Column, start: Column, end: Column, least: float) -> Column:
+    return p <= F.lit(least) * (end - start)
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """doc_id and ``spans``: array of (start, kind, end, encoding, score), a row for each row.
+    """doc_id and ``spans``: array of (start, order, end, encoding, p), a row for each row.
 
-    Positions are code points, ends exclusive. A null text is an empty one. Patterns' spans
-    of different kinds may overlap; those of kind ``random`` overlap no other.
+    Positions are code points, ends exclusive. A null text is an empty one, an empty table
+    gives no rows. Texts are scanned whole, however long. Repeated rows are each returned, and
+    their candidates each count in the false-discovery control; of equal p-values all or none
+    pass. Patterns' spans of different kinds may overlap; those of kind ``random`` overlap no
+    other. Ids may be null; other columns are not read.
     """
-    found = stage(scan(docs, id_col, text_col), "secrets")
+    found = stage(scan(docs, fit_nulls(docs, text_col), id_col, text_col), "secrets")
     least = threshold(found, rate)
-    base = F.transform("base", lambda x: F.struct(x.start.alias("start"), x.kind.alias("order"), x.end.alias("end"), F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("double").alias("score")))
-    more = F.transform(F.filter("found", lambda x: x.score >= F.lit(least)), lambda x: F.struct(x.start.alias("start"), F.lit(3).alias("order"), x.end.alias("end"), x.encoding.alias("encoding"), x.score.alias("score")))
+    base = F.transform("base", lambda x: F.struct(x.start.alias("start"), x.kind.alias("order"), x.end.alias("end"), F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("double").alias("p")))
+    more = F.transform(F.filter("found", lambda x: _passes(x.p, x.start, x.end, least)), lambda x: F.struct(x.start.alias("start"), F.lit(3).alias("order"), x.end.alias("end"), x.encoding.alias("encoding"), x.p.alias("p")))
     return found.select("doc_id", F.array_sort(F.concat(base, more)).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every span of ``text_col`` replaced by ``mark``; null texts stay null.
 
-    The scores are taken once for the threshold; the texts are read again, not shuffled.
+    The p-values are taken once for the threshold; the texts are read again, not shuffled.
     """
-    least = threshold(stage(scan(docs, id_col, text_col), "secrets"), rate)
+    nulls = fit_nulls(docs, text_col)
+    least = threshold(stage(scan(docs, nulls, id_col, text_col), "secrets"), rate)
 
     def clean(t: str | None) -> str | None:
         if t is None:
             return None
         base = base_spans(t)
-        spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, _, score in candidates(t, base) if score >= least])
+        spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, _, p in candidates(t, base, nulls) if p <= least * (e - s)])
         out, at = [], 0
         for s, e in spans:
             if e <= at:

@@ -308,13 +308,6 @@ def test_secrets(spark, documents):
     assert clean[0] is None and clean[2].startswith("[SECRET] token: 'abc' [SECRET]") and clean[8] == "x [SECRET] x" and not any(plain_spans(t) for t in clean.values() if t)
 
 
-def test_battery_tells_random_from_words():
-    rnd = random.Random(6)
-    random_ = [secrets.battery("".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40)))[1] for _ in range(50)]
-    words = [secrets.battery("".join(rnd.choices(["th", "er", "on", "an", "re", "he", "in", "ed"], k=15)))[1] for _ in range(50)]
-    assert min(random_) > 6 > 2 > max(words)
-
-
 # --- quality, toxicity, leaks, licences --------------------------------------
 
 
