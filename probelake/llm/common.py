@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -50,6 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_hash(text: str) -> Column:
+    """With the id it names a row whatever ids repeat or are missing: a null text is one of its own."""
+    return F.xxhash64(F.col(text).isNull(), F.coalesce(text, F.lit("")))
+
+
 def arrow_rows(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema) -> Callable:
     """A mapInArrow function from one on lists of columns; batches are cut to ``ROWS`` rows to bound memory."""
 

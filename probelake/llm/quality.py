@@ -2,14 +2,18 @@
 
 Two hashed n-gram models (words and marks, one and two at a time, in ``BUCKETS``
 buckets) are counted: over all texts (raw) and over labelled good ones (target). A
-document's log importance weight is the log ratio of their likelihoods. With a Gumbel
-variable added to each weight, the ``k`` greatest keys are a sample without replacement
-in proportion to the weights.
-
-``k`` is either given, or the number of documents whose key passes the cut that best
-parts the labelled good documents from the labelled poor ones. The target and the cut
-are fitted on at most ``MAX_LABELLED`` labelled rows, those with the smallest hashes of
-their ids; the raw model and the keys cover all rows.
+document's log importance weight is the log ratio of their likelihoods for ``PASSAGE``
+n-grams: the mean over its own n-grams, with ``PRIOR`` more of ratio one, times ``PASSAGE``.
+(The plain sum grows with the text to hundreds, and nothing random would be left of the
+sample.) With a Gumbel variable added to each weight, the ``k`` greatest keys are a sample
+without replacement in proportion to the weights.
+
+``k`` is either given, or the number of documents that look like the target: those whose
+weight passes the cut that best parts the labelled good documents from the labelled poor
+ones. A sample of that size holds nearly all of them, and chance decides near the border; a
+smaller ``k`` draws among the good ones. The target and the cut are fitted on at most
+``MAX_LABELLED`` labelled rows, those with the smallest hashes of their ids; the raw model
+and the keys cover all rows.
 """
 
 from __future__ import annotations
@@ -23,17 +27,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probelake.llm.common import ROWS, stage
+from probelake.llm.common import ROWS, stage, text_hash
 
 BUCKETS, SEED, MAX_LABELLED = 10_000, 17, 20_000
+#: N-grams for which a weight stands, and n-grams of ratio one that steady short texts.
+PASSAGE, PRIOR = 40.0, 20.0
 #: Share of the labelled that the cut may give up to lie lower, which keeps more of the good.
 SLACK = 0.002
 #: A bigram's bucket from the hashes of its parts.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Cached tokens of a worker.
+#: Cached tokens of a worker, and the length from which a token is not cached.
 _CACHE: dict[str, int] = {}
-CACHE = 500_000
+CACHE, LONG = 500_000, 64
 
 
 def buckets(text: str | None, n: int = BUCKETS) -> np.ndarray:
@@ -48,7 +54,9 @@ def buckets(text: str | None, n: int = BUCKETS) -> np.ndarray:
     if None in found:
         for i, t in enumerate(tokens):
             if found[i] is None:
-                found[i] = _CACHE[t] = zlib.crc32(t.encode("utf-8", "surrogatepass"))
+                found[i] = zlib.crc32(t.encode("utf-8", "surrogatepass"))
+                if len(t) < LONG:
+                    _CACHE[t] = found[i]
     h = np.array(found, np.uint64)
     pairs = ((h[:-1] * _MIX + h[1:]) * _MIX >> np.uint64(20)) % np.uint64(n - 1) + np.uint64(1)
     pairs[h[:-1] == h[1:]] = 0
@@ -95,25 +103,20 @@ def log_ratio(docs: DataFrame, n: int = BUCKETS) -> np.ndarray:
     return p[1] - p[0]
 
 
-def gumbel(id_col: str = "doc_id", seed: int = SEED) -> Column:
-    """A Gumbel variable from the id, the same in every run."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+def gumbel(*of: str, seed: int | Column = SEED) -> Column:
+    """A Gumbel variable from the columns ``of``, the same in every run."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *of), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     return -F.log(-F.log(u))
 
 
-def top_k(rows: DataFrame, key: str, k: int, id_col: str = "doc_id") -> DataFrame:
-    """The ``k`` rows with the greatest ``key``; at equal keys the smaller ids. Nothing is sorted as a whole.
-
-    Three histograms of 4,096 bins, each within the bin of the one before, lead to the k-th key.
-    """
+def kth_greatest(rows: DataFrame, key: str, k: int) -> float | None:
+    """The ``k``-th greatest key, None if there are fewer. Nothing is sorted: histograms of 4,096 bins, each within the bin of the one before, end at one value."""
     low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None or k <= 0:
-        return rows.limit(0)
+    if low is None:
+        return None
     above = 0
-    for _ in range(3):
+    while low < high:
         width = (high - low) / 4096
-        if width <= 0:
-            break
         inside = rows.filter((F.col(key) >= F.lit(low)) & (F.col(key) <= F.lit(high)))
         bins = inside.groupBy(F.least(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(4095)).alias("b")).agg(F.count("*").alias("n"), F.min(key).alias("least"), F.max(key).alias("most")).collect()
         for b in sorted(bins, key=lambda b: -b.b):
@@ -122,32 +125,42 @@ def top_k(rows: DataFrame, key: str, k: int, id_col: str = "doc_id") -> DataFram
                 break
             above += b.n
         else:
-            return rows
-    # Few are left between low and high, unless keys are equal.
-    rest = rows.filter((F.col(key) >= F.lit(low)) & (F.col(key) <= F.lit(high))).orderBy(F.desc(key), id_col).limit(k - above)
-    return rows.filter(F.col(key) > F.lit(high)).unionByName(rest)
+            return None
+    return low if above + rows.filter(F.col(key) == F.lit(low)).count() >= k else None
+
+
+def top_k(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The rows with the ``k`` greatest keys; those with a key equal to the k-th all belong."""
+    if k <= 0:
+        return rows.limit(0)
+    least = kth_greatest(rows, key, k)
+    return rows if least is None else rows.filter(F.col(key) >= F.lit(least))
 
 
-def best_cut(keys: np.ndarray, labels: np.ndarray) -> float:
-    """The key from which on a row counts as good: the lowest whose true less false shares are within ``SLACK`` of the greatest."""
+def best_cut(weights: np.ndarray, labels: np.ndarray) -> float:
+    """The weight from which on a row counts as good: the lowest whose true less false shares are within ``SLACK`` of the greatest."""
     good, poor = (labels == 1).sum(), (labels != 1).sum()
     if not good or not poor:
         return -np.inf
-    order = np.argsort(-keys, kind="stable")
-    k, y = keys[order], labels[order] == 1
+    order = np.argsort(-weights, kind="stable")
+    w, y = weights[order], labels[order] == 1
     score = np.cumsum(y) / good - np.cumsum(~y) / poor
-    last = np.append(k[1:] != k[:-1], True)
+    last = np.append(w[1:] != w[:-1], True)
     at = np.flatnonzero(last & (score >= score[last].max() - SLACK))[-1]
-    below = k[at + 1] if at + 1 < len(k) else k[at] - 1
-    return float((k[at] + below) / 2)
+    below = w[at + 1] if at + 1 < len(w) else w[at] - 1
+    return float((w[at] + below) / 2)
+
+
+def log_weight(b: np.ndarray, ratio: np.ndarray) -> float:
+    return float(ratio[b].sum()) / (len(b) + PRIOR) * PASSAGE
 
 
-def weights(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, label (of the sample's rows that the models have not seen, else null), n_grams, log_weight, key: a row for each row."""
+def weights(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED, seed: int = SEED) -> DataFrame:
+    """doc_id, text_hash, label (of the sample's rows that the models have not seen, else null), n_grams, log_weight, key: a row for each row."""
     sample = F.broadcast(labelled_sample(labels, label_col, most=most))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id", "left")
     ratio = log_ratio(rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("label", pa.int32()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,24 +168,26 @@ def weights(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_c
                 part = batch.slice(at, ROWS)
                 found = [buckets(t, len(ratio)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("label"), pa.array([len(b) for b in found], pa.int64()), pa.array([float(ratio[b].sum()) for b in found], pa.float64())], schema=schema
+                    [part.column("doc_id"), part.column("text_hash"), part.column("label"), pa.array([len(b) for b in found], pa.int64()), pa.array([log_weight(b, ratio) for b in found], pa.float64())], schema=schema
                 )
 
-    scored = rows.select("doc_id", F.when(F.col("held"), F.col("label")).alias("label"), "text").mapInArrow(run, "doc_id bigint, label int, n_grams bigint, log_weight double")
-    return scored.withColumn("key", F.col("log_weight") + gumbel("doc_id"))
+    slim = rows.select("doc_id", text_hash("text").alias("text_hash"), F.when(F.col("held"), F.col("label")).alias("label"), "text")
+    scored = slim.mapInArrow(run, "doc_id bigint, text_hash bigint, label int, n_grams bigint, log_weight double")
+    return scored.withColumn("key", F.col("log_weight") + gumbel("doc_id", "text_hash", seed=seed))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, n_grams, log_weight, key of the sampled rows.
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED, seed: int = SEED) -> DataFrame:
+    """doc_id, text_hash, n_grams, log_weight, key of the sampled rows.
 
     A null or empty text has weight 0, so its key is its Gumbel variable. Without labelled
-    rows of both kinds and without ``k`` every row is kept. Repeated rows are told apart
-    only by the rows themselves; equal ids have equal Gumbel variables. Labels without a
-    document, and null labels, count for nothing.
+    rows of both kinds and without ``k`` every row is kept; an empty table gives no rows. The
+    Gumbel variable comes from id and text: repeated rows have equal keys and stay or go
+    together, so a sample can exceed ``k`` by repeated rows. Texts of any length count whole.
+    Labels without a document, and null labels, count for nothing. Other columns are not read.
     """
-    keys = stage(weights(docs, labels, label_col, id_col, text_col, most), "quality")
+    keys = stage(weights(docs, labels, label_col, id_col, text_col, most, seed), "quality")
     if k is None:
-        known = keys.filter("label is not null").select("key", "label").toPandas()  # at most ``most`` ids
-        cut = best_cut(known["key"].to_numpy(), known["label"].to_numpy())
-        k = keys.filter(F.col("key") >= F.lit(cut)).count()
-    return top_k(keys, "key", k).select("doc_id", "n_grams", "log_weight", "key")
+        known = keys.filter("label is not null").select("log_weight", "label").toPandas()  # the rows of at most ``most`` ids
+        cut = best_cut(known["log_weight"].to_numpy(), known["label"].to_numpy())
+        k = keys.filter(F.col("log_weight") >= F.lit(cut)).count()
+    return top_k(keys, "key", k).select("doc_id", "text_hash", "n_grams", "log_weight", "key")

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from probelake.llm.common import arrow_rows
 
 MARK, PENALTY = "▁", 10.0
-#: Cached words of a worker; beyond it the cache starts anew, counts stay the same.
-CACHE = 500_000
+#: Cached words of a worker; beyond it the cache starts anew, counts stay the same. Words from ``LONG`` characters on are not cached.
+CACHE, LONG = 500_000, 64
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -111,12 +111,16 @@ class Counter:
             if head:  # follows a line break
                 found = self.heads.get(head)
                 if found is None:
-                    found = self.heads[head] = self.segment(head)
+                    found = self.segment(head)
+                    if len(head) < LONG:
+                        self.heads[head] = found
                 score, tokens = score + found[0], tokens + found[1]
             for w in words:
                 found = self.cache.get(w)
                 if found is None:
-                    found = self.cache[w] = self.segment(MARK + w)
+                    found = self.segment(MARK + w)
+                    if len(w) < LONG:
+                        self.cache[w] = found
                 score, tokens = score + found[0], tokens + found[1]
         return tokens, score
 

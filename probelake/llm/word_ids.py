@@ -12,8 +12,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Cached words of a worker (about 250 bytes each); beyond it the cache starts anew, ids stay the same.
-CACHE = 400_000
+#: Cached words of a worker (about 250 bytes each); beyond it the cache starts anew, ids stay the same. Words from ``LONG`` bytes on are not cached.
+CACHE, LONG = 400_000, 64
 #: ASCII marks that end a pre-token of letters or digits; the apostrophe is not among them.
 _MARKS = b"!#$%&()*+,-./:;<=>?@[\\]^_`{|}~\""
 _LATIN = re.compile("[a-zß-öø-ÿÀ-ÖØ-Þ]+")
@@ -58,7 +58,9 @@ class WordIds:
     def _cached(self, word: bytes) -> bytes:
         ids = self.cache.get(word)
         if ids is None:
-            ids = self.cache[word] = self._word(word)
+            ids = self._word(word)
+            if len(word) < LONG:
+                self.cache[word] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:

@@ -317,7 +317,8 @@ def test_top_k_is_exact(spark):
     rows = spark.createDataFrame(list(enumerate(keys)), "doc_id long, key double")
     for k in (0, 1, 7, 1500, 2999, 3000, 4000):
         got = sorted(r.doc_id for r in quality.top_k(rows, "key", k).collect())
-        assert got == sorted(i for _, i in sorted((-x, i) for i, x in enumerate(keys))[:k])
+        least = sorted(keys, reverse=True)[k - 1] if k and k <= len(keys) else -1e9 if k else 1e9
+        assert got == [i for i, x in enumerate(keys) if x >= least]
     assert quality.top_k(rows.limit(0), "key", 5).count() == 0
 
 
@@ -329,19 +330,47 @@ def test_quality_keeps_good_and_rejects_poor(spark):
     assert sum(i in kept for i in good) >= 0.98 * len(good) and sum(i in kept for i in poor) <= 0.1 * len(poor)
 
 
-def test_quality_weights_equal_brute_force(spark, documents):
-    labels = spark.read.parquet(f"{data()}/labels.parquet")
-    rows = quality.weights(documents, labels).collect()
-    held = {r.doc_id: r.held for r in quality.labelled_sample(labels, "quality").collect()}
-    texts = {r.doc_id: r.text for r in documents.collect()}
+def plain_weights(texts, held):
+    """Log weights by id, with the models counted in one process."""
     c = np.ones((2, quality.BUCKETS))
     for i, t in texts.items():
         n = np.bincount(quality.buckets(t), minlength=quality.BUCKETS)
         c[0] += n
         c[1] += n if held.get(i) is False else 0
     p = np.log(c / c.sum(1, keepdims=True))
-    for r in rows:
-        assert r.log_weight == pytest.approx((p[1] - p[0])[quality.buckets(texts[r.doc_id])].sum(), abs=1e-6)
+    return {i: (p[1] - p[0])[(b := quality.buckets(t))].sum() / (len(b) + 20) * 40 for i, t in texts.items()}
+
+
+def test_resample_equals_brute_force(spark, documents):
+    """Weights, the default number of rows and the sample, from end to end."""
+    labels = spark.read.parquet(f"{data()}/labels.parquet")
+    sample = quality.labelled_sample(labels, "quality").collect()
+    held, label = {r.doc_id: r.held for r in sample}, {r.doc_id: r.label for r in sample}
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    want = plain_weights(texts, held)
+    noise = {r.doc_id: r.g for r in documents.select("doc_id", quality.text_hash("text").alias("h")).select("doc_id", quality.gumbel("doc_id", "h").alias("g")).collect()}
+    unseen = [(want[i], label[i]) for i in texts if held.get(i)]
+    k = sum(w >= quality.best_cut(*map(np.array, zip(*unseen, strict=True))) for w in want.values())
+    keys = {i: want[i] + noise[i] for i in texts}
+    least = sorted(keys.values(), reverse=True)[k - 1]
+    got = quality.resample(documents, labels).collect()
+    assert {r.doc_id for r in got} == {i for i, x in keys.items() if x >= least}
+    assert all(r.log_weight == pytest.approx(want[r.doc_id], abs=1e-6) and r.key == pytest.approx(keys[r.doc_id], abs=1e-6) for r in got)
+
+
+def test_samples_follow_the_weights(spark, documents):
+    """Over many seeds, the first drawn comes with a probability in proportion to its weight, and the sample is not the k greatest weights."""
+    labels = spark.read.parquet(f"{data()}/labels.parquet")
+    rows = quality.weights(documents, labels).orderBy(F.desc("log_weight")).limit(60).select("doc_id", "text_hash", "log_weight").collect()
+    table = spark.createDataFrame(rows)
+    draws = table.crossJoin(spark.range(4000).withColumnRenamed("id", "seed")).withColumn("key", F.col("log_weight") + quality.gumbel("doc_id", "text_hash", seed=F.col("seed")))
+    first = {r.doc_id: r["count"] for r in draws.groupBy("seed").agg(F.max_by("doc_id", "key").alias("doc_id")).groupBy("doc_id").count().collect()}
+    w = np.exp([r.log_weight for r in rows])
+    for r, p in zip(rows, w / w.sum(), strict=True):
+        assert abs(first.get(r.doc_id, 0) - 4000 * p) <= 5 * (4000 * p * (1 - p)) ** 0.5 + 1
+    got = [{r.doc_id for r in quality.resample(documents, labels, k=100, seed=s).collect()} for s in (1, 2)]
+    plain_top = {r.doc_id for r in quality.weights(documents, labels).orderBy(F.desc("log_weight")).limit(100).collect()}
+    assert len(got[0] ^ got[1]) > 20 and len(got[0] ^ plain_top) > 20
 
 
 def test_quality_edges(spark):
@@ -350,6 +379,10 @@ def test_quality_edges(spark):
     assert quality.resample(docs(spark, texts), labels).count() == 4
     assert quality.resample(docs(spark, texts), labels, k=2).count() == 2
     assert quality.resample(docs(spark, []), labels).count() == 0
+    repeated = docs(spark, ["a b", "a b", "a b", "c"], [1, 1, None, None])
+    assert quality.resample(repeated, labels, k=4).count() == 4 and quality.resample(repeated, labels, k=1).count() in (1, 2)
+    clash = repeated.selectExpr("doc_id", "text", "1 AS key", "2 AS label", "3 AS held")
+    assert quality.resample(clash, labels).count() == 4
     assert toxicity.classify(docs(spark, texts), labels, ["toxic"]).count() == 4
     assert toxicity.classify(docs(spark, []), labels.limit(0), ["quality", "toxic"]).count() == 0
 
