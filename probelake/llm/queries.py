@@ -82,32 +82,45 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
 }
 
-_NOTICES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(sorted(licenses.TEMPLATES)))
+_NOTICES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES))
+_LEAST = "[" + ", ".join(map(str, licenses.LEAST)) + "]"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": f"""
         WITH t(k, name, text) AS (VALUES {_NOTICES}),
-        tw AS (SELECT k, name, w, count(*) AS n FROM (SELECT k, name, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM t) GROUP BY ALL),
-        d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS text FROM documents),
-        total AS (SELECT count(*) AS docs, ln(1 + count(*)) + 1 AS other FROM d),
-        df AS (SELECT w, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM d) WHERE w IN (SELECT w FROM tw) GROUP BY w),
-        idf AS (SELECT w, ln((1 + docs) / (1 + coalesce(c, 0))) + 1 AS v FROM (SELECT DISTINCT w FROM tw) LEFT JOIN df USING (w), total),
-        tn AS (SELECT k, sqrt(sum((n * v) ** 2)) AS norm FROM tw JOIN idf USING (w) GROUP BY k),
-        weight AS (SELECT k, name, w, v * n * v / norm AS x FROM tw JOIN idf USING (w) JOIN tn USING (k)),
-        line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
-        unit AS (SELECT doc_id, 0.8 AS least, i, text FROM line UNION ALL SELECT doc_id, 0.5, -1, text FROM d),
-        tf AS (SELECT doc_id, least, i, w, count(*) AS n FROM (SELECT doc_id, least, i, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM unit) GROUP BY ALL),
-        sq AS (SELECT doc_id, i, sum(CASE WHEN v IS NULL THEN other ** 2 ELSE (n * v) ** 2 END) AS q FROM tf LEFT JOIN idf USING (w), total GROUP BY ALL),
-        scored AS (SELECT doc_id, least, i, k, name, round(sum(n * x) / sqrt(any_value(q)), 6) AS score FROM tf JOIN weight USING (w) JOIN sq USING (doc_id, i) GROUP BY ALL),
-        best AS (SELECT doc_id, i, arg_max(name, (score, -k)) AS name, max(score) AS score, arg_max(k, (score, -k)) AS k FROM scored WHERE score >= least GROUP BY doc_id, i),
-        own AS (SELECT doc_id, arg_max(name, (score, -k)) AS license, max(score) AS score, max(name) FILTER (i = -1) AS file, string_agg(DISTINCT name, ',' ORDER BY name) FILTER (i >= 0) AS notices FROM best GROUP BY doc_id),
+        tw AS (SELECT k, w, count(*) AS n FROM (SELECT k, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM t) GROUP BY ALL),
+        d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        total AS (SELECT count(*) AS docs FROM d),
+        df AS (SELECT w, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM d) GROUP BY w),
+        idf AS (SELECT w, ln((1 + docs) / (1 + coalesce(c, 0))) + 1 AS v FROM (SELECT w FROM df UNION SELECT w FROM tw) LEFT JOIN df USING (w), total),
+        norm AS (SELECT k, sqrt(sum((n * v) ** 2)) AS norm FROM tw JOIN idf USING (w) GROUP BY k),
+        weight AS (SELECT k, w, n * v / norm AS x FROM tw JOIN idf USING (w) JOIN norm USING (k)),
+        line AS (SELECT doc_id, unnest(lines) AS text, unnest(range(len(lines))) AS i FROM d),
+        sort AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[A-Za-z0-9]') THEN 0 WHEN regexp_matches(text, '{licenses.COMMENT}') THEN 1 ELSE 2 END AS s FROM line),
+        mark AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS m FROM sort),
+        run AS (SELECT *, sum(m) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM mark),
+        unit AS (
+          SELECT doc_id, 0 AS kind, s AS a, size AS b, array_to_string(lines[s:s + size - 1], ' ') AS text
+          FROM (SELECT doc_id, lines, size, unnest(range(1, len(lines) - size + 2)) AS s FROM d, range(1, {licenses.WRAP + 1}) r(size))
+          UNION ALL SELECT doc_id, 1, b, 0, string_agg(text, ' ' ORDER BY i) FROM run WHERE s > 0 GROUP BY doc_id, b HAVING count(*) > {licenses.WRAP}
+          UNION ALL SELECT doc_id, 2, 0, 0, text FROM d),
+        split AS (SELECT doc_id, kind, a, b, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM unit),
+        near AS (SELECT * FROM split WHERE len(ws) <= {licenses.MOST_WORDS} AND list_has_any(ws, (SELECT list(DISTINCT w) FROM tw))),
+        tf AS (SELECT doc_id, kind, a, b, w, count(*) AS n FROM (SELECT doc_id, kind, a, b, unnest(ws) AS w FROM near) GROUP BY ALL),
+        sq AS (SELECT doc_id, kind, a, b, sum((n * v) ** 2) AS q FROM tf JOIN idf USING (w) GROUP BY ALL),
+        dot AS (SELECT doc_id, kind, a, b, k, sum(n * v * x) AS y FROM tf JOIN idf USING (w) JOIN weight USING (w) GROUP BY ALL),
+        scored AS (SELECT doc_id, kind, a, b, k, round(y / sqrt(q), 6) AS score FROM dot JOIN sq USING (doc_id, kind, a, b)),
+        best AS (SELECT doc_id, kind, max(score) AS score, arg_max(k, (score, -k)) AS k FROM scored GROUP BY doc_id, kind, a, b HAVING max(score) >= {_LEAST}[kind + 1]),
+        named AS (SELECT best.*, name, round(score * norm, 6) AS evidence FROM best JOIN norm USING (k) JOIN t USING (k)),
+        own AS (SELECT doc_id, arg_max(name, (evidence, -k, score)) AS license, arg_max(score, (evidence, -k, score)) AS score, max(name) FILTER (kind = 2) AS file,
+                       string_agg(DISTINCT name, ',' ORDER BY name) FILTER (kind < 2) AS notices FROM named GROUP BY doc_id),
         dirs AS (SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM d),
         held AS (SELECT dir AS directory, arg_min(file, (-n, file)) AS dir_license FROM (SELECT dir, file, count(*) AS n FROM own JOIN dirs USING (doc_id) WHERE file IS NOT NULL GROUP BY ALL) GROUP BY dir),
         up AS (SELECT DISTINCT dir, unnest(['', split_part(dir, '/', 1), dir]) AS directory FROM dirs),
-        near AS (SELECT dir, arg_max(directory, length(directory)) AS directory, arg_max(dir_license, length(directory)) AS dir_license FROM up JOIN held USING (directory) GROUP BY dir)
+        nearest AS (SELECT dir, arg_max(directory, length(directory)) AS directory, arg_max(dir_license, length(directory)) AS dir_license FROM up JOIN held USING (directory) GROUP BY dir)
         SELECT doc_id, path, coalesce(license, dir_license) AS license, score, CASE WHEN license IS NOT NULL THEN 'notice' WHEN dir_license IS NOT NULL THEN 'inherited' END AS origin,
                CASE WHEN license IS NULL THEN directory END AS directory, coalesce(notices, '') AS notices
-        FROM dirs LEFT JOIN own USING (doc_id) LEFT JOIN near USING (dir)""",
+        FROM dirs LEFT JOIN own USING (doc_id) LEFT JOIN nearest USING (dir)""",
     "op10_url_filter": r"""
         WITH u AS (
           SELECT page_id,

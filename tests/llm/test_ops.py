@@ -465,29 +465,6 @@ def test_licenses(spark):
     assert licenses.scan(table.limit(0)).count() == 0
 
 
-def test_licenses_equal_brute_force(spark, documents):
-    """Every line and whole text against every template, without prunings."""
-    table = documents.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
-    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in licenses.words(t)})
-    texts = {r.doc_id: r.text for r in documents.collect()}
-    df = {w: sum(w in set(licenses.words(t)) for t in texts.values()) for w in vocabulary}
-    model = licenses.Model(licenses.TEMPLATES, len(texts), df)
-
-    def best(text, least):
-        w = licenses.words(text)
-        tf = {x: w.count(x) for x in set(w) & model.idf.keys()}
-        norm = (sum((n * model.idf[x]) ** 2 for x, n in tf.items()) + (len(set(w)) - len(tf)) * model.other**2) ** 0.5
-        scored = [(round(sum(n * model.idf[x] * weights.get(x, 0) for x, n in tf.items()) / norm, 6), name) for name, weights in model.templates] if norm else []
-        return max((s for s in scored if s[0] >= least), key=lambda s: s[0], default=None)
-
-    for r in licenses.scan(table).collect():
-        own = [best(line, licenses.LINE) for line in texts[r.doc_id].split("\n")] + [best(texts[r.doc_id], licenses.FILE)]
-        own = [x for x in own if x]
-        assert (r.origin == "notice") == bool(own)
-        if own:
-            assert (r.score, r.license) == (pytest.approx(max(own)[0], abs=2e-6), max(own, key=lambda s: s[0])[1])
-
-
 # --- pipeline ----------------------------------------------------------------
 
 
