@@ -50,7 +50,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport_stream.read_media(transport_stream.write_media(table(spark, sf_dir, "documents")))
+    """The random-access points as text: packet:pid:pts, joined by commas."""
+    point = lambda p: F.concat_ws(":", p.packet.cast("string"), p.pid.cast("string"), p.pts.cast("string"))
+    read = transport_stream.read_media(transport_stream.write_media(table(spark, sf_dir, "documents")))
+    return read.withColumn("entry_points", F.array_join(F.transform("entry_points", point), ","))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

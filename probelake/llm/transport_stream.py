@@ -245,39 +245,50 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return slim.mapInArrow(arrow_rows(write, schema), f"doc_id {'bigint' if kind == 'bigint' else 'string'}, n_bytes bigint, media binary")
 
 
+def entry_points(s: Stream) -> list[tuple[int, int, int | None]]:
+    """(packet, PID, PTS) of the random-access points, by packet: where a reader can start."""
+    return sorted(((u.start, u.pid, u.pts) for u in s.units if u.random_access), key=lambda p: p[:2])
+
+
 def feature(s: Stream) -> str:
+    """Programs, streams, packets and losses, and the elementary packets in order of their place: each one's data as a CRC, with its PTS."""
     stamps = [u.pts for u in s.units if u.pts is not None]
+    content = 0
+    for u in sorted(s.units, key=lambda u: (u.start, u.pid)):
+        content = zlib.crc32(f"{u.pid}:{u.pts}:{len(u.data)}:".encode(), content)
+        content = zlib.crc32(u.data, content)
     return (
         f"programs={len(s.programs)};streams={','.join(f'{p}:{t}' for p, t in sorted(s.streams.items()))};packets={s.packets};units={len(s.units)};"
-        f"random_access={sum(u.random_access for u in s.units)};pts={min(stamps, default='')}-{max(stamps, default='')};lost={s.lost};repeated={s.repeated};bad={s.bad_packets + s.bad_tables}"
+        f"random_access={sum(u.random_access for u in s.units)};pts={min(stamps, default='')}-{max(stamps, default='')};lost={s.lost};repeated={s.repeated};bad={s.bad_packets + s.bad_tables};content={content:08x}"
     )
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media to the payload read back, its digests and the stream's feature string.
+    """doc_id, n_bytes, media to the payload read back, its digests, the stream's feature string and its random-access points.
 
-    A null media column gives null digests. Damaged streams give what whole packets hold;
-    ``feature`` counts losses.
+    ``entry_points``: array of (packet, pid, pts), by which a part of the media can be read
+    from its packet on. A null media column gives nulls. Damaged streams give what whole
+    packets hold; ``feature`` counts losses. A row for each row; ids may be null or repeated.
     """
     kinds = dict(media.dtypes)
     schema = pa.schema(
-        [("doc_id", pa.int64() if kinds["doc_id"] == "bigint" else pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+        [("doc_id", pa.int64() if kinds["doc_id"] == "bigint" else pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("entry_points", pa.list_(pa.struct([("packet", pa.int64()), ("pid", pa.int32()), ("pts", pa.int64())])))]
     )
 
     def read(c: dict) -> dict:
         rows = []
         for m in c["media"]:
             if m is None:
-                rows.append((None,) * 6)
+                rows.append((None,) * 7)
                 continue
             s = demux(m)
             payload = b"".join(u.data for u in s.units)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(s)))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(s), [dict(zip(("packet", "pid", "pts"), p, strict=True)) for p in entry_points(s)]))
         names = schema.names[2:]
         return {"doc_id": c["doc_id"], "n_bytes": c["n_bytes"]} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        arrow_rows(read, schema), f"doc_id {kinds['doc_id']}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+        arrow_rows(read, schema), f"doc_id {kinds['doc_id']}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, entry_points array<struct<packet:bigint,pid:int,pts:bigint>>"
     )
 
 

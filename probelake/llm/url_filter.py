@@ -42,14 +42,14 @@ def _short(digest: Column) -> Column:
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """A row for each row of ``pages``: id, host, path, rule, verdict.
 
-    ``rules``: host, path, action ('allow' or 'block'). A null URL or one without ``://``
+    ``rules``: host, path, action ('allow' or 'block'); as in URLs, only A-Z are lowered. A null URL or one without ``://``
     has an empty host and path and gets ``default`` with a null rule. Rules with a null
     part are ignored; of equal rules with different actions ``block`` counts. Ids may be
     null or repeated; other columns of ``pages`` are not read. Raises ValueError if the
     rules have more than ``MAX_SHAPES`` shapes.
     """
     rules = (
-        rules.select(F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("action").alias("r_action"))
+        rules.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("action").alias("r_action"))
         .dropna()
         .filter("r_host <> ''")
         .groupBy("r_host", "r_path")
@@ -74,7 +74,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         for s in shapes
     ]
     expressions = (
-        urls.select("host", "path").distinct()
+        urls.filter("host <> ''").select("host", "path").distinct()
         .withColumn("expression", F.explode(F.array_compact(F.array(*fits))))
         .withColumn("digest", F.sha2("expression", 256))
         .withColumn("short", _short(F.col("digest")))
@@ -88,9 +88,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), F.col("r_action"), F.col("rule"))).alias("best"))
     )
-    return urls.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_action", F.lit(default)).alias("verdict")
-    )
+    # URLs that can't fit a rule stay out of the join back: pages without a URL would all meet in one task.
+    # A single URL of very many pages is left to the adaptive split of skewed joins.
+    named = urls.filter("host <> ''").join(best, ["host", "path"], "left")
+    rest = urls.filter("host = ''").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    return named.unionByName(rest).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_action", F.lit(default)).alias("verdict"))
 
 
 def query_rules(spark: SparkSession) -> DataFrame:

@@ -57,6 +57,9 @@ def test_url_filter(spark):
     want = [(n if n % 7 else None, *plain_verdict(u, url_filter.QUERY_RULES)) for n, u in enumerate(urls)]
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
     assert url_filter.filter_urls(pages.limit(0), url_filter.query_rules(spark)).count() == 0
+    odd = spark.createDataFrame([("ÉCOLE.org", "/", "block"), ("A.Com", "/X", "block")], "host string, path string, action string")
+    hosts = spark.createDataFrame([(1, "http://ÉCOLE.ORG/x"), (2, "http://école.org/"), (3, "HTTP://a.COM/X"), (4, "http://a.com/x")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.filter_urls(hosts, odd).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
     assert url_filter.filter_urls(pages, url_filter.query_rules(spark).limit(0)).filter("verdict <> 'allow'").count() == 0
 
 
@@ -170,6 +173,16 @@ def test_media_query(spark):
         payload = transport_stream.pad64((t or "").encode())
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[4][1:] == got[5][1:] and got[0][1:] == got[1][1:]
+    streams = {r.doc_id: r.media for r in transport_stream.write_media(docs(spark, texts)).collect()}
+    for r in got:
+        packets = [bytes(streams[r.doc_id])[i : i + 188] for i in range(0, len(streams[r.doc_id]), 188)]
+        # Points that a plain look at the packets' flags finds; their PTS from the bytes of the PES header.
+        want = [(i, 0x100, int.from_bytes(p[12 + 9 : 12 + 14], "big")) for i, p in enumerate(packets) if (p[1] & 31) << 8 | p[2] == 0x100 and p[3] & 0x20 and p[4] and p[5] & 0x40 and p[4] == 7]
+        plain = lambda t: (t >> 33 & 7) << 30 | (t >> 17 & 0x7FFF) << 15 | t >> 1 & 0x7FFF
+        points = [(x.packet, x.pid, x.pts) for x in r.entry_points]
+        assert [p for p in points if packets[p[0]][4] == 7] == [(i, pid, plain(t)) for i, pid, t in want] and len(points) == max(1, -(-r.payload_bytes // 16384))
+    other = transport_stream.read_media(transport_stream.write_media(docs(spark, ["abc", "abd", "abc"]))).select("feature").collect()
+    assert other[0] == other[2] != other[1]
     media = transport_stream.write_media(docs(spark, texts))
     assert transport_stream.units(media).filter("doc_id = 6").count() == 10
     assert transport_stream.read_media(transport_stream.write_media(docs(spark, []))).count() == 0
