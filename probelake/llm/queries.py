@@ -95,9 +95,9 @@ ORACLE_SQL: dict[str, str] = {
         d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         total AS (SELECT count(*) AS docs FROM d),
         df AS (SELECT w, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM d) GROUP BY w),
-        idf AS (SELECT w, ln((1 + docs) / (1 + coalesce(c, 0))) + 1 AS v FROM (SELECT w FROM df UNION SELECT w FROM tw) LEFT JOIN df USING (w), total),
-        norm AS (SELECT k, sqrt(sum((n * v) ** 2)) AS norm FROM tw JOIN idf USING (w) GROUP BY k),
-        weight AS (SELECT k, w, n * v / norm AS x FROM tw JOIN idf USING (w) JOIN norm USING (k)),
+        idf AS (SELECT w, ln(1 + (docs + 1) / (coalesce(c, 0) + 1)) AS v FROM (SELECT w FROM df UNION SELECT w FROM tw) LEFT JOIN df USING (w), total),
+        norm AS (SELECT k, sqrt(sum(((1 + ln(n)) * v) ** 2)) AS norm FROM tw JOIN idf USING (w) GROUP BY k),
+        weight AS (SELECT k, w, (1 + ln(n)) * v / norm AS x FROM tw JOIN idf USING (w) JOIN norm USING (k)),
         line AS (SELECT doc_id, unnest(lines) AS text, unnest(range(len(lines))) AS i FROM d),
         sort AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[A-Za-z0-9]') THEN 0 WHEN regexp_matches(text, '{licenses.COMMENT}') THEN 1 ELSE 2 END AS s FROM line),
         mark AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS m FROM sort),
@@ -110,8 +110,8 @@ ORACLE_SQL: dict[str, str] = {
         split AS (SELECT doc_id, kind, a, b, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM unit),
         near AS (SELECT * FROM split WHERE len(ws) <= {licenses.MOST_WORDS} AND list_has_any(ws, (SELECT list(DISTINCT w) FROM tw))),
         tf AS (SELECT doc_id, kind, a, b, w, count(*) AS n FROM (SELECT doc_id, kind, a, b, unnest(ws) AS w FROM near) GROUP BY ALL),
-        sq AS (SELECT doc_id, kind, a, b, sum((n * v) ** 2) AS q FROM tf JOIN idf USING (w) GROUP BY ALL),
-        dot AS (SELECT doc_id, kind, a, b, k, sum(n * v * x) AS y FROM tf JOIN idf USING (w) JOIN weight USING (w) GROUP BY ALL),
+        sq AS (SELECT doc_id, kind, a, b, sum(((1 + ln(n)) * v) ** 2) AS q FROM tf JOIN idf USING (w) GROUP BY ALL),
+        dot AS (SELECT doc_id, kind, a, b, k, sum((1 + ln(n)) * v * x) AS y FROM tf JOIN idf USING (w) JOIN weight USING (w) GROUP BY ALL),
         scored AS (SELECT doc_id, kind, a, b, k, round(y / sqrt(q), 6) AS score FROM dot JOIN sq USING (doc_id, kind, a, b)),
         best AS (SELECT doc_id, kind, max(score) AS score, arg_max(k, (score, -k)) AS k FROM scored GROUP BY doc_id, kind, a, b HAVING max(score) >= {_LEAST}[kind + 1]),
         named AS (SELECT best.*, name, round(score * norm, 6) AS evidence FROM best JOIN norm USING (k) JOIN t USING (k)),
