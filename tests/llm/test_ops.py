@@ -486,14 +486,15 @@ def test_pipeline_stages(spark):
     now = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, before, seen = now.columns, {r.doc_id: r.text for r in now.collect()}, {}
     for name, step in corpus_pipeline.STAGES[:-1]:
-        now = corpus_pipeline.stage(step(spark, now, sf_dir), name)
+        now = corpus_pipeline.stage_at(step(spark, now, sf_dir), name)[0]
         after = {r.doc_id: r.text for r in now.collect()}
         assert now.columns == columns and now.count() == len(after) and set(after) <= set(before)
         seen[name], before = (before, after), after
     had, kept = seen["near-duplicates"]
+    from tests.llm.test_near_copies import plain_copies
+
     ids = sorted(had)
-    least = plain_components(ids, [plain_fingerprint(had[i]) for i in ids])
-    assert set(kept) == {i for i, c in zip(ids, least, strict=True) if i == c}
+    assert set(kept) == {i for n, (i, first) in enumerate(zip(ids, plain_copies([had[i] for i in ids]), strict=True)) if n == first}
     had, kept = seen["decontamination"]
     items = [" ".join(decontaminate.words(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert set(kept) == {i for i, t in had.items() if not any(f" {x} " in f" {' '.join(decontaminate.words(t))} " for x in items)}
@@ -504,3 +505,26 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in rows} == set(kept)
 
 
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and repeated ids, null texts, repeated rows, clashing columns, an empty table."""
+    plain = spark.read.parquet(f"{data()}/documents.parquet").limit(30).select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(None, "one text without an id, quite by itself"), (None, "another text without an id, by itself too"), (0, "a second text of an id that is there"), (900, None), (901, "token=abcdef0123 and more"), (901, "token=abcdef0123 and more")], "doc_id long, text string")
+    rows = plain.unionByName(odd.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))).withColumns({"key": F.lit(1), "row": F.lit(2), "component": F.lit("c"), "text_hash": F.lit(3)})
+    for name, table in (("full", rows), ("empty", rows.limit(0))):
+        table.coalesce(2).write.parquet(str(tmp_path / name / "documents.parquet"))
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{data()}/{other}.parquet").write.parquet(str(tmp_path / name / f"{other}.parquet"))
+    now = spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    kept = {}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.stage_at(step(spark, now, str(tmp_path / "full")), name)[0]
+        assert now.columns == rows.columns
+        kept[name] = [(r.doc_id, r.text) for r in now.collect()]
+    texts = [t for i, t in kept["near-duplicates"] if i is None]
+    assert len(texts) == len(set(texts)) and sum(i == 901 for i, _ in kept["secrets"]) <= 1
+    if (901, "token=abcdef0123 and more") in kept["decontamination"]:
+        assert (901, "[SECRET] and more") in kept["secrets"]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "full")).collect()} == {i for i, _ in kept["secrets"]}
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
