@@ -7,6 +7,7 @@ the compressed text of an IPv6 address needs Python.
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,22 +39,30 @@ def v4_bytes(text: Column) -> Column:
     return F.when(text.rlike(V4_TEXT), F.unhex(F.array_join(octets, "")))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; plain nesting would repeat its expression wherever it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def v6_bytes(text: Column) -> Column:
     """Sixteen bytes of IPv6 text (with ``::`` and a dotted tail), else null."""
     tail = F.regexp_extract(text, r"([0-9]+\.[0-9.]+)$", 1)
-    four = F.hex(v4_bytes(tail))
-    plain = F.when(tail == "", text).when(four.isNotNull(), F.concat(F.regexp_replace(text, r"[0-9]+\.[0-9.]+$", ""), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4)))
-    halves = F.split(plain, "::", -1)
+    dotted = lambda four: F.concat(F.regexp_replace(text, r"[0-9]+\.[0-9.]+$", ""), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4))
+    plain = F.when(tail == "", text).otherwise(let(F.hex(v4_bytes(tail)), dotted))
     groups = lambda s: F.filter(F.split(s, ":", -1), lambda x: x != "")
-    left, right = groups(F.element_at(halves, 1)), groups(F.try_element_at(halves, F.lit(2)))
-    right = F.coalesce(right, F.array().cast("array<string>"))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    zeros = F.array_repeat(F.lit("0"), F.when(F.size(halves) == 2, missing).otherwise(0))
-    all_ = F.concat(left, zeros, right)
-    hexed = F.array_join(F.transform(all_, lambda g: F.lpad(g, 4, "0")), "")
-    shape = plain.rlike(r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)?$") & plain.contains(":")
-    fits = F.when(F.size(halves) == 2, missing >= 1).otherwise((F.size(halves) == 1) & (missing == 0))
-    return F.when(shape & fits, F.unhex(hexed))
+
+    def of_halves(halves: Column) -> Column:
+        right = F.coalesce(groups(F.try_element_at(halves, F.lit(2))), F.array().cast("array<string>"))
+        return let(F.struct(groups(F.element_at(halves, 1)).alias("left"), right.alias("right"), F.size(halves).alias("n")), of_groups)
+
+    def of_groups(g: Column) -> Column:
+        missing = F.lit(8) - F.size(g.left) - F.size(g.right)
+        zeros = F.array_repeat(F.lit("0"), F.when(g.n == 2, missing).otherwise(0))
+        fits = F.when(g.n == 2, missing >= 1).otherwise((g.n == 1) & (missing == 0))
+        return F.when(fits, F.unhex(F.array_join(F.transform(F.concat(g.left, zeros, g.right), lambda x: F.lpad(x, 4, "0")), "")))
+
+    shape = r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)?$"
+    return let(plain, lambda p: F.when(p.contains(":") & p.rlike(shape), let(F.split(p, "::", -1), of_halves)))
 
 
 def mapped(four: Column) -> Column:
@@ -97,6 +106,28 @@ def trailing_number(text: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.substring_index(text, "/", -1), r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
 
 
+def network_v6(addr: Column, masklen: Column) -> Column:
+    """The network of a 16-byte address at a prefix length: whole bytes, one masked byte, zeros."""
+    whole, bits = F.floor(masklen / 8).cast("int"), masklen % 8
+    value = F.conv(F.hex(F.substring(addr, whole + 1, F.lit(1))), 16, 10).cast("int")
+    step = F.element_at(F.array(*[F.lit(1 << (8 - b)) for b in range(8)]), bits + 1)  # what one unit of the masked bits is worth
+    masked = F.when(whole < 16, F.unhex(F.lpad(F.hex(value - value % step), 2, "0"))).otherwise(F.unhex(F.lit("")))
+    zeros = F.substring(F.unhex(F.lit("00" * 16)), F.lit(1), F.greatest(F.lit(15) - whole, F.lit(0)))
+    return F.when(F.length(addr) == 16, F.concat(F.substring(addr, F.lit(1), whole), masked, zeros))
+
+
+def after_v6(first: Column, masklen: Column) -> Column:
+    """The first 16-byte address after a prefix; null if the prefix reaches the end of the address space."""
+    number = lambda at: F.conv(F.hex(F.substring(first, at, 8)), 16, 10).cast("decimal(20,0)")
+    power = F.array(*[F.lit(str(1 << k)).cast("decimal(20,0)") for k in range(65)])
+    whole = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    text = lambda n: F.lpad(F.conv(n.cast("string"), 10, 16), 16, "0")
+    # Upper and lower half: the end is a carry in the lower half only for lengths over 64.
+    low = number(9) + F.when(masklen > 64, F.element_at(power, F.lit(129) - masklen)).otherwise(F.lit(0))
+    high = number(1) + F.when(masklen <= 64, F.element_at(power, F.lit(65) - masklen)).when(low >= whole, F.lit(1)).otherwise(F.lit(0))
+    return F.when(high < whole, F.unhex(F.concat(text(high), text(F.when(low >= whole, low - whole).otherwise(low)))))
+
+
 def prefix_end(first: Column, masklen: Column, width: int = 32) -> Column:
     """First number after an IPv4 prefix: first + 2^(width - masklen)."""
     return first + F.pow(F.lit(2.0), F.lit(width) - masklen).cast("long")

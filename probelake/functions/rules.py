@@ -18,15 +18,21 @@ from probelake.functions.addresses import trailing_number, v4_bytes, v6_bytes
 CONTROL_HEX = "".join(f"{int(x):02X}" for x in S.CONTROL_ADDRESS.split("."))
 
 
-def _first(m: Column, kind: int, size: int) -> Column:
-    """Data of the first answer if the answer is good: no error, of that type, long enough."""
+def _first(m: Column, kind: int) -> Column:
+    """Data of the first answer if there is no error and it is of that type."""
     record = F.try_element_at(m["answers"], F.lit(1))
-    return F.when((m["rcode"] == wire.NOERROR) & (record["type"] == kind) & (F.length(record["rdata"]) >= size), F.substring(record["rdata"], 1, size))
+    return F.when((m["rcode"] == wire.NOERROR) & (record["type"] == kind), record["rdata"])
+
+
+def _address(m: Column, kind: int, size: int) -> Column:
+    """The first answer's data if they are an address of exactly ``size`` bytes."""
+    data = _first(m, kind)
+    return F.when(F.length(data) == size, data)
 
 
 def control_answer(m: Column) -> Column:
-    """Is the first address the control address? Never null."""
-    return F.coalesce(F.hex(_first(m, wire.A, 4)) == CONTROL_HEX, F.lit(False))
+    """Do the first answer's data begin with the control address? Never null."""
+    return F.coalesce(F.hex(F.substring(_first(m, wire.A), 1, 4)) == CONTROL_HEX, F.lit(False))
 
 
 def _text(data: Column) -> Column:
@@ -49,7 +55,7 @@ def assignments(m: Column, msm: Column) -> dict[str, Column]:
     plain = F.filter(strings, lambda x: ~is_subnet(x) & (F.length(x) <= 79))
     g4 = _last(F.filter(F.transform(F.filter(plain, lambda x: ~x.contains(":")), v4_bytes), lambda x: x.isNotNull()))
     g6 = _last(F.filter(F.transform(F.filter(plain, lambda x: x.contains(":")), v6_bytes), lambda x: x.isNotNull()))
-    a4, a6 = _first(m, wire.A, 4), _first(m, wire.AAAA, 16)
+    a4, a6 = _address(m, wire.A, 4), _address(m, wire.AAAA, 16)
     verdict = lambda x: F.when(x.startswith("HOORAY "), S.CAN).when(x.startswith("NO "), S.CANNOT)
     by_record = F.transform(texts, lambda r: F.try_element_at(F.filter(F.transform(r, lambda b: verdict(_text(b))), lambda v: v.isNotNull()), F.lit(1)))
     empty = m["rcode"].isin(wire.NOERROR, wire.NXDOMAIN) & (m["ancount"] == 0)

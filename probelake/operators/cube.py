@@ -45,17 +45,18 @@ def cube(rows: DataFrame, held: Column, probe: str, depth: int, updated: str | N
     return per_probe.groupBy(*extra, "selection").agg(F.sum("n").alias("n_resolvers"), F.count("probe").alias("n_probes"), *latest)
 
 
-def value_counts(rows: DataFrame, held: Column, probe: str, depth: int, extra: list[str] | None = None) -> DataFrame:
-    """selection, value, n (rows of the selection with the value), n_prbs.
+def value_counts(rows: DataFrame, held: Column, probe: str, depth: int, extra: list[str] | None = None, flags: DataFrame | None = None) -> DataFrame:
+    """selection, value, n (rows of the selection with the value), n_prbs, for each group of ``extra`` columns.
 
     ``n_prbs`` counts the distinct probes of the selection that have the value at any of
-    their rows, inside the selection or not.
+    their rows, inside the selection or not. ``flags``: probe_flags() of a larger table, where
+    ``rows`` are a part of it.
     """
     extra = extra or []
     rows = rows.withColumn("held", held)
     members = rows.select(*extra, F.col(probe).alias("probe"), "held", F.explode(selections(F.col("held"), depth)).alias("selection"))
     counts = members.withColumn("value", F.explode("held")).groupBy(*extra, "selection", "value").agg(F.count("*").alias("n"))
-    flags = rows.select(F.col(probe).alias("probe"), F.explode("held").alias("value")).distinct()
+    flags = rows.select(F.col(probe).alias("probe"), F.explode("held").alias("value")).distinct() if flags is None else flags.select("probe", "value")
     in_selection = members.select(*extra, "selection", "probe").distinct()
     probes = in_selection.join(flags, "probe").groupBy(*extra, "selection", "value").agg(F.count("*").alias("n_prbs"))
     return counts.join(probes, [*extra, "selection", "value"], "full").fillna(0, ["n", "n_prbs"])
@@ -66,12 +67,13 @@ def probe_flags(rows: DataFrame, held: Column, probe: str) -> DataFrame:
     return rows.select(F.col(probe).alias("probe"), F.explode(held).alias("value")).groupBy("probe", "value").agg(F.count("*").alias("n_resolvers"))
 
 
-def histogram(rows: DataFrame, value: Column, held: Column, depth: int, keep: Column | None = None) -> DataFrame:
-    """selection, value, n: how often each value of a dimension occurs in each selection."""
-    slim = rows.select(value.alias("value"), F.explode(selections(held, depth)).alias("selection"), *([keep.alias("keep")] if keep is not None else []))
+def histogram(rows: DataFrame, value: Column, held: Column, depth: int, keep: Column | None = None, extra: list[str] | None = None) -> DataFrame:
+    """selection, value, n: how often each value of a dimension occurs in each selection, for each group of ``extra`` columns."""
+    extra = extra or []
+    slim = rows.select(*extra, value.alias("value"), F.explode(selections(held, depth)).alias("selection"), *([keep.alias("keep")] if keep is not None else []))
     if keep is not None:
         slim = slim.filter("keep").drop("keep")
-    return slim.groupBy("selection", "value").agg(F.count("*").alias("n"))
+    return slim.groupBy(*extra, "selection", "value").agg(F.count("*").alias("n"))
 
 
 def members(rows: DataFrame, held: Column, probe: str, address: Column, depth: int) -> DataFrame:

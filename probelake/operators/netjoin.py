@@ -9,12 +9,10 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from probelake.functions.addresses import prefix_end
+from probelake.functions.addresses import after_v6, is_mapped, mapped, network_v6, number_v4, prefix_end, v4_number
 
 #: A prefix table up to this number of rows (some 30 bytes each) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -49,16 +47,6 @@ def lpm_v4(addresses: DataFrame, prefixes: DataFrame, ip: str = "ip", order: str
     return best.select(ip, F.coalesce("asn", F.lit(0)).alias("asn"))
 
 
-@F.pandas_udf(BinaryType())
-def _masked(addr: pd.Series, masklen: pd.Series) -> pd.Series:
-    def one(a: bytes | None, n: int) -> bytes | None:
-        if a is None or len(a) != 16:
-            return None
-        return (int.from_bytes(a, "big") >> (128 - n) << (128 - n)).to_bytes(16, "big")
-
-    return pd.Series([one(a, n) for a, n in zip(addr, masklen, strict=True)])
-
-
 def lpm_v6(addresses: DataFrame, prefixes: DataFrame, ip: str = "ip", order: str | None = None) -> DataFrame:
     """The same over 16-byte addresses."""
     table = unique_prefixes(prefixes, order)
@@ -67,7 +55,7 @@ def lpm_v6(addresses: DataFrame, prefixes: DataFrame, ip: str = "ip", order: str
     distinct = addresses.select(ip).distinct()
     if not lengths:
         return distinct.withColumn("asn", F.lit(0))
-    options = distinct.select(ip, F.explode(F.array(*map(F.lit, lengths))).alias("masklen")).withColumn("network", _masked(ip, "masklen"))
+    options = distinct.select(ip, F.explode(F.array(*map(F.lit, lengths))).alias("masklen")).withColumn("network", network_v6(F.col(ip), F.col("masklen")))
     best = options.join(_hint(table, sum(r["count"] for r in shapes)), ["masklen", "network"], "left").groupBy(ip).agg(F.max_by("asn", F.when(F.col("asn").isNotNull(), F.col("masklen"))).alias("asn"))
     return best.select(ip, F.coalesce("asn", F.lit(0)).alias("asn"))
 
@@ -94,13 +82,32 @@ def flatten_v4(prefixes: DataFrame, order: str | None = None) -> DataFrame:
     return merged.filter(~touches).unionByName(merge_ranges(merged.filter(touches), []))
 
 
+def flatten_v6(prefixes: DataFrame, order: str | None = None) -> DataFrame:
+    """The same for 16-byte networks: ``till`` is the first address after a range, null at the end of the address space.
+
+    The space is cut at /16 borders into windows.
+    """
+    table = unique_prefixes(prefixes, order)
+    ends = table.select("network", after_v6(F.col("network"), F.col("masklen")).alias("till"))
+    rest = F.unhex(F.lit("00" * 14))
+    borders = prefixes.sparkSession.range(0, 1 << 16).select(F.concat(F.unhex(F.lpad(F.hex("id"), 4, "0")), rest).alias("at"))
+    cuts = ends.select(F.explode(F.array_compact(F.array("network", "till"))).alias("at")).union(borders).distinct().withColumn("block", F.substring("at", 1, 2))
+    border = after_v6(F.concat("block", rest), F.lit(16))
+    pieces = cuts.withColumn("till", F.coalesce(F.lead("at").over(Window.partitionBy("block").orderBy("at")), border)).select(F.col("at").alias("from"), "till", "block")
+    found = pieces.join(lpm_v6(pieces.select(F.col("from").alias("ip")), prefixes, "ip", order), F.col("from") == F.col("ip")).drop("ip").filter("asn <> 0")
+    merged = merge_ranges(found, ["block"])
+    # At most two ranges of a window touch its borders, so few rows are left for one task.
+    touches = (F.col("from") == F.concat("block", rest)) | F.col("till").eqNullSafe(border)
+    return merged.filter(~touches).drop("block").unionByName(merge_ranges(merged.filter(touches).drop("block"), []))
+
+
 def merge_ranges(ranges: DataFrame, within: list[str]) -> DataFrame:
     """Ranges that meet and have one ASN become one, within groups (none: over all; use it on few rows)."""
     order = Window.partitionBy(*within).orderBy("from") if within else Window.orderBy("from")
     starts = F.when((F.lag("till").over(order) == F.col("from")) & (F.lag("asn").over(order) == F.col("asn")), 0).otherwise(1)
     return (
         ranges.withColumn("starts", starts).withColumn("island", F.sum("starts").over(order))
-        .groupBy(*within, "island", "asn").agg(F.min("from").alias("from"), F.max("till").alias("till")).select(*within, "from", "till", "asn")
+        .groupBy(*within, "island", "asn").agg(F.min("from").alias("from"), F.max_by("till", "from").alias("till")).select(*within, "from", "till", "asn")
     )
 
 
@@ -117,42 +124,41 @@ def range_lookup(addresses: DataFrame, ranges: DataFrame, ip: str = "ip", block_
     return own.select(ip).join(hit, ip, "left").select(ip, F.coalesce("hit", F.lit(0)).alias("asn"))
 
 
+#: Columns of an enriched snapshot that come from addresses, and what they are without one.
+SLOTS = {"auth_g": -1, "auth_a": -1, "auth_6": -1, "res": 0, "nxhj": -1}
+
+
 def enrich(snapshot: DataFrame, probes: DataFrame, prefixes4: DataFrame, prefixes6: DataFrame) -> DataFrame:
     """A snapshot with auth_g, auth_a, auth_6, prb_4, prb_6, res and nxhj: -1 without an address, 0 if not routed.
 
-    Distinct addresses of all five columns are looked up together, once.
+    The addresses that are there become rows (entity, slot, ip), so nothing is joined on
+    missing ones. Distinct addresses are looked up once; what is found is gathered by entity
+    and joined to the snapshot in one go, so its wide rows move once. Prefix tables with a
+    column ``nth`` count the last of equal prefixes.
     """
-    from probelake.functions.addresses import is_mapped, v4_number
-
+    key = ["prb_id", "addr"]
+    wide = lambda c: F.when(F.length(c) == 4, mapped(F.col(c))).otherwise(F.col(c))
     first = F.try_element_at(F.col("hijacked"), F.lit(1))
-    four = lambda c: F.when(F.length(c) == 4, v4_number(c))
-    res4 = F.when(is_mapped(F.col("addr")), v4_number(F.substring("addr", 13, 4)))
-    six4 = F.when(is_mapped(F.col("whoami_6")), v4_number(F.substring("whoami_6", 13, 4)))
-    rows = snapshot.withColumns({"n_g": four(F.col("whoami_g")), "n_a": four(F.col("whoami_a")), "n_h": four(first), "n_r": res4, "n_6": six4})
-    numbers = rows.select(F.explode(F.array_compact(F.array("n_g", "n_a", "n_h", "n_r", "n_6"))).alias("ip"))
-    by4 = lpm_v4(numbers, prefixes4)
-    sixes = rows.select(F.explode(F.array_compact(F.array(F.when(F.col("n_r").isNull(), F.col("addr")), F.when(F.col("n_6").isNull(), F.col("whoami_6"))))).alias("ip"))
-    by6 = lpm_v6(sixes, prefixes6)
-    for column in ("n_g", "n_a", "n_h", "n_r", "n_6"):
-        rows = rows.join(by4.select(F.col("ip").alias(column), F.col("asn").alias(f"asn_{column}")), column, "left")
-    rows = rows.join(by6.select(F.col("ip").alias("addr"), F.col("asn").alias("asn_addr")), "addr", "left").join(by6.select(F.col("ip").alias("whoami_6"), F.col("asn").alias("asn_six")), "whoami_6", "left")
+    ips = {"auth_g": wide("whoami_g"), "auth_a": wide("whoami_a"), "auth_6": F.col("whoami_6"), "res": F.col("addr"), "nxhj": F.when(F.length(first) == 4, mapped(first)).otherwise(first)}
+    slots = F.array(*[F.struct(F.lit(n).alias("slot"), c.alias("ip")) for n, c in ips.items()])
+    each = snapshot.select(*key, F.explode(F.filter(slots, lambda s: F.length(s.ip) == 16)).alias("s")).select(*key, "s.slot", "s.ip")
+    of = lambda df: "nth" if "nth" in df.columns else None
+    distinct = each.select("ip").distinct()
+    four = distinct.filter(is_mapped(F.col("ip"))).select(v4_number(F.substring("ip", 13, 4)).alias("n"))
+    by4 = lpm_v4(four, prefixes4, "n", of(prefixes4)).select(mapped(number_v4(F.col("n"))).alias("ip"), "asn")
+    by6 = lpm_v6(distinct.filter(~is_mapped(F.col("ip"))), prefixes6, "ip", of(prefixes6))
+    named = each.join(by4.unionByName(by6), "ip")  # an address of very many entities is split by adaptive execution
+    gathered = named.groupBy(*key).agg(*[F.max(F.when(F.col("slot") == n, F.col("asn"))).alias(n) for n in SLOTS])
     dim = probes.select(F.col("prb_id"), F.col("asn_v4").alias("prb_4"), F.col("asn_v6").alias("prb_6"))
-    return rows.join(dim, "prb_id", "left").select(
-        *snapshot.columns,
-        F.coalesce("asn_n_g", F.lit(-1)).alias("auth_g"),
-        F.coalesce("asn_n_a", F.lit(-1)).alias("auth_a"),
-        F.coalesce("asn_n_6", "asn_six", F.lit(-1)).alias("auth_6"),
-        F.coalesce("prb_4", F.lit(-1)).alias("prb_4"),
-        F.coalesce("prb_6", F.lit(-1)).alias("prb_6"),
-        F.coalesce("asn_n_r", "asn_addr", F.lit(0)).alias("res"),
-        F.coalesce("asn_n_h", F.lit(-1)).alias("nxhj"),
-    )
+    rows = snapshot.join(gathered, key, "left").join(dim, "prb_id", "left")
+    return rows.select(*snapshot.columns, *[F.coalesce(n, F.lit(other)).alias(n) for n, other in SLOTS.items()], *[F.coalesce(n, F.lit(-1)).alias(n) for n in ("prb_4", "prb_6")])
 
 
 def lookup_address(spark, prefixes4: DataFrame, prefixes6: DataFrame, text: str) -> int:
-    """ASN of one address."""
+    """ASN of one address; of equal prefixes the last counts if the tables have their order (``nth``)."""
     ip = ipaddress.ip_address(text)
     four = ip if ip.version == 4 else ip.ipv4_mapped
+    of = lambda df: "nth" if "nth" in df.columns else None
     if four is not None:
-        return lpm_v4(spark.createDataFrame([(int(four),)], "ip long"), prefixes4).first().asn
-    return lpm_v6(spark.createDataFrame([(ip.packed,)], "ip binary"), prefixes6).first().asn
+        return lpm_v4(spark.createDataFrame([(int(four),)], "ip long"), prefixes4, order=of(prefixes4)).first().asn
+    return lpm_v6(spark.createDataFrame([(ip.packed,)], "ip binary"), prefixes6, order=of(prefixes6)).first().asn

@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 BANDS, LONG_BAND, TOP_MASKS, TOP_ASNS = 100, 20, 10, 100
 
 
-def bands(counts: DataFrame, by: list[str], item: str = "asn", n: str = "n", most: int = BANDS) -> DataFrame:
+def bands(counts: DataFrame, by: list[str], item: str = "asn", n: str = "n", most: int = BANDS, few_groups: bool = False) -> DataFrame:
     """by, band, count, items, total, label: items with equal counts share a band, the largest first.
 
     The label lists up to 20 items ('AS1,AS2'), more as 'in 21 ASNs (count)'. What lies
     beyond ``most`` bands is one row with band null, label 'Remaining' and its total.
     Ranks are over bands, which are far fewer than items; the items are first combined by count.
+    ``few_groups``: the caller knows that ``by`` has some thousands of values at most, so the
+    list of short bands (``most`` for each) is broadcast and the many items of long bands, most
+    of them with a count of 1, are dropped where they are.
     """
     grouped = counts.groupBy(*by, n).agg(F.count("*").alias("items"))
     order = Window.partitionBy(*by).orderBy(F.desc(n)) if by else Window.orderBy(F.desc(n))
     ranked = grouped.withColumn("band", F.row_number().over(order))
     short = ranked.filter((F.col("band") <= most) & (F.col("items") <= LONG_BAND))
-    listed = counts.join(short.select(*by, n), [*by, n]).groupBy(*by, n).agg(F.array_sort(F.collect_list(item)).alias("names"))  # at most LONG_BAND names
+    wanted = short.select(*by, n)
+    listed = counts.join(F.broadcast(wanted) if few_groups else wanted, [*by, n]).groupBy(*by, n).agg(F.array_sort(F.collect_list(item)).alias("names"))  # at most LONG_BAND names
     ranked = ranked.join(listed, [*by, n], "left")
     named = F.array_join(F.transform("names", lambda x: F.concat(F.lit("AS"), x)), ",")
     label = F.when(F.col("names").isNotNull(), named).otherwise(F.concat(F.lit("in "), F.col("items"), F.lit(" ASNs ("), F.col(n), F.lit(")")))

@@ -7,8 +7,43 @@ from pyspark.sql import functions as F
 
 from probelake.functions.schema import CAPABILITIES
 
-#: Properties: (name, values that make it up).
-PROPERTIES = list(CAPABILITIES)
+def _properties() -> list[tuple[str, str, list[str]]]:
+    """The 26 properties that are shown, in order: (name, kind, what makes it up)."""
+    values = dict(CAPABILITIES)
+    value = lambda key: (key, "values", values[key])
+    algorithms = [key for key, names in CAPABILITIES if len(names) == 3 and key != "int_ext"]
+    dnskeys, digests = algorithms[:-2][::-1], algorithms[-2:]
+    return [
+        value("int_ext"), *[(f"top_{d}", "bands", [d]) for d in ("auth", "resolver", "probe")], value("qnamemin"), value("flagday"), ("top_ecs_masks", "masks", ["ECS mask", "ECS mask6"]), ("top_nxhj", "bands", ["nxhj"]),
+        ("trust_anchors", "values", [*values["ta_19036"], *values["ta_20326"]]), *map(value, dnskeys), *map(value, digests), *map(value, ("ipv6", "tcp", "tcp6")),
+    ]
+
+
+PROPERTIES = _properties()
+
+
+def property_series(prop: tuple[str, str, list[str]], base: DataFrame, values: DataFrame, masks: DataFrame, bands: DataFrame) -> DataFrame:
+    """Daily series of one property over the whole network: day, label, n, share (of the resolvers, in percent); without leading zeros.
+
+    The tables are those of the report; rows of their root selection count. ``unknown`` is
+    what the values of a property leave of all resolvers; trust anchors overlap and leave none.
+    """
+    name, kind, parts = prop
+    root = lambda df: df.filter("selection = ''")
+    totals = root(base).select("day", F.col("n_resolvers").alias("total"))
+    if kind == "bands":
+        rows = top_of_series(root(bands).filter(F.col("dim") == parts[0]), "day", "label", "total").select("day", F.col("asn").alias("label"), "n")
+    elif kind == "masks":
+        own = root(masks).filter(F.col("family").isin(parts))
+        known = own.filter("rank is not null").select("day", F.col("mask").cast("int").alias("mask"), "n").groupBy("day", "mask").agg(F.sum("n").alias("n"))
+        rest = own.filter("rank is null").select("day", F.lit("Remaining").alias("label"), "n")
+        rows = top_masks(known, "day", "mask", "n").unionByName(rest).groupBy("day", "label").agg(F.sum("n").alias("n"))
+    else:
+        rows = root(values).filter(F.col("value").isin(parts)).select("day", F.col("value").alias("label"), "n")
+        if name != "trust_anchors":
+            left = totals.join(rows.groupBy("day").agg(F.sum("n").alias("known")), "day", "left")
+            rows = rows.unionByName(left.select("day", F.lit("unknown").alias("label"), (F.col("total") - F.coalesce("known", F.lit(0))).alias("n")))
+    return trim(rows, ["label"], "day", "n").join(totals, "day").select("day", "label", "n", F.round(share(F.col("n"), F.col("total")), 6).alias("share"))
 
 
 def trim(series: DataFrame, by: list[str], day: str, value: str) -> DataFrame:

@@ -6,6 +6,8 @@ carries every rule; a carried snapshot enters as a row before all others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,30 +100,51 @@ def throttle(rows: DataFrame, key: list[str], time: str = "time", nth: str = "nt
     return folded.select(*key, F.aggregate("events", F.col("start"), lambda acc, e: clock(e.time, e.nth, acc)).alias("c")).select(*key, "c.updated", "c.logged", "c.emitted")
 
 
-def day_state(observations: DataFrame, previous: DataFrame | None = None, start: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(snapshot, timeline) of a day: the last state of every entity, carried ones too, and the throttled emissions."""
+def day_state(observations: DataFrame, previous: DataFrame | None = None, start: Column | None = None, hold: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, timeline) of a day: the last state of every entity, carried ones too, and the throttled emissions.
+
+    Both come from one shuffle by entity: the clocks are joined on the entity alone. ``hold``
+    writes the common rows somewhere and reads them back, so that messages are decoded once.
+    """
     rows = observed(observations)
     if previous is not None:
         rows = rows.unionByName(carried(previous, start))
     states = as_of(rows)
     clocks = throttle(states, KEY, updated="carried_updated", logged="carried_logged")
-    last = states.groupBy(*KEY).agg(F.max_by(F.struct(*SNAPSHOT_STATES), "nth").alias("s")).select(*KEY, "s.*")
-    snapshot = last.join(clocks.select(*KEY, "updated", "logged"), KEY)
-    emitted = clocks.select(*KEY, F.explode("emitted").alias("e")).select(*KEY, "e.nth", F.col("e.updated").alias("updated"))
-    timeline = states.join(emitted, [*KEY, "nth"]).select(*KEY, "updated", *SNAPSHOT_STATES)
+    last = states.groupBy(*KEY).agg(F.max("nth").alias("last"))
+    both = states.join(clocks.join(last, KEY), KEY)
+    emitted = F.try_element_at(F.filter("emitted", lambda e: e.nth == F.col("nth")), F.lit(1))
+    kept = both.withColumn("emitted", emitted).filter((F.col("nth") == F.col("last")) | F.col("emitted").isNotNull())
+    kept = kept.select(*KEY, *SNAPSHOT_STATES, "updated", "logged", (F.col("nth") == F.col("last")).alias("is_last"), F.col("emitted.updated").alias("emitted"))
+    if hold is not None:
+        kept = hold(kept)
+    snapshot = kept.filter("is_last").select(*KEY, *SNAPSHOT_STATES, "updated", "logged")
+    timeline = kept.filter("emitted is not null").select(*KEY, F.col("emitted").alias("updated"), *SNAPSHOT_STATES)
     return snapshot, timeline
 
 
+#: Rows of the sample from which the borders of a merge are taken, for each part.
+BORDER_SAMPLE = 20
+
+
 def merge_order(rows: DataFrame, stream: str, time: str, tie: list[str]) -> DataFrame:
-    """k-way merge of streams: rows numbered by time, ties to the stream that sorts first.
+    """k-way merge of streams: rows numbered by time, ties to the stream that sorts first, then by ``tie``.
 
-    A total order needs one sorted sequence; it is made from a sort of each day and
-    per-day offsets, not by sending all rows to one task.
+    The order is cut into as many ranges as there are shuffle partitions, at borders from a
+    sample (the smallest hashes); rows are numbered within their range, and the ranges' sizes,
+    a row each, give what lies before. No task sorts more than a range.
     """
-    ordered = [F.col(time), F.col(stream), *map(F.col, tie)]
-    day = F.to_date(time)
-    within = F.row_number().over(Window.partitionBy(day).orderBy(*ordered))
-    counted = rows.groupBy(day.alias("merge_day")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("merge_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counted.withColumn("before", before).drop("n")  # a row for each day
-    return rows.withColumns({"merge_day": day, "within": within}).join(F.broadcast(offsets), "merge_day").withColumn("merge_ord", F.col("within") + F.col("before")).drop("merge_day", "within", "before")
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = [time, stream, *tie]
+    sample = rows.select(*columns).orderBy(F.xxhash64(*columns)).limit(parts * BORDER_SAMPLE).sort(*columns).collect()
+    borders = sample[BORDER_SAMPLE // 2 :: BORDER_SAMPLE]
+    place = F.struct(*columns)
+    kinds = {f.name: f.dataType for f in rows.select(*columns).schema}
+    listed = [F.struct(*[F.lit(b[c]).cast(kinds[c]).alias(c) for c in columns]) for b in borders]
+    part = F.size(F.filter(F.array(*listed), lambda b: b <= place)) if listed else F.lit(0)
+    ranged = rows.withColumn("merge_part", part)
+    within = F.row_number().over(Window.partitionBy("merge_part").orderBy(*columns))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("merge_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("merge_part").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")  # a row for each range
+    return ranged.withColumn("within", within).join(F.broadcast(offsets), "merge_part").withColumn("merge_ord", F.col("within") + F.col("before")).drop("merge_part", "within", "before")

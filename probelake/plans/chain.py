@@ -1,4 +1,4 @@
-"""The daily chain: ingest, state, report. Days depend on the day before and run in order."""
+"""The daily chain: state, report, history. Days depend on the day before and run in order."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from probelake.functions import classify
 from probelake.functions import schema as S
-from probelake.operators import cube, netjoin, ranking, state
+from probelake.functions.addresses import v4_bytes, v4_number
+from probelake.functions.dates import on_day, seconds_text
+from probelake.operators import cube, history, netjoin, ranking, state
 from probelake.sources import readers, sinks
 
 FIRST_DAY = date(2017, 4, 20)
@@ -22,14 +24,16 @@ def next_day(spark: SparkSession, snapshots: str, first: date = FIRST_DAY) -> da
 
 
 def run_day(spark: SparkSession, day: date, observations: str, snapshots: str, timelines: str) -> None:
-    """The state of a day from its observations and the snapshot of the day before."""
+    """The state of a day from its observations and the snapshot of the day before; messages are decoded once."""
     rows = readers.read_observations(spark, observations, str(day), str(day + timedelta(days=1)))
     previous = None
     if _has(spark, snapshots):
         previous = spark.read.parquet(snapshots).filter(F.col("day") == F.lit(day - timedelta(days=1))).drop("day")
-    snapshot, timeline = state.day_state(rows, previous, F.lit(str(day)))
+    work = f"{timelines}_work/day={day}"
+    snapshot, timeline = state.day_state(rows, previous, F.lit(str(day)), hold=lambda df: sinks.staged(df, work))
     sinks.write_snapshot(snapshot, snapshots, str(day))
     sinks.write_timeline(timeline, f"{timelines}/day={day}")
+    _remove(spark, work)
 
 
 def _has(spark: SparkSession, path: str) -> bool:
@@ -37,61 +41,136 @@ def _has(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def today(snapshot: DataFrame, day: date) -> DataFrame:
     """Entities updated on the day; a snapshot holds ten days of them."""
-    return snapshot.filter(F.to_date(F.timestamp_seconds("updated")) == F.lit(day))
+    return snapshot.filter(on_day(F.timestamp_seconds("updated"), F.lit(day)))
 
 
-def report(snapshot: DataFrame, day: date, probes: DataFrame, prefixes4: DataFrame, prefixes6: DataFrame, depth: int = 2) -> dict[str, DataFrame]:
-    """The tables of a day's report: base, values, masks, bands, probe, all long; and enriched, their common input.
-
-    ``enriched`` is read several times; write it first at scale.
-    """
+def enriched(snapshot: DataFrame, day: date, probes: DataFrame, prefixes4: DataFrame, prefixes6: DataFrame) -> DataFrame:
+    """Entities of the day with their ASNs, their class, and the reported values that they hold."""
     rows = netjoin.enrich(today(snapshot, day), probes, prefixes4, prefixes6)
     asn = [F.col(c) for c in ("prb_4", "prb_6", "res", "auth_g", "auth_a", "auth_6")]
     rows = rows.withColumn("origin", classify.origin_class(*asn)).withColumns({f"{k}_asn": v for k, v in classify.attributed(*asn).items()})
-    values = classify.capability_values(F.col("origin"))
-    held = cube.held_values(values, dict(S.CAPABILITIES))
-    rows = rows.withColumn("held_values", held)
-    held = F.col("held_values")
-    stamp = lambda df: df.withColumn("day", F.lit(day))
-    dims = {"probe": (F.col("probe_asn"), None), "resolver": (F.col("resolver_asn"), None), "auth": (F.col("auth_asn"), None), "nxhj": (F.col("nxhj"), F.col("nxhj") > 0)}
-    histograms = {d: cube.histogram(rows, v, held, depth, keep) for d, (v, keep) in dims.items()}
-    bands = None
-    for d, h in histograms.items():
-        own = ranking.bands(h.withColumnRenamed("value", "asn"), ["selection"]).withColumn("dim", F.lit(d))
+    return rows.withColumn("held_values", cube.held_values(classify.capability_values(F.col("origin")), dict(S.CAPABILITIES)))
+
+
+#: Dimensions of a report: the ASN that a row counts for, and whether it counts.
+DIMENSIONS = {"probe": ("probe_asn", None), "resolver": ("resolver_asn", None), "auth": ("auth_asn", None), "nxhj": ("nxhj", F.col)}
+
+
+def report_tables(rows: DataFrame, day: date, depth: int, extra: list[str] | None = None, flags: DataFrame | None = None) -> dict[str, DataFrame]:
+    """base, values, masks and bands of the enriched ``rows`` by selection, for each group of ``extra`` columns; all long, with the day."""
+    extra, held = extra or [], F.col("held_values")
+    by = [*extra, "selection"]
+    bands = masks = None
+    for dim, (column, positive) in DIMENSIONS.items():
+        h = cube.histogram(rows, F.col(column), held, depth, positive(column) > 0 if positive else None, extra)
+        own = ranking.bands(h, by, "value", few_groups=not extra).withColumn("dim", F.lit(dim))
         bands = own if bands is None else bands.unionByName(own)
-    masks = None
     for family, column in (("ECS mask", "ecs_mask"), ("ECS mask6", "ecs_mask6")):
-        h = cube.histogram(rows, F.col(column), held, depth, F.col(column) != 0)
-        own = ranking.top_n(h, ["selection"], "value", "n", ranking.TOP_MASKS).withColumnRenamed("value", "mask").withColumn("family", F.lit(family))
+        h = cube.histogram(rows, F.col(column), held, depth, F.col(column) != 0, extra)
+        own = ranking.top_n(h, by, "value", "n", ranking.TOP_MASKS).withColumnRenamed("value", "mask").withColumn("family", F.lit(family))
         masks = own if masks is None else masks.unionByName(own)
-    base = cube.cube(rows, held, "prb_id", depth, updated="updated").withColumn("datetime", F.date_format(F.timestamp_seconds("updated"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return {
-        "enriched": rows, "base": stamp(base), "values": stamp(cube.value_counts(rows, held, "prb_id", depth)), "masks": stamp(masks), "bands": stamp(bands),
-        "probe": stamp(cube.probe_flags(rows, held, "prb_id")),
-        "members": stamp(cube.members(rows, held, "prb_id", F.col("addr"), depth)),
-    }
+    base = cube.cube(rows, held, "prb_id", depth, updated="updated", extra=extra).withColumn("datetime", seconds_text(F.col("updated")))
+    values = cube.value_counts(rows, held, "prb_id", depth, extra, flags)
+    return {n: t.withColumn("day", F.lit(day)) for n, t in (("base", base), ("values", values), ("masks", masks), ("bands", bands))}
 
 
-def dimension_reports(enriched: DataFrame, prefix: str) -> DataFrame:
-    """Depth-1 selections for each of the top 100 ASNs of a dimension: 'prb', 'res' or 'auth'."""
+def wide(tables: dict[str, DataFrame], extra: list[str] | None = None) -> DataFrame:
+    return sinks.wide_report(tables["base"], tables["values"], tables["masks"], tables["bands"], ["day", *(extra or []), "selection"])
+
+
+def report(snapshot: DataFrame, day: date, probes: DataFrame, prefixes4: DataFrame, prefixes6: DataFrame, depth: int = 2) -> dict[str, DataFrame]:
+    """The tables of a day's report, with ``enriched``, their common input, and the members of all selections.
+
+    ``enriched`` is read by each; run_report() writes it first.
+    """
+    return tables_of(enriched(snapshot, day, probes, prefixes4, prefixes6), day, depth)
+
+
+def tables_of(rows: DataFrame, day: date, depth: int = 2) -> dict[str, DataFrame]:
+    members = cube.members(rows, F.col("held_values"), "prb_id", F.col("addr"), depth).withColumn("day", F.lit(day))
+    return {"enriched": rows, "members": members, **report_tables(rows, day, depth)}
+
+
+def dimension_rows(rows: DataFrame, prefix: str) -> DataFrame:
+    """The enriched rows that count for each of the top 100 ASNs (column ``asn``) of a dimension: 'prb', 'res' or 'auth'."""
     counted, candidates, within = {
         "prb": ("probe_asn", F.array(F.when(F.col("prb_4") > 0, F.col("prb_4")), F.when(F.col("prb_6") > 0, F.col("prb_6"))), None),
         "res": ("resolver_asn", F.array("res"), None),
         "auth": ("auth_asn", F.array("auth_g", "auth_a", "auth_6"), 0),
     }[prefix]
-    counts = enriched.groupBy(F.col(counted).alias("asn")).agg(F.count("*").alias("n"))
-    top = ranking.ranked_top(counts, "asn", "n", ranking.TOP_ASNS)
-    rows = ranking.top_semi_join(enriched, candidates, top, "asn", within)
-    return cube.cube(rows, F.col("held_values"), "prb_id", 1, extra=["asn"])
+    counts = rows.groupBy(F.col(counted).alias("asn")).agg(F.count("*").alias("n"))
+    return ranking.top_semi_join(rows, candidates, ranking.ranked_top(counts, "asn", "n", ranking.TOP_ASNS), "asn", within).drop("rank", "n")
 
 
-def run_days(spark: SparkSession, until: date, observations: str, snapshots: str, timelines: str, first: date = FIRST_DAY) -> list[date]:
-    """All days that have no snapshot yet, before ``until``, in order."""
+def dimension_reports(rows: DataFrame, prefix: str, day: date) -> tuple[DataFrame, DataFrame]:
+    """(wide reports, members) of depth 1 for each of the top ASNs of a dimension; probes' flags are those of all their rows."""
+    own = dimension_rows(rows, prefix)
+    tables = report_tables(own, day, 1, ["asn"], cube.probe_flags(rows, F.col("held_values"), "prb_id"))
+    held = F.col("held_values")
+    members = own.select("asn", F.explode(cube.selections(held, 1)).alias("selection"), F.col("prb_id").alias("probe"), F.col("addr").alias("address")).withColumn("day", F.lit(day))
+    return wide(tables, ["asn"]), members
+
+
+def probe_reports(rows: DataFrame, day: date) -> DataFrame:
+    """The wide report of each probe over its own resolvers; a single probe has no counts of probes."""
+    tables = report_tables(rows.withColumn("item", F.col("prb_id")), day, 0, ["item"])
+    tables["base"] = tables["base"].withColumn("n_probes", F.lit(0))
+    tables["values"] = tables["values"].withColumn("n_prbs", F.lit(0))
+    return wide(tables, ["item"])
+
+
+def run_report(spark: SparkSession, day: date, snapshots: str, reports: str, probes: DataFrame, prefixes4: DataFrame, prefixes6: DataFrame, depth: int = 2) -> None:
+    """The whole report of a day from its stored snapshot; a repeated day replaces what it wrote.
+
+    Under ``reports``: base, values, masks and bands (long, by day), report (wide CSV of all
+    selections), probes (a wide report for each), dimensions (wide reports of the top ASNs'
+    selections), members and dimension_members (a folder for each selection or ASN).
+    """
+    snapshot = spark.read.parquet(snapshots).filter(F.col("day") == F.lit(day)).drop("day")
+    work = f"{reports}_work/day={day}"
+    rows = sinks.staged(enriched(snapshot, day, probes, prefixes4, prefixes6), work)
+    tables = tables_of(rows, day, depth)
+    for name in ("base", "values", "masks", "bands"):
+        sinks.write_report(tables[name], f"{reports}/{name}")
+        tables[name] = spark.read.schema(tables[name].schema).parquet(f"{reports}/{name}").filter(F.col("day") == F.lit(day))
+    sinks.write_report_csv(wide(tables), f"{reports}/report")
+    sinks.write_selections(tables["members"], f"{reports}/members")
+    sinks.write_report(probe_reports(rows, day), f"{reports}/probes")
+    for dim in ("prb", "res", "auth"):
+        own, members = dimension_reports(rows, dim, day)
+        sinks.write_dimension(own, f"{reports}/dimensions", dim, "asn")
+        sinks.write_dimension(members, f"{reports}/dimension_members", dim, "asn")
+    _remove(spark, work)
+
+
+def run_history(spark: SparkSession, day: date, timelines: str, histories: str, prefixes4: DataFrame) -> None:
+    """The three histories of rewritten answers after a day: those of the day before, and the day's timeline, without what has expired."""
+    rows = readers.read_timeline(spark, f"{timelines}/day={day}")
+    ips = rows.select(F.explode("hijacked").alias("ip")).distinct().withColumn("n", v4_number(v4_bytes(F.col("ip"))))
+    order = "nth" if "nth" in prefixes4.columns else None
+    asns = ips.join(netjoin.lpm_v4(ips.filter("n is not null"), prefixes4, "n", order), "n").select("ip", "asn")
+    keys = {"by_probe": ["prb_id", "resolver", "asn"], "by_asn": ["asn", "prb_id", "resolver"], "ips_by_asn": ["asn", "ip"]}
+    for name, new in history.rewrites(rows, asns).items():
+        path = f"{histories}/{name}"
+        old = spark.read.parquet(path).filter(F.col("day") == F.lit(day - timedelta(days=1))).drop("day") if _has(spark, path) else None
+        sinks.write_partitions(history.fold(old, new, keys[name], F.lit(day)).withColumn("day", F.lit(day)), path, ["day"])
+
+
+def run_days(spark: SparkSession, until: date, observations: str, snapshots: str, timelines: str, first: date = FIRST_DAY, reports: str | None = None, dimensions: tuple[DataFrame, DataFrame, DataFrame] | None = None, depth: int = 2) -> list[date]:
+    """All days that have no snapshot yet, before ``until``, in order; with ``reports`` and ``dimensions`` (probes, IPv4 and IPv6 prefixes) their reports and histories too."""
     done, day = [], next_day(spark, snapshots, first)
     while day < until:
         run_day(spark, day, observations, snapshots, timelines)
+        if reports:
+            run_report(spark, day, snapshots, reports, *dimensions, depth=depth)
+            run_history(spark, day, timelines, f"{reports}/histories", dimensions[1])
         done.append(day)
         day += timedelta(days=1)
     return done

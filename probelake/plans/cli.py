@@ -2,7 +2,8 @@
 
     python -m probelake.plans.cli asn PREFIXES ADDRESS
     python -m probelake.plans.cli probe PROBES ID
-    python -m probelake.plans.cli days UNTIL OBSERVATIONS SNAPSHOTS TIMELINES
+    python -m probelake.plans.cli days UNTIL OBSERVATIONS SNAPSHOTS TIMELINES [REPORTS PROBES PREFIXES4 PREFIXES6]
+    python -m probelake.plans.cli report DAY SNAPSHOTS REPORTS PROBES PREFIXES4 PREFIXES6
 """
 
 from __future__ import annotations
@@ -10,15 +11,19 @@ from __future__ import annotations
 import sys
 from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from probelake.operators import netjoin
 from probelake.plans import chain
 from probelake.sources import readers
 
 
+def _dimensions(spark: SparkSession, probes: str, prefixes4: str, prefixes6: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return readers.read_probes(spark, probes), readers.read_prefixes(spark, prefixes4)[0], readers.read_prefixes(spark, prefixes6)[1]
+
+
 def main(args: list[str]) -> int:
-    if not args or (args[0], len(args)) not in {("asn", 3), ("probe", 3), ("days", 5)}:
+    if not args or (args[0], len(args)) not in {("asn", 3), ("probe", 3), ("days", 5), ("days", 9), ("report", 7)}:
         print(__doc__)
         return 2
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -27,8 +32,11 @@ def main(args: list[str]) -> int:
     elif args[0] == "probe":
         found = readers.read_probes(spark, args[1]).filter(f"prb_id = {int(args[2])}").first()
         print(found.asDict() if found else "unknown")
+    elif args[0] == "report":
+        chain.run_report(spark, date.fromisoformat(args[1]), *args[2:4], *_dimensions(spark, *args[4:]))
     else:
-        for day in chain.run_days(spark, date.fromisoformat(args[1]), *args[2:]):
+        more = {"reports": args[5], "dimensions": _dimensions(spark, *args[6:])} if len(args) > 5 else {}
+        for day in chain.run_days(spark, date.fromisoformat(args[1]), *args[2:5], **more):
             print(day)
     return 0
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from probelake.functions import addresses, classify, rules, wire
+from probelake.functions import addresses, classify, dates, rules, wire
 from probelake.functions import schema as S
 from probelake.operators import cube, gates, history, netjoin, ranking, series, state
 from probelake.sources import readers
@@ -87,7 +87,11 @@ def trust_anchor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM events WHERE value IS NOT NULL GROUP BY ALL")
 def keyed_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).filter("value is not null").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts"))
+    """The running last assignment, as of each entity's last row."""
+    order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    rows = _events(spark, sf_dir).filter("value is not null")
+    rows = rows.withColumns({"last": rules.running(F.col("value"), order.rowsBetween(Window.unboundedPreceding, 0), None), "nth": F.row_number().over(order)})
+    return rows.groupBy("user_id", "event_type").agg(F.max_by("last", "nth").alias("value"), F.max("ts").alias("ts"))
 
 
 @query("""
@@ -111,17 +115,147 @@ def throttled_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.throttle(numbered, ["entity", "day"]).select("entity", "day", F.explode("emitted").alias("e")).select("entity", "day", "e.nth", "e.updated")
 
 
+# Observations of every kind of measurement, made from events: what an event measures follows from its
+# number, the answer is the control address (or good) where its value is below 50, errors have no answer.
+_MEASURED = [
+    S.WHOAMI_G, S.WHOAMI_A, S.WHOAMI_6, S.QNAMEMIN, S.TCP4, S.TCP6, S.NXDOMAIN, S.DNSKEY_SECURE[5], S.DNSKEY_BOGUS[5], S.DNSKEY_SECURE[8], S.DNSKEY_BOGUS[8],
+    S.DS_SECURE[1], S.DS_BOGUS[1], S.NOT_TA_20326, S.NOT_TA_19036, S.IS_TA_20326, S.FLAGDAY[0], S.FLAGDAY[1], 999,
+]
+
+
+@F.arrow_udf(BinaryType())
+def _answers(msms, values, ids):
+    import pyarrow as pa
+
+    out = []
+    for msm, value, n in zip(msms.to_pylist(), values.to_pylist(), ids.to_pylist(), strict=True):
+        good, four = value < 50, bytes([10, n >> 16 & 255, n >> 8 & 255, n & 255])
+        kind, data = wire.A, [bytes(map(int, S.CONTROL_ADDRESS.split("."))) if good else four]
+        if msm == S.WHOAMI_G:
+            texts = [".".join(map(str, four)).encode(), b"edns0-client-subnet 10.0.0.0/24" if good else b"edns0-client-subnet 2001:db8::/56"]
+            kind, data = wire.TXT, [bytes([len(t)]) + t for t in texts]
+        elif msm in (S.WHOAMI_A, S.TCP4):
+            data = [four if good else four[:3]]
+        elif msm in (S.WHOAMI_6, S.TCP6):
+            kind, data = wire.AAAA, [bytes.fromhex("20010db8") + bytes(8) + four if good else four]
+        elif msm == S.QNAMEMIN:
+            text = b"HOORAY it does" if good else b"NO it does not"
+            kind, data = wire.TXT, [bytes([len(text)]) + text]
+        elif msm == S.NXDOMAIN:
+            data = [four] if good else []
+        out.append(wire.encode("q.example", kind, [("q.example", kind, d) for d in data], 3 if msm == S.NXDOMAIN and not good else 0))
+    return pa.array(out, pa.binary())
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as observations of 40 probes with two resolvers each."""
+    e = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    msm = F.element_at(F.array(*map(F.lit, _MEASURED)), (F.col("event_id") % len(_MEASURED) + 1).cast("int"))
+    addr = addresses.mapped(addresses.number_v4(F.lit(0xC0000200) + F.col("user_id") % 2))
+    error = F.col("event_type") == "error"
+    return e.select(
+        msm.alias("msm_id"), F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), F.date_trunc("second", "ts").cast("timestamp").alias("time"), F.lit(None).cast("float").alias("rt"),
+        (F.col("user_id") % 40).alias("prb_id"), addr.alias("addr"), error.alias("is_error"), F.when(~error, _answers(msm, F.col("value"), F.col("event_id"))).alias("msg"),
+    )
+
+
+_M = {m: k for k, m in enumerate(_MEASURED)}
+_STREAMS = ", ".join(f"({m}, {k})" for k, m in enumerate(sorted(S.KNOWN, key=str)))
+
+
+def _last_sql(name: str, ids: list[int], good: str, bad: str, other: str = "0") -> str:
+    at = ", ".join(str(_M[i]) for i in ids)
+    return f"coalesce(arg_max(CASE WHEN good THEN {good} ELSE {bad} END, o) FILTER (NOT error AND m IN ({at}) AND CASE WHEN good THEN {good} ELSE {bad} END IS NOT NULL), {other}) AS {name}"
+
+
+def _pair_sql(name: str, secure: int, bogus: int, last: str) -> str:
+    """Common table expressions of a pair's states and result, after the one named ``last``."""
+    w = "PARTITION BY prb_id, res ORDER BY o"
+    return f"""
+  {name}1 AS (SELECT *, CASE WHEN NOT error AND m = {_M[secure]} THEN CASE WHEN good THEN 1 ELSE 2 END END AS {name}_s, CASE WHEN NOT error AND m = {_M[bogus]} THEN CASE WHEN good THEN 1 ELSE 2 END END AS {name}_b FROM {last}),
+  {name}2 AS (SELECT *, coalesce(last_value({name}_s IGNORE NULLS) OVER w, 0) AS {name}_secure, coalesce(last_value({name}_b IGNORE NULLS) OVER w, 0) AS {name}_bogus FROM {name}1 WINDOW w AS ({w})),
+  {name}3 AS (SELECT *, CASE WHEN {name}_s = 1 AND {name}_bogus = 2 THEN 1 WHEN {name}_s = 1 AND {name}_bogus = 1 THEN 2 WHEN {name}_s = 2 AND {name}_bogus <> 0 THEN 3
+                             WHEN {name}_b = 1 AND {name}_secure = 1 THEN 2 WHEN {name}_b = 2 AND {name}_secure = 1 THEN 1 END AS {name}_said FROM {name}2),
+  {name}4 AS (SELECT *, coalesce(last_value({name}_said IGNORE NULLS) OVER ({w}), 0) AS {name}_result FROM {name}3)"""
+
+
+#: Rows of the last day and of entities that are not older than ten days before it, then the states as of each row.
+_DAY_SQL = f"""
+  st(id, so) AS (VALUES {_STREAMS}),
+  ms(k, id) AS (VALUES {", ".join(f"({k}, {m})" for m, k in _M.items())}),
+  raw AS (SELECT event_id, CAST(ts AS DATE) AS day, CAST(floor(epoch(date_trunc('second', ts))) AS BIGINT) AS t, user_id % 40 AS prb_id, user_id % 2 AS res, event_id % {len(_MEASURED)} AS m, event_type = 'error' AS error, value < 50 AS good,
+                 '0A' || upper(lpad(printf('%x', event_id), 6, '0')) AS four FROM events),
+  last AS (SELECT max(day) AS d FROM raw),
+  known AS (SELECT raw.*, so, (t, so, event_id) AS o FROM raw JOIN ms ON k = m JOIN st USING (id)),
+  seen AS (SELECT prb_id, res, max(t) AS early FROM known, last WHERE day < d GROUP BY ALL),
+  obs AS (SELECT known.* FROM known LEFT JOIN seen USING (prb_id, res), last WHERE day = d OR early >= CAST(floor(epoch(CAST(d AS TIMESTAMP))) AS BIGINT) - 864000),
+  {_pair_sql("rsa", S.DNSKEY_SECURE[5], S.DNSKEY_BOGUS[5], "obs")},
+  {_pair_sql("ec", S.DNSKEY_SECURE[8], S.DNSKEY_BOGUS[8], "rsa4")},
+  {_pair_sql("ds", S.DS_SECURE[1], S.DS_BOGUS[1], "ec4")},
+  a1 AS (SELECT *, coalesce(last_value(CASE WHEN NOT error AND m = {_M[S.NOT_TA_20326]} THEN CASE WHEN NOT good AND rsa_result = 1 THEN 1 ELSE 0 END END IGNORE NULLS) OVER (PARTITION BY prb_id, res ORDER BY o), 0) AS has_ta_20326 FROM ds4),
+  a2 AS (SELECT *, coalesce(last_value(CASE WHEN NOT error AND m = {_M[S.NOT_TA_19036]} THEN CASE WHEN has_ta_20326 <> 1 THEN 0 WHEN good THEN 2 ELSE 1 END END IGNORE NULLS) OVER (PARTITION BY prb_id, res ORDER BY o), 0) AS has_ta_19036 FROM a1)"""
+
+_V6 = "'20010DB80000000000000000' || four"
+
+
+@query(f"""
+WITH {_DAY_SQL}
+SELECT prb_id, CAST(res AS INTEGER) AS res, max(t) AS updated,
+  {_last_sql("whoami_g", [S.WHOAMI_G], "four", "four", "NULL")}, {_last_sql("ecs_mask", [S.WHOAMI_G], "24", "0")}, {_last_sql("ecs_mask6", [S.WHOAMI_G], "0", "56")},
+  {_last_sql("whoami_a", [S.WHOAMI_A, S.TCP4], "four", "NULL", "NULL")}, {_last_sql("whoami_6", [S.WHOAMI_6, S.TCP6], _V6, "NULL", "NULL")},
+  {_last_sql("qnamemin", [S.QNAMEMIN], "1", "2")}, {_last_sql("tcp_ipv4", [S.TCP4], "1", "2")}, {_last_sql("tcp_ipv6", [S.TCP6], "1", "2")},
+  {_last_sql("nxdomain", [S.NXDOMAIN], "1", "2")}, {_last_sql("hijacked", [S.NXDOMAIN], "four", "''", "''")},
+  {_last_sql("not_ta_19036", [S.NOT_TA_19036], "1", "2")}, {_last_sql("not_ta_20326", [S.NOT_TA_20326], "1", "2")}, {_last_sql("does_flagday", S.FLAGDAY, "2", "1")},
+  arg_max(has_ta_19036, o) AS has_ta_19036, arg_max(has_ta_20326, o) AS has_ta_20326,
+  arg_max(rsa_secure, o) AS rsa_secure, arg_max(rsa_bogus, o) AS rsa_bogus, arg_max(rsa_result, o) AS rsa_result, arg_max(ec_result, o) AS ec_result, arg_max(ds_result, o) AS ds_result
+FROM a2 GROUP BY prb_id, res""")
+def day_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole state of the last day on a carried snapshot: messages decoded, all rules, errors, unknown measurements, expiry."""
+    snapshot = _last_day(spark, sf_dir)[0]
+    pair = {"rsa": "dnskey_rsasha256", "ec": "dnskey_ecdsa256", "ds": "ds_sha384"}
+    res = addresses.v4_number(F.substring("addr", 13, 4)) - 0xC0000200
+    return snapshot.select(
+        "prb_id", res.cast("int").alias("res"), "updated", *[F.hex(c).alias(c) for c in ("whoami_g", "whoami_a", "whoami_6")], "ecs_mask", "ecs_mask6", "qnamemin", "tcp_ipv4", "tcp_ipv6", "nxdomain",
+        F.array_join(F.transform("hijacked", F.hex), ",").alias("hijacked"), "not_ta_19036", "not_ta_20326", "does_flagday", "has_ta_19036", "has_ta_20326",
+        F.col("dnskey_rsasha256_secure").alias("rsa_secure"), F.col("dnskey_rsasha256_bogus").alias("rsa_bogus"), *[F.col(f"{p}_result").alias(f"{n}_result") for n, p in pair.items()],
+    )
+
+
+def _last_day(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, timeline) of the last day; the snapshot of the days before is carried into it."""
+    rows = _observations(spark, sf_dir)
+    last = F.lit(_table(spark, sf_dir, "events").agg(F.max(F.to_date("ts"))).first()[0])
+    early, _ = state.day_state(rows.filter(F.col("day") < last))
+    return state.day_state(rows.filter(F.col("day") == last), early, last)
+
+
+@query(f"""
+WITH RECURSIVE {_DAY_SQL},
+  n AS (SELECT *, row_number() OVER (PARTITION BY prb_id, res ORDER BY o) AS nth FROM a2),
+  f AS (SELECT prb_id, res, nth, t AS updated, t AS logged, false AS emitted FROM n WHERE nth = 1
+        UNION ALL
+        SELECT n.prb_id, n.res, n.nth, greatest(f.updated, n.t), CASE WHEN greatest(f.updated, n.t) - f.logged > 3600 THEN n.t ELSE f.logged END, greatest(f.updated, n.t) - f.logged > 3600
+        FROM f JOIN n ON n.prb_id = f.prb_id AND n.res = f.res AND n.nth = f.nth + 1)
+SELECT prb_id, CAST(res AS INTEGER) AS res, f.updated, rsa_result, ec_result, ds_result, has_ta_20326, has_ta_19036 FROM f JOIN n USING (prb_id, res, nth), last WHERE emitted AND day = d""")
+def day_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The emissions of the last day, each with the state as it was, on carried clocks."""
+    timeline = _last_day(spark, sf_dir)[1]
+    res = addresses.v4_number(F.substring("addr", 13, 4)) - 0xC0000200
+    return timeline.select("prb_id", res.cast("int").alias("res"), "updated", F.col("dnskey_rsasha256_result").alias("rsa_result"), F.col("dnskey_ecdsa256_result").alias("ec_result"), F.col("ds_sha384_result").alias("ds_result"), "has_ta_20326", "has_ta_19036")
+
+
 @query("""
-WITH d AS (SELECT max(CAST(ts AS DATE)) AS last FROM events)
-SELECT user_id, max(ts) AS updated, arg_max(event_type, (ts, event_id)) AS event_type, max(CAST(ts AS DATE)) = max(last) AS touched
-FROM events, d GROUP BY user_id HAVING max(ts) >= max(last) - INTERVAL 10 DAY""")
+WITH d AS (SELECT max(CAST(ts AS DATE)) AS last FROM events), k AS (SELECT user_id, CAST(floor(epoch(max(date_trunc('second', ts)))) AS BIGINT) AS updated FROM events, d WHERE CAST(ts AS DATE) < last GROUP BY user_id)
+SELECT user_id, updated FROM k, d WHERE updated >= CAST(floor(epoch(CAST(last AS TIMESTAMP))) AS BIGINT) - 864000""")
 def carry_over_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last day's snapshot: carried entities not older than ten days, and those of the day."""
+    """What a snapshot of the days before carries into the last day: entities not older than ten days."""
     events = _events(spark, sf_dir)
-    last = events.agg(F.max(F.to_date("ts")).alias("last"))  # one row
-    rows = events.crossJoin(F.broadcast(last)).withColumn("today", F.to_date("ts") == F.col("last"))
-    pick = lambda df: df.groupBy("user_id").agg(F.max("ts").alias("updated"), F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("today").alias("touched"), F.max("last").alias("last"))
-    return pick(rows).filter(F.col("updated") >= F.date_sub("last", S.KEEP_DAYS).cast("timestamp")).drop("last")
+    last = F.lit(events.agg(F.max(F.to_date("ts"))).first()[0])
+    updated = F.unix_timestamp(F.max(F.date_trunc("second", "ts")).cast("timestamp"))
+    seen = events.filter(F.to_date("ts") < last).groupBy(F.col("user_id").alias("prb_id")).agg(updated.alias("updated"))
+    blank = {n: F.lit(None).cast("binary") if n.startswith("whoami") else F.array().cast("array<binary>") if n == "hijacked" else F.lit(0) for n in state.SNAPSHOT_STATES}
+    snapshot = seen.withColumns({"addr": F.unhex(F.lit("00" * 16)), "logged": F.col("updated"), **blank})
+    return state.carried(snapshot, last).select(F.col("prb_id").alias("user_id"), F.col("carried_updated").alias("updated"))
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_type, event_id) AS merge_ord FROM events")
@@ -171,6 +305,68 @@ def prefix_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return netjoin.flatten_v4(_net(spark, sf_dir)[1])
 
 
+_V6_SQL = """
+  ip6 AS (SELECT c_custkey, '20010db8' || lpad(printf('%x', (c_custkey * 2654435761) % 4294967296), 8, '0') || '000000000000' || lpad(printf('%x', c_custkey % 65536), 4, '0') AS h FROM customer),
+  p6raw AS (SELECT 32 + 4 * (s_suppkey % 5) AS masklen, '20010db8' || lpad(printf('%x', (s_suppkey * 2654435761) % 4294967296), 8, '0') AS h, CAST(64500 + s_suppkey % 40 AS INTEGER) AS asn FROM supplier),
+  p6 AS (SELECT substr(h, 1, CAST(masklen // 4 AS INTEGER)) AS stem, max(asn) AS asn FROM p6raw GROUP BY 1)
+"""
+
+
+def _net6(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    head = F.unhex(F.lit("20010db8"))
+    spread = lambda c: addresses.number_v4((F.col(c) * 2654435761) % (1 << 32))
+    tail = F.unhex(F.lpad(F.hex(F.col("c_custkey") % 65536), 16, "0"))
+    ips = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(head, spread("c_custkey"), tail).alias("ip"))
+    masklen = (F.lit(32) + 4 * (F.col("s_suppkey") % 5)).cast("int")
+    full = F.concat(head, spread("s_suppkey"), F.unhex(F.lit("00" * 8)))
+    return ips, _table(spark, sf_dir, "supplier").select(addresses.network_v6(full, masklen).alias("network"), masklen.alias("masklen"), (F.lit(64500) + F.col("s_suppkey") % 40).cast("int").alias("asn"))
+
+
+@query("WITH " + _V6_SQL + "SELECT h AS ip, coalesce(arg_max(asn, length(stem)), 0) AS asn FROM ip6 LEFT JOIN p6 ON starts_with(h, stem) GROUP BY h")
+def prefix_lpm_lookup_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ips, prefixes = _net6(spark, sf_dir)
+    return netjoin.lpm_v6(ips, prefixes).select(F.lower(F.hex("ip")).alias("ip"), "asn")
+
+
+@query("WITH " + _V6_SQL + """,
+  r AS (SELECT rpad(stem, 16, '0') AS f, rpad(stem, 16, 'f') AS t, length(stem) AS n, asn FROM p6),
+  x AS (SELECT f, 1 AS open, n, asn, t FROM r)
+  SELECT h AS at, coalesce(arg_max(asn, n), 0) AS asn FROM (SELECT DISTINCT unnest([f, t]) AS h FROM r) LEFT JOIN r ON f <= h AND h <= t GROUP BY h""")
+def prefix_overlay_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flattened IPv6 ranges, read at the first and last /64 of every prefix."""
+    prefixes = _net6(spark, sf_dir)[1]
+    ranges = netjoin.flatten_v6(prefixes).select(F.col("from"), "till", "asn")
+    last = F.concat(F.substring("network", 1, 4), F.substring(F.unhex(F.rpad(F.substring(F.hex("network"), F.lit(1), (F.col("masklen") / 4).cast("int")), 32, "F")), 5, 4), F.unhex(F.lit("00" * 8)))
+    points = prefixes.select(F.explode(F.array("network", last)).alias("at")).distinct()
+    # Ranges are disjoint: of the ranges that begin up to a point the last one holds it, or none does.
+    order = Window.partitionBy(F.substring("at", 1, 2)).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = points.select("at", F.lit(1).alias("kind"), F.lit(None).cast("struct<till:binary,asn:int>").alias("r")).unionByName(ranges.select(F.col("from").alias("at"), F.lit(0).alias("kind"), F.struct("till", "asn").alias("r")))
+    held = both.withColumn("held", F.last("r", ignorenulls=True).over(order)).filter("kind = 1")
+    return held.select(F.lower(F.hex(F.substring("at", 1, 8))).alias("at"), F.when(F.col("held.till").isNull() | (F.col("held.till") > F.col("at")), F.col("held.asn")).otherwise(0).alias("asn"))
+
+
+@query("WITH " + _NET_SQL + "," + _V6_SQL + """,
+  q AS (SELECT network, masklen, asn FROM p),
+  look AS (SELECT ip, coalesce(arg_max(asn, masklen), 0) AS asn FROM ip LEFT JOIN r ON f <= ip AND ip < t GROUP BY ip),
+  look6 AS (SELECT h, coalesce(arg_max(asn, length(stem)), 0) AS asn FROM ip6 LEFT JOIN p6 ON starts_with(h, stem) GROUP BY h),
+  c AS (SELECT c_custkey, (c_custkey * 2654435761) % 4294967296 AS ip FROM customer)
+  SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE a.asn END AS auth_g, CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE a.asn END AS auth_a, CASE WHEN c_custkey % 5 = 0 THEN -1 WHEN c_custkey % 5 = 1 THEN a.asn ELSE s.asn END AS auth_6,
+         CASE WHEN c_custkey % 2 = 0 THEN a.asn ELSE s.asn END AS res, CASE WHEN c_custkey % 7 = 0 THEN a.asn ELSE -1 END AS nxhj,
+         CASE WHEN c_custkey % 50 = 0 THEN -1 ELSE CAST(c_custkey % 50 AS INTEGER) END AS prb_4, -1 AS prb_6
+  FROM c JOIN look a USING (ip) JOIN ip6 USING (c_custkey) JOIN look6 s USING (h)""")
+def network_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of the five addresses of an entity, IPv4 and IPv6, and of its probe."""
+    ips, six = _net6(spark, sf_dir)
+    k = F.col("c_custkey")
+    four = addresses.number_v4((k * 2654435761) % (1 << 32))
+    snapshot = ips.select(
+        k.alias("c_custkey"), (k % 50).alias("prb_id"), F.when(k % 2 == 0, addresses.mapped(four)).otherwise(F.col("ip")).alias("addr"), F.when(k % 3 != 0, four).alias("whoami_g"), F.when(k % 4 != 0, four).alias("whoami_a"),
+        F.when(k % 5 == 1, addresses.mapped(four)).when(k % 5 > 1, F.col("ip")).alias("whoami_6"), F.when(k % 7 == 0, F.array(four)).otherwise(F.array().cast("array<binary>")).alias("hijacked"),
+    )
+    probes = spark.range(1, 50).select(F.col("id").alias("prb_id"), F.col("id").cast("int").alias("asn_v4"), F.lit(-1).alias("asn_v6"))
+    return netjoin.enrich(snapshot, probes, _net(spark, sf_dir)[1], six).select("c_custkey", "auth_g", "auth_a", "auth_6", "res", "nxhj", "prb_4", "prb_6")
+
+
 _ASN_SQL = """
   x AS (SELECT c_custkey, CAST(c_custkey % 7 AS INTEGER) - 1 AS x4, CAST(c_custkey % 5 AS INTEGER) - 1 AS x6, CAST(c_custkey % 11 AS INTEGER) AS y,
                CAST(c_custkey % 13 AS INTEGER) - 1 AS g, CAST(c_custkey // 13 % 9 AS INTEGER) - 1 AS a, CAST(c_custkey // 7 % 6 AS INTEGER) - 1 AS s FROM customer)
@@ -494,7 +690,7 @@ def rewriting_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, CAST((length(html) - length(replace(html, '<li>', ''))) // 4 AS INTEGER) AS items FROM pages")
 def html_pre_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text between tags, and the number of listed parts."""
-    return _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), (F.size(F.split("html", "<li>")) - 1).alias("items"))
+    return _table(spark, sf_dir, "pages").select("page_id", readers.tagged("html", "title")[0].alias("title"), readers.tagged("html", "li")[1].alias("items"))
 
 
 @query("""
@@ -546,28 +742,60 @@ def asn_name_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT user_id % 10 AS sel, CAST(ts AS DATE) AS day, event_type AS value, count(*) AS n, count(DISTINCT user_id) AS n_prbs FROM events GROUP BY ALL)
-SELECT day, CAST(sel AS VARCHAR) AS selection, CAST(max(n) FILTER (value = 'click') AS VARCHAR) AS can_tcp, CAST(coalesce(max(n_prbs) FILTER (value = 'click'), 0) AS VARCHAR) AS can_tcp_prbs, '0' AS can_gost, sum(n) AS resolvers
-FROM c GROUP BY ALL HAVING can_tcp IS NOT NULL""")
+WITH e AS (SELECT CAST(ts AS DATE) AS day, CAST(user_id % 10 AS VARCHAR) AS selection, event_type AS value, user_id, CAST(user_id % 33 AS INTEGER) AS mask FROM events),
+c AS (SELECT day, selection, value, count(*) AS n, count(DISTINCT user_id) AS n_prbs FROM e GROUP BY ALL),
+b AS (SELECT day, selection, sum(n) AS resolvers, max(n) FILTER (value = 'click') AS can_tcp, max(n_prbs) FILTER (value = 'click') AS can_tcp_prbs FROM c GROUP BY ALL),
+m0 AS (SELECT day, selection, mask, count(*) AS n FROM e WHERE mask <> 0 GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY day, selection ORDER BY n DESC, mask) AS k FROM m0),
+m2 AS (SELECT day, selection, max(mask) FILTER (k = 1) AS m1, max(n) FILTER (k = 1) AS n1, max(mask) FILTER (k = 2) AS m2, coalesce(sum(n) FILTER (k > 2), 0) AS rest FROM m GROUP BY ALL),
+u AS (SELECT day, selection, user_id, count(*) AS n FROM e GROUP BY ALL),
+g0 AS (SELECT day, selection, n, count(*) AS items, string_agg('AS' || user_id, ',' ORDER BY user_id) AS names FROM u GROUP BY day, selection, n),
+g AS (SELECT *, row_number() OVER (PARTITION BY day, selection ORDER BY n DESC) AS k FROM g0),
+g2 AS (SELECT day, selection, sum(n * items) FILTER (k = 1) AS t1, max(CASE WHEN items > 20 THEN 'in ' || items || ' ASNs (' || n || ')' ELSE names END) FILTER (k = 1) AS l1, coalesce(sum(n * items) FILTER (k > 2), 0) AS rest FROM g GROUP BY ALL)
+SELECT b.day, b.selection, CAST(coalesce(can_tcp, 0) AS VARCHAR) AS can_tcp, CAST(coalesce(can_tcp_prbs, 0) AS VARCHAR) AS can_tcp_prbs, '0' AS can_gost, CAST(resolvers AS BIGINT) AS resolvers,
+       CAST(coalesce(m1, 0) AS VARCHAR) AS mask_1, CAST(coalesce(n1, 0) AS VARCHAR) AS mask_1_count, CAST(coalesce(m2.m2, 0) AS VARCHAR) AS mask_2, CAST(coalesce(m2.rest, 0) AS VARCHAR) AS masks_rest,
+       CAST(CAST(t1 AS BIGINT) AS VARCHAR) AS band_1, l1 AS band_1_label, CAST(CAST(g2.rest AS BIGINT) AS VARCHAR) AS bands_rest
+FROM b LEFT JOIN m2 USING (day, selection) JOIN g2 USING (day, selection)""")
 def wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of 965 columns from long tables; some of its columns."""
+    """The report of 965 columns from long tables of values, masks and bands; some of its columns."""
     from probelake.sources import sinks
 
-    key = [F.to_date("ts").alias("day"), (F.col("user_id") % 10).cast("string").alias("selection")]
-    values = _events(spark, sf_dir).groupBy(*key, F.when(F.col("event_type") == "click", "can_tcp").otherwise(F.concat(F.lit("other_"), "event_type")).alias("value")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_prbs"))
-    base = values.groupBy("day", "selection").agg(F.sum("n").alias("n_resolvers"), F.sum("n_prbs").alias("n_probes")).withColumn("datetime", F.lit(""))
-    masks = spark.createDataFrame([], "day date, selection string, family string, rank int, mask string, n long")
-    bands = spark.createDataFrame([], "day date, selection string, dim string, band int, total long, label string")
+    rows = _events(spark, sf_dir).select(F.to_date("ts").alias("day"), (F.col("user_id") % 10).cast("string").alias("selection"), "event_type", "user_id")
+    key = ["day", "selection"]
+    counted = rows.groupBy(*key, "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_prbs"))
+    values = counted.withColumn("value", F.when(F.col("event_type") == "click", "can_tcp").otherwise(F.concat(F.lit("other_"), "event_type")))
+    base = counted.groupBy(*key).agg(F.sum("n").alias("n_resolvers"), F.sum("n_prbs").alias("n_probes")).withColumn("datetime", F.lit(""))
+    mask = (F.col("user_id") % 33).cast("int")
+    masks = ranking.top_n(rows.filter(mask != 0).groupBy(*key, mask.alias("mask")).agg(F.count("*").alias("n")), key, "mask", "n", 2).withColumn("family", F.lit("ECS mask"))
+    bands = ranking.bands(rows.groupBy(*key, F.col("user_id").alias("asn")).agg(F.count("*").alias("n")), key, most=2).withColumn("dim", F.lit("resolver"))
     wide = sinks.wide_report(base, values, masks, bands)
-    return wide.filter("can_tcp <> '0'").select("day", "selection", "can_tcp", "can_tcp_prbs", "can_gost", F.col("# resolvers").alias("resolvers"))
+    named = {"resolvers": "# resolvers", "mask_1": "ECS mask #1", "mask_1_count": "ECS mask #1 count", "mask_2": "ECS mask #2", "masks_rest": "Remaining ECS mask count", "band_1": "resolver #1 total", "band_1_label": "resolver #1 ASNs", "bands_rest": "Remaining resolver ASNs count"}
+    return wide.select(*key, "can_tcp", "can_tcp_prbs", "can_gost", *[F.col(c).alias(n) for n, c in named.items()])
+
+
+@query(f"WITH {_CUBE_SQL} SELECT selection, user_id AS probe, strftime(day, '%Y-%m-%d') AS address FROM s1")
+def selection_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of all selections, a row each."""
+    rows, held = _daily(spark, sf_dir)
+    return cube.members(rows, held, "user_id", F.col("day").cast("string"), 1)
+
+
+@query("""
+WITH f AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, '2018/' || o_orderkey || '.gz' AS file FROM orders)
+SELECT arg_max(file, (day, o_orderkey)) AS file FROM f""")
+def newest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest file of a creation log, a line for each order."""
+    order = F.struct(F.to_date("o_orderdate").alias("day"), F.col("o_orderkey"))
+    log = _table(spark, sf_dir, "orders").select(order.alias("nth"), F.concat_ws("\t", "o_orderkey", F.lit("15"), F.concat(F.lit("2018/"), "o_orderkey", F.lit(".gz"))).alias("value"))
+    return readers.newest_prefix_file(log)
 
 
 @query("""
 SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS text, date_trunc('second', ts) AS back, CAST(ts AS DATE) = DATE '2024-01-07' AS on_day FROM events""")
 def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UTC times to text and back, and the same-day test."""
-    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return _events(spark, sf_dir).withColumn("text", text).select("event_id", "text", F.to_timestamp("text", "yyyy-MM-dd'T'HH:mm:ssX").cast("timestamp_ntz").alias("back"), (F.to_date("ts") == F.lit("2024-01-07").cast("date")).alias("on_day"))
+    rows = _events(spark, sf_dir).withColumn("text", dates.time_text(F.col("ts").cast("timestamp")))
+    return rows.select("event_id", "text", dates.text_time(F.col("text")).cast("timestamp_ntz").alias("back"), dates.on_day(F.col("ts"), F.lit("2024-01-07")).alias("on_day"))
 
 
 @query("""

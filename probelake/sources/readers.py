@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probelake.functions import schema as S
@@ -54,34 +54,56 @@ def read_observations(spark: SparkSession, path: str, day: str | None = None, un
     return rows if msm_ids is None else rows.filter(F.col("msm_id").isin(*msm_ids))
 
 
-def prefixes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(IPv4, IPv6) prefixes: network, masklen, asn from text rows prefix, masklen, asn.
+def prefixes(table: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(IPv4, IPv6) prefixes: network, masklen, asn[, nth] from text rows prefix, masklen, asn.
 
     The first of several origins counts. IPv6 prefixes of mapped addresses belong to IPv4.
+    ``order``: a column with the rows' order, which becomes ``nth``; of equal prefixes the last counts.
     """
     asn = F.regexp_extract("asn", r"^\s*(\d+)", 1).try_cast("int")
-    rows = table.select(F.trim("prefix").alias("prefix"), "masklen", asn.alias("asn")).filter("asn is not null")
-    four = rows.filter(~F.col("prefix").contains(":")).select(v4_number(v4_bytes(F.col("prefix"))).alias("network"), "masklen", "asn")
-    six = rows.filter(F.col("prefix").contains(":")).select(address_bytes(F.col("prefix")).alias("network"), "masklen", "asn")
+    nth = [F.col(order).alias("nth")] if order else []
+    own = ["masklen", "asn", *(["nth"] if order else [])]
+    rows = table.select(F.trim("prefix").alias("prefix"), "masklen", asn.alias("asn"), *nth).filter("asn is not null")
+    four = rows.filter(~F.col("prefix").contains(":")).select(v4_number(v4_bytes(F.col("prefix"))).alias("network"), *own)
+    six = rows.filter(F.col("prefix").contains(":")).select(address_bytes(F.col("prefix")).alias("network"), *own)
     is_mapped = (F.hex(F.substring("network", 1, 12)) == "00000000000000000000FFFF") & (F.col("masklen") >= 96)
-    inner = six.filter(is_mapped).select(v4_number(F.substring("network", 13, 4)).alias("network"), (F.col("masklen") - 96).alias("masklen"), "asn")
+    inner = six.filter(is_mapped).withColumns({"network": v4_number(F.substring("network", 13, 4)), "masklen": F.col("masklen") - 96})
     return four.unionByName(inner).filter("network is not null"), six.filter(~is_mapped & F.col("network").isNotNull())
 
 
 def read_prefixes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return prefixes(spark.read.schema(S.PREFIX_SCHEMA).option("sep", "\t").csv(path))
+    """Tables of one file, with the order of its lines."""
+    rows = spark.read.schema(S.PREFIX_SCHEMA).option("sep", "\t").csv(path)
+    return prefixes(rows.withColumn("line", F.monotonically_increasing_id()), "line")  # parts of a file are numbered in its order
+
+
+def newest_prefix_file(log: DataFrame, column: str = "value") -> DataFrame:
+    """One row, ``file``: the last word of the last line of a creation log (lines that begin with '#' and empty ones apart).
+
+    ``log``: text lines in the order of ``nth`` (without it, of the file).
+    """
+    lines = log if "nth" in log.columns else log.withColumn("nth", F.monotonically_increasing_id())
+    used = lines.filter((F.trim(column) != "") & ~F.col(column).startswith("#"))
+    return used.agg(F.max_by(column, "nth").alias("line")).select(F.element_at(F.split(F.trim("line"), r"\s+"), -1).alias("file"))
 
 
 def probes(table: DataFrame) -> DataFrame:
-    """prb_id, asn_v4, asn_v6 (-1 unknown), latitude, longitude, country_code, without rows that know nothing."""
-    known = F.coalesce(*[F.col(c).cast("string") for c in ("asn_v4", "asn_v6", "latitude", "longitude", "country_code")])
+    """prb_id, asn_v4, asn_v6 (-1 unknown), latitude, longitude, country_code, without rows that know nothing; 0 and '' are unknown."""
+    some = lambda c: F.when(F.col(c).cast("string").isin("", "0", "0.0", "-0.0"), None).otherwise(F.col(c))
+    table = table.select("id", *[some(c).alias(c) for c in ("asn_v4", "asn_v6", "latitude", "longitude", "country_code")])
+    known = F.coalesce(*[F.col(c).cast("string") for c in table.columns[1:]])
     return table.filter(known.isNotNull()).select(
         F.col("id").alias("prb_id"), F.coalesce("asn_v4", F.lit(-1)).alias("asn_v4"), F.coalesce("asn_v6", F.lit(-1)).alias("asn_v6"), "latitude", "longitude", "country_code"
     )
 
 
 def read_probes(spark: SparkSession, path: str) -> DataFrame:
-    return probes(spark.read.schema(S.PROBE_SCHEMA).json(path))
+    """Probes of an archive as published (one JSON document with ``objects``, packed or not); raises if it holds none."""
+    archive = spark.read.schema(f"objects array<struct<{', '.join(x.replace(' ', ': ', 1) for x in S.PROBE_SCHEMA.split(', '))}>>").option("multiLine", True).json(path)
+    out = probes(archive.select(F.explode("objects").alias("o")).select("o.*"))
+    if out.isEmpty():
+        raise ValueError(f"no probes in {path}")
+    return out
 
 
 def asn_names(pages: DataFrame, column: str) -> DataFrame:
@@ -102,4 +124,12 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """The stored wide report (sinks.write_report_csv) of whole numbers, the time as text and labels as they are."""
+    rows = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
+    text = lambda c: c == "datetime" or c.endswith(" ASNs") or c in ("selection", "item", "dim", "kind")
+    return rows.select(*[F.col(f"`{c}`") if text(c) else F.col(f"`{c}`").cast("date" if c == "day" else "long").alias(c) for c in rows.columns])
+
+
+def tagged(column: str, tag: str) -> tuple[Column, Column]:
+    """(text between the first pair of a tag, number of the tag's openings) of a column of pages."""
+    return F.regexp_extract(column, f"(?s)<{tag}>(.*?)</{tag}>", 1), F.size(F.split(column, f"<{tag}>")) - 1

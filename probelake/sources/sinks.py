@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from probelake.functions import schema as S
 from probelake.functions.addresses import address_text, v4_text
+from probelake.functions.dates import seconds_text
 
 
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
@@ -15,36 +16,59 @@ def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def write_observations(rows: DataFrame, path: str) -> None:
-    """Sorted by time within files, one set of files for each measurement and day."""
-    write_partitions(rows.repartition("msm_id", "day").sortWithinPartitions("msm_id", "day", "time", "seq"), path, ["msm_id", "day"])
+    """Sorted by time within files; files of a measurement and day hold ranges of its time, so a large one is many tasks."""
+    write_partitions(rows.repartitionByRange("msm_id", "day", "time", "seq").sortWithinPartitions("msm_id", "day", "time", "seq"), path, ["msm_id", "day"])
 
 
 def write_snapshot(snapshot: DataFrame, path: str, day: str) -> None:
     write_partitions(snapshot.withColumn("day", F.lit(day).cast("date")), path, ["day"])
 
 
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written and read back; a repetition replaces it."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
-    """Long form: day, selection, value, n, n_prbs; partitioned by day, so a repeated day does not double."""
+    """A long table of the report, partitioned by day, so that a repeated day does not double."""
     write_partitions(report, path, ["day"])
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of one folder in few files: dealt by folder, a large one over several tasks by a salt."""
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in by]), F.lit(SALT))
+    return rows.withColumn("salt", salt).repartition(*by, "salt").drop("salt")
+
+
+#: Files of a folder, at most.
+SALT = 8
+
+
 def write_selections(members: DataFrame, path: str) -> None:
-    """A folder for each selection: sel1, sel2 ('-' where there is none)."""
+    """A folder for each day and selection: sel1, sel2 ('-' where there is none)."""
     parts = F.split("selection", "/")
-    named = members.withColumns({"sel1": F.when(F.col("selection") == "", "-").otherwise(parts[0]), "sel2": F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("-"))})
-    write_partitions(named.drop("selection"), path, ["sel1", "sel2"])
+    named = members.withColumns({"sel1": F.when(F.col("selection") == "", "-").otherwise(parts[0]), "sel2": F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("-"))}).drop("selection")
+    by = [*(["day"] if "day" in members.columns else []), "sel1", "sel2"]
+    write_partitions(_dealt(named, *by), path, by)
 
 
 def write_dimension(rows: DataFrame, path: str, dim: str, item: str) -> None:
-    """Reports of one dimension's items ('prb', 'res', 'auth'): a folder for each item."""
-    write_partitions(rows.withColumn("dim", F.lit(dim)), path, ["dim", item])
+    """Reports of one dimension's items ('prb', 'res', 'auth' or 'probe'): a folder for each day and item."""
+    by = [*(["day"] if "day" in rows.columns else []), "dim", item]
+    write_partitions(_dealt(rows.withColumn("dim", F.lit(dim)), *by), path, by)
+
+
+def write_report_csv(wide: DataFrame, path: str) -> None:
+    """The wide report with a header, a folder for each day; a repeated day is replaced."""
+    wide.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).option("escape", '"').partitionBy("day").csv(path)
 
 
 def timeline_columns() -> list[tuple[str, Column]]:
     """The 67 columns of the timeline, by name."""
     one = lambda column, value: F.when(F.col(column) == value, 1).otherwise(0)
     out = [
-        ("datetime", F.date_format(F.timestamp_seconds("updated"), "yyyy-MM-dd'T'HH:mm:ss'Z'")), ("probe ID", F.col("prb_id")), ("probe resolver", address_text(F.col("addr"))),
+        ("datetime", seconds_text(F.col("updated"))), ("probe ID", F.col("prb_id")), ("probe resolver", address_text(F.col("addr"))),
         # Names of the questions whose answers these are.
         ("o-o.myaddr.l.google.com TXT", v4_text(F.col("whoami_g"))), ("whoami.akamai.net A", v4_text(F.col("whoami_a"))), ("whoami AAAA", address_text(F.col("whoami_6"))),
         ("can_ipv6", F.when(F.col("whoami_6").isNotNull(), 1).otherwise(0)), ("can_tcp", F.col("tcp_ipv4")), ("can_tcp6", F.col("tcp_ipv6")), ("ecs_mask", F.col("ecs_mask")), ("ecs_mask6", F.col("ecs_mask6")),
@@ -85,16 +109,16 @@ def report_columns() -> list[str]:
     return out
 
 
-def wide_report(base: DataFrame, values: DataFrame, masks: DataFrame, bands: DataFrame) -> DataFrame:
-    """One row for each day and selection with all columns of the report.
+def wide_report(base: DataFrame, values: DataFrame, masks: DataFrame, bands: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """One row for each ``key`` (day and selection) with all columns of the report.
 
-    ``base``: day, selection, datetime, n_probes, n_resolvers. ``values``: value, n, n_prbs. ``masks``:
-    family ('ECS mask' or 'ECS mask6'), rank (null: remaining), mask, n. ``bands``: dim, band
-    (null: remaining), total, label. All with day and selection. Cells are made long first and
-    gathered by one aggregation into a map, so no pivot of hundreds of columns is planned.
+    ``base``: datetime, n_probes, n_resolvers. ``values``: value, n, n_prbs. ``masks``: family
+    ('ECS mask' or 'ECS mask6'), rank (null: remaining), mask, n. ``bands``: dim, band (null:
+    remaining), total, label. All with the key. Cells are made long first and gathered by one
+    aggregation into a map, so no pivot of hundreds of columns is planned.
     """
+    key = key or ["day", "selection"]
     cell = lambda name, value: F.struct(name.alias("k"), value.cast("string").alias("v"))
-    key = ["day", "selection"]
     value_cells = F.array(cell(F.col("value"), F.col("n")), cell(F.concat("value", F.lit("_prbs")), F.col("n_prbs")))
     number = F.concat(F.col("family"), F.lit(" #"), F.col("rank"))
     mask_cells = F.when(F.col("rank").isNull(), F.array(cell(F.concat(F.lit("Remaining "), F.col("family"), F.lit(" count")), F.col("n")))).otherwise(F.array(cell(number, F.col("mask")), cell(F.concat(number, F.lit(" count")), F.col("n"))))

@@ -14,10 +14,10 @@ def new():
 def apply(s, msm, m):
     """``m``: rcode, ancount, answers as (type, data), texts."""
     def first(kind, size):
-        if m["rcode"] == 0 and m["answers"] and m["answers"][0][0] == kind and len(m["answers"][0][1]) >= size:
-            return m["answers"][0][1][:size]
+        if m["rcode"] == 0 and m["answers"] and m["answers"][0][0] == kind and len(m["answers"][0][1]) == size:
+            return m["answers"][0][1]
 
-    ok = first(1, 4) == ipaddress.ip_address(S.CONTROL_ADDRESS).packed
+    ok = m["rcode"] == 0 and bool(m["answers"]) and m["answers"][0][0] == 1 and m["answers"][0][1][:4] == ipaddress.ip_address(S.CONTROL_ADDRESS).packed
     if msm == S.WHOAMI_G:
         mask = 0
         for text in [t for r in (m["texts"] if m["rcode"] == 0 else []) for t in r]:

@@ -66,3 +66,13 @@ def test_texts_sets_and_signatures(spark):
     assert wire.same_name("A.b", "a.B")
     row = spark.createDataFrame([(m_,) for m_ in (wire.encode("q.example", 1, [], rcode=3), b"short", None)], "msg binary").select(wire.rcode(F.col("msg")).alias("r"), wire.parse_dns("msg").alias("m")).collect()
     assert [(r.r, r.m and r.m.rcode) for r in row] == [(3, 3), (2, None), (None, None)] or row[0].r == 3 and row[1].m is None and row[2].m is None
+
+
+def test_dots_within_labels():
+    one, two = wire.write_name("a\\.b.example"), wire.write_name("a.b.example")
+    assert one == b"\x03a.b\x07example\0" and two == b"\x01a\x01b\x07example\0"
+    for raw in (one, two, b"\x02\\.\0", b"\x01\\\x01.\0", b"\0"):
+        assert wire.write_name(wire.read_name(raw, 0)[0]) == raw
+    # An answer whose owner is one label with a dot is not that of the question's two labels.
+    answer = one + struct.pack("!2HIH", wire.A, 1, 60, 4) + bytes([145, 97, 20, 17])
+    assert wire.decode(struct.pack("!6H", 1, 0x8180, 1, 1, 0, 0) + two + struct.pack("!2H", wire.A, 1) + answer)["answers"] == []

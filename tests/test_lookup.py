@@ -1,6 +1,12 @@
+import bz2
 import ipaddress
+import json
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from probelake.functions import addresses
 from probelake.operators import netjoin
 from probelake.sources import readers
 
@@ -59,7 +65,73 @@ def test_last_of_equal_prefixes_in_order(spark):
 
 
 def test_dimension_readers(spark, tmp_path):
-    (tmp_path / "probes.json").write_text('{"id": 1, "asn_v4": 3333, "country_code": "NL"}\n{"id": 2}\n{"id": 3, "latitude": 1.5, "longitude": 2.5}\n')
-    assert [(r.prb_id, r.asn_v4, r.asn_v6) for r in readers.read_probes(spark, str(tmp_path / "probes.json")).orderBy("prb_id").collect()] == [(1, 3333, -1), (3, -1, -1)]
+    archive = json.dumps({"meta": {"n": 5}, "objects": [{"id": 1, "asn_v4": 3333, "country_code": "NL", "tags": [1]}, {"id": 2}, {"id": 3, "latitude": 1.5, "longitude": 2.5}, {"id": 4, "asn_v4": 0, "asn_v6": None, "latitude": 0, "country_code": ""}, {"id": 5, "asn_v6": 7, "asn_v4": 0}]}, indent=1)
+    (tmp_path / "probes.json").write_text(archive)
+    (tmp_path / "probes.json.bz2").write_bytes(bz2.compress(archive.encode()))
+    for name in ("probes.json", "probes.json.bz2"):
+        assert [(r.prb_id, r.asn_v4, r.asn_v6) for r in readers.read_probes(spark, str(tmp_path / name)).orderBy("prb_id").collect()] == [(1, 3333, -1), (3, -1, -1), (5, -1, 7)]
+    (tmp_path / "none.json").write_text('{"objects": []}')
+    with pytest.raises(ValueError, match="no probes"):
+        readers.read_probes(spark, str(tmp_path / "none.json"))
     page = "<html><pre>AS1 LVLT-1 - Level 3<br />\nAS64500   TEST  - A  long name <br/>AS2 ONLY<br />junk</pre></html>"
     assert [tuple(r) for r in readers.asn_names(spark.createDataFrame([(page,)], "html string"), "html").collect()] == [("AS1", "LVLT-1", "Level 3"), ("AS64500", "TEST", "A long name"), ("AS2", "ONLY", "")]
+
+
+def test_last_line_of_equal_prefixes_and_newest_file(spark, tmp_path):
+    (tmp_path / "pfx").write_text("192.0.2.0\t24\t9\n192.0.2.0\t24\t5\n10.0.0.0\t8\t1\n2001:db8::\t32\t8\n2001:db8::\t32\t4\n")
+    four, six = readers.read_prefixes(spark, str(tmp_path / "pfx"))
+    look = lambda ip: netjoin.lookup_address(spark, four, six, ip)
+    assert [look(x) for x in ("192.0.2.1", "10.1.1.1", "2001:db8::5")] == [5, 1, 4]
+    (tmp_path / "log").write_text("# Format: serial time path\n1\t15\t2018/08/a.gz\n2\t16\t2018/08/b.pfx2as.gz\n\n")
+    assert readers.newest_prefix_file(spark.read.text(str(tmp_path / "log"))).first().file == "2018/08/b.pfx2as.gz"
+
+
+def test_masks_and_ends_of_v6(spark):
+    rows = [(RND.getrandbits(128) & RND.choice([2**128 - 1, 2**64 - 1, 2**128 - 2**64]), m) for m in [*range(129), 0, 64, 65, 128]] + [(2**128 - 1, m) for m in (0, 1, 64, 65, 127, 128)]
+    df = spark.createDataFrame([(n.to_bytes(16, "big"), m) for n, m in rows], "a binary, m int").withColumn("n", addresses.network_v6(F.col("a"), F.col("m")))
+    for r, (n, m) in zip(df.withColumn("end", addresses.after_v6(F.col("n"), F.col("m"))).collect(), rows, strict=True):
+        net = n >> (128 - m) << (128 - m)
+        assert int.from_bytes(r.n, "big") == net and len(r.n) == 16, (n, m)
+        end = net + (1 << (128 - m))
+        assert (None if r.end is None else int.from_bytes(r.end, "big")) == (end if end < 2**128 else None), (n, m)
+
+
+def test_overlay_of_v6(spark):
+    nets = ["2001:db8::/32", "2001:db8:1::/48", "2001:db8:1::/64", "2001:db8:8000::/33", "2001::/16", "2002::/16", "2003::/16", "fe80::/10", "ffff::/16", "::/3"]
+    prefixes = {(int(ipaddress.ip_network(p).network_address), ipaddress.ip_network(p).prefixlen): 1 + i % 4 for i, p in enumerate(nets)}
+    table = spark.createDataFrame([(n.to_bytes(16, "big"), m, a) for (n, m), a in prefixes.items()], "network binary, masklen int, asn int")
+    number = lambda b: 2**128 if b is None else int.from_bytes(b, "big")
+    ranges = sorted((number(r["from"]), number(r.till), r.asn) for r in netjoin.flatten_v6(table).collect())
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:])) and not any(a[1] == b[0] and a[2] == b[2] for a, b in zip(ranges, ranges[1:]))
+    points = {p + d for n, m in prefixes for p in (n, n + (1 << (128 - m))) for d in (-1, 0, 1) if 0 <= p + d < 2**128} | {RND.getrandbits(128) for _ in range(50)}
+    for p in points:
+        assert next((a for f, t, a in ranges if f <= p < t), 0) == longest(prefixes, p, 128)
+
+
+def test_enrich_equals_plain_lookups(spark):
+    prefixes = random_prefixes(60)
+    four = spark.createDataFrame([(n, m, a) for (n, m), a in prefixes.items()], "network long, masklen int, asn int")
+    six = spark.createDataFrame([(bytes.fromhex("20010db8" + "00" * 12), 32, 77)], "network binary, masklen int, asn int")
+    mapped = lambda n: b"\0" * 10 + b"\xff\xff" + n.to_bytes(4, "big")
+    v6 = [bytes.fromhex("20010db8" + "11" * 12), bytes.fromhex("fe80" + "00" * 14)]
+    ip4 = lambda: RND.choice([n for n, _ in prefixes] + [RND.getrandbits(32)])
+    rows = []
+    for k in range(120):
+        g, a, h = (RND.choice([None, ip4()]) for _ in range(3))
+        s, r = RND.choice([None, v6[0], v6[1], mapped(ip4())]), RND.choice([mapped(8), mapped(ip4()), v6[0], v6[1]])
+        four_ = lambda n: None if n is None else n.to_bytes(4, "big")
+        rows.append((k % 7, r, four_(g), four_(a), s, [four_(h)] if h is not None else [], k))
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    snapshot = spark.createDataFrame(rows, "prb_id long, addr binary, whoami_g binary, whoami_a binary, whoami_6 binary, hijacked array<binary>, k int")
+    probes = spark.createDataFrame([(1, 5, -1), (2, -1, 6)], "prb_id long, asn_v4 int, asn_v6 int")
+
+    def asn(ip, none):
+        if ip is None:
+            return none
+        ip = ip if len(ip) == 16 else mapped(int.from_bytes(ip, "big"))
+        return longest(prefixes, int.from_bytes(ip[12:], "big")) if ip[:12] == mapped(0)[:12] else 77 if ip == v6[0] else 0
+
+    plan = netjoin.enrich(snapshot, probes, four, six)
+    want = {r[6]: (asn(r[2], -1), asn(r[3], -1), asn(r[4], -1), asn(r[1], 0), asn(r[5][0] if r[5] else None, -1), {1: 5}.get(r[0], -1), {2: 6}.get(r[0], -1)) for r in rows}
+    assert {r.k: (r.auth_g, r.auth_a, r.auth_6, r.res, r.nxhj, r.prb_4, r.prb_6) for r in plan.collect()} == want
+    assert plan.count() == len(rows)

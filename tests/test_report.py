@@ -3,6 +3,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from probelake.functions import classify
@@ -15,7 +16,7 @@ from tests.test_state import START, frame, observations
 NAMES = {"a": ["a1"], "b": ["b1", "b2"], "c": ["c1", "c2", "c3"]}
 
 
-def test_registry():
+def test_registry(spark):
     assert len(S.CAPABILITIES) == 24 and len(S.VALUES) == 58
     columns = sinks.report_columns()
     assert len(columns) == 965 and len(set(columns)) == 965
@@ -137,7 +138,68 @@ def test_days_end_to_end(spark, tmp_path):
     assert all(n == base[s].n_resolvers for (d, s), n in totals.items() if d != "nxhj")
     wide = sinks.wide_report(tables["base"], tables["values"], tables["masks"], tables["bands"]).filter("selection = ''").collect()
     assert len(wide) == 1 and len(wide[0]) == 965 + 2
-    for dim in ("prb", "res", "auth"):
-        assert chain.dimension_reports(tables["enriched"], dim).filter("selection = ''").count() >= 1
-    sinks.write_selections(tables["members"], str(tmp_path / "members"))
-    assert spark.read.parquet(str(tmp_path / "members")).filter("sel1 = '-'").count() == 6
+    enriched = [r.asDict() for r in tables["enriched"].collect()]
+    tables_values = {(r.selection, r.value): r.n_prbs for r in tables["values"].collect()}
+    flags = defaultdict(set)
+    for r in enriched:
+        flags[r["prb_id"]] |= set(r["held_values"])
+    for dim, columns in (("prb", ("prb_4", "prb_6")), ("res", ("res",)), ("auth", ("auth_g", "auth_a", "auth_6"))):
+        own, members = chain.dimension_reports(tables["enriched"], dim, days[1])
+        own = {(r.asn, r.selection): r for r in own.collect()}
+        assert own and all(len(r) == 965 + 3 for r in own.values())
+        for (asn, selection), r in own.items():
+            mine = [e for e in enriched if asn in [e[c] for c in columns] and (not selection or selection in e["held_values"])]
+            assert (r["# resolvers"], r["# probes"]) == (len(mine), len({e["prb_id"] for e in mine}))
+            assert int(r["can_tcp"]) == sum("can_tcp" in e["held_values"] for e in mine) and int(r["can_tcp_prbs"]) == sum("can_tcp" in flags[p] for p in {e["prb_id"] for e in mine})
+        assert members.count() == sum(r["# resolvers"] for r in own.values())
+    for r in chain.probe_reports(tables["enriched"], days[1]).collect():
+        mine = [e for e in enriched if e["prb_id"] == r.item]
+        assert (r["# resolvers"], r["# probes"], int(r["can_ipv6"]), int(r["can_ipv6_prbs"])) == (len(mine), 0, sum("can_ipv6" in e["held_values"] for e in mine), 0)
+    assert tables_values
+
+
+@pytest.fixture
+def one_partition(spark):
+    """The tables are tiny and the jobs many."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_reports_end_to_end(spark, tmp_path, one_partition):
+    """Days one by one with reports and histories; a repeated day changes nothing."""
+    rnd = random.Random(17)
+    day = dt.date(2018, 8, 16)
+    stored, states, logs, out = (str(tmp_path / x) for x in ("observations", "snapshots", "timelines", "reports"))
+    sinks.write_observations(frame(spark, [(r[0], day, *r[2:]) for r in observations(rnd, 200, START)]), stored)
+    four = spark.createDataFrame([(0, 1, 8), (0xC0000200, 24, 64500), (0x91611400, 24, 3333), (1 << 31, 1, 9)], "network long, masklen int, asn int")
+    six = spark.createDataFrame([(b"\0" * 16, 0, 6)], "network binary, masklen int, asn int")
+    probes = spark.createDataFrame([(1, 64500, -1), (2, 3333, 64500)], "prb_id long, asn_v4 int, asn_v6 int")
+    days = chain.run_days(spark, dt.date(2018, 8, 17), stored, states, logs, day, out, (probes, four, six), depth=1)
+    assert days == [day]
+
+    def content():
+        read = lambda n: sorted(map(str, spark.read.parquet(f"{out}/{n}").collect()))
+        return {n: read(n) for n in ("base", "values", "masks", "bands", "members", "probes", "dimensions", "dimension_members", "histories/by_asn", "histories/by_probe", "histories/ips_by_asn")}
+
+    once = content()
+    assert all(once.values())
+    chain.run_report(spark, day, states, out, probes, four, six, depth=1)
+    chain.run_history(spark, day, logs, f"{out}/histories", four)
+    assert content() == once
+    wide = readers.read_report(spark, f"{out}/report")
+    assert wide.filter("selection is null or selection = ''").count() == 1 and len(wide.columns) == 965 + 2 and dict(wide.dtypes)["can_tcp"] == "bigint"
+    base = spark.read.parquet(f"{out}/base")
+    tables = [spark.read.parquet(f"{out}/{n}") for n in ("base", "values", "masks", "bands")]
+    root = {r.day: r.n_resolvers for r in base.filter("selection = ''").collect()}
+    assert set(root) == set(days)
+    assert len(series.PROPERTIES) == 26 and len({p[0] for p in series.PROPERTIES}) == 26
+    for prop in (series.PROPERTIES[0], series.PROPERTIES[1], series.PROPERTIES[6], series.PROPERTIES[8], series.PROPERTIES[23]):
+        rows = series.property_series(prop, *tables).collect()
+        sums = Counter()
+        for r in rows:
+            sums[r.day] += r.n
+            assert r.share == round(100 * r.n / root[r.day], 6)
+        if prop[1] == "bands" or prop[0] in ("int_ext", "ipv6"):
+            assert sums == Counter(root), prop

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ def message(rnd, msm):
         pool = [b"198.51.100.7", b"2001:db8::7", b"edns0-client-subnet 198.51.100.0/24", b"edns0-client-subnet 2001:db8::/56", b"HOORAY it works", b"NO it does not", b"else"]
         datas = [b"".join(bytes([len(t)]) + t for t in rnd.sample(pool, rnd.randint(1, 2))) for _ in range(rnd.randint(0, 2))]
     elif kind == 28:
-        datas = [rnd.randbytes(16) for _ in range(rnd.randint(0, 2))]
+        datas = [rnd.randbytes(rnd.choice([16, 16, 16, 15, 17])) for _ in range(rnd.randint(0, 2))]
     else:
-        datas = [rnd.choice([CONTROL, CONTROL, rnd.randbytes(4)]) for _ in range(rnd.choice([0, 1, 1, 2, 5]))]
+        datas = [rnd.choice([CONTROL, CONTROL, rnd.randbytes(4), rnd.randbytes(3), CONTROL + b"x"]) for _ in range(rnd.choice([0, 1, 1, 2, 5]))]
     raw = wire.encode("q.example", kind, [("q.example", kind, d) for d in datas], rcode)
     return raw, {"rcode": rcode, "ancount": len(datas), "answers": [(kind, d) for d in datas], "texts": [wire.strings(d) for d in datas] if kind == 16 else []}
 
@@ -128,3 +129,27 @@ def test_gates(spark):
     assert gates.newest_missing(rows.select(F.to_date("time").alias("day")), "day", F.lit("2018-08-14"), F.lit("2018-08-16")).first().day == dt.date(2018, 8, 15)
 
 
+
+
+def test_merge_order_in_ranges(spark):
+    rnd = random.Random(15)
+    rows = [(rnd.choice(["8", "10", "9"]), rnd.choice([5, rnd.randint(0, 400)]), n) for n in range(900)]
+    df = spark.createDataFrame(rows, "stream string, time long, seq long")
+    got = [(r.stream, r.time, r.seq) for r in state.merge_order(df, "stream", "time", ["seq"]).orderBy("merge_ord").collect()]
+    assert got == sorted(rows, key=lambda r: (r[1], r[0], r[2]))
+    assert [r.merge_ord for r in state.merge_order(df, "stream", "time", ["seq"]).orderBy("merge_ord").collect()] == list(range(1, 901))
+    assert state.merge_order(df.limit(0), "stream", "time", ["seq"]).count() == 0
+    plan = state.merge_order(df, "stream", "time", ["seq"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(merge_part" in plan
+
+
+def test_state_rows_move_once(spark):
+    """The wide rows are shuffled by entity once; clocks and last rows are joined to them where they are."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, timeline = state.day_state(frame(spark, observations(random.Random(7), 50)))
+        plan = timeline._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "prb_id" in plan and all("nth" not in x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan))
