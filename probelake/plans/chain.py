@@ -37,8 +37,9 @@ def run_day(spark: SparkSession, day: date, observations: str, snapshots: str, t
 
 
 def _has(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Has a table any day? A folder to which only empty days were written has none, nor a schema."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day=*")
+    return len(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []) > 0
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -126,12 +127,13 @@ def probe_reports(rows: DataFrame, day: date) -> DataFrame:
     return wide(tables, ["item"])
 
 
-def run_report(spark: SparkSession, day: date, snapshots: str, reports: str, probes: DataFrame, prefixes4: DataFrame, prefixes6: DataFrame, depth: int = 2) -> None:
+def run_report(spark: SparkSession, day: date, snapshots: str, reports: str, probes: DataFrame, prefixes4: DataFrame, prefixes6: DataFrame, depth: int = 2, by: tuple[str, ...] = ("prb", "res", "auth")) -> None:
     """The whole report of a day from its stored snapshot; a repeated day replaces what it wrote.
 
     Under ``reports``: base, values, masks and bands (long, by day), report (wide CSV of all
     selections), probes (a wide report for each), dimensions (wide reports of the top ASNs'
-    selections), members and dimension_members (a folder for each selection or ASN).
+    selections, for the dimensions ``by``), members and dimension_members (a folder for each
+    selection or ASN).
     """
     snapshot = spark.read.parquet(snapshots).filter(F.col("day") == F.lit(day)).drop("day")
     work = f"{reports}_work/day={day}"
@@ -143,7 +145,7 @@ def run_report(spark: SparkSession, day: date, snapshots: str, reports: str, pro
     sinks.write_report_csv(wide(tables), f"{reports}/report")
     sinks.write_selections(tables["members"], f"{reports}/members")
     sinks.write_report(probe_reports(rows, day), f"{reports}/probes")
-    for dim in ("prb", "res", "auth"):
+    for dim in by:
         own, members = dimension_reports(rows, dim, day)
         sinks.write_dimension(own, f"{reports}/dimensions", dim, "asn")
         sinks.write_dimension(members, f"{reports}/dimension_members", dim, "asn")
