@@ -584,13 +584,13 @@ def sortedness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey % 50 = 0)
-SELECT CAST(g AS DATE) AS day FROM (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders), generate_series(a, b, INTERVAL 1 DAY) t(g) WHERE CAST(g AS DATE) NOT IN (FROM d)""")
+WITH e AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)
+SELECT user_id, CAST(g AS DATE) AS day FROM (SELECT min(day) AS a, max(day) AS b FROM e), (SELECT DISTINCT user_id FROM e), generate_series(a, b, INTERVAL 1 DAY) t(g) WHERE (user_id, CAST(g AS DATE)) NOT IN (SELECT (user_id, day) FROM e)""")
 def missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days without an order of some customers, between the first and last day of all."""
-    orders = _table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), "o_custkey")
-    first, last = orders.agg(F.min("day"), F.max("day")).first()
-    return gates.missing_days(orders.filter("o_custkey % 50 = 0"), "day", F.lit(first), F.lit(last))
+    """Days without an event of a user, between the first and last day of all."""
+    events = _events(spark, sf_dir).select("user_id", F.to_date("ts").alias("day"))
+    first, last = events.agg(F.min("day"), F.max("day")).first()
+    return gates.missing_days(events, "day", F.lit(first), F.lit(last), ["user_id"])
 
 
 @query("""
