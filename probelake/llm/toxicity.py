@@ -131,8 +131,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
 def classify(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> DataFrame:
     """doc_id, and for each category ``p_<category>`` and the verdict ``<category>``; a row for each row.
 
-    A null text is an empty one. A category without labels of both kinds gets the one label
-    there is (without any: false). Other columns of ``docs`` are not read.
+    A null text is an empty one; texts of any length count whole; an empty table gives no
+    rows. Repeated rows are each returned, with equal results. A category without labels of both
+    kinds gets the one label there is (without any: false). A probability equal to the
+    threshold is a yes. Words that tell the classes apart equally well are taken in order of
+    the alphabet. Other columns of ``docs`` are not read.
     """
     models, cuts = train(docs, labels, categories, id_col, text_col, most)
     schema = pa.schema([("doc_id", pa.int64()), *[(f"p_{c}", pa.float64()) for c in categories], *[(c, pa.bool_()) for c in categories]])
