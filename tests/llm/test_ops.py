@@ -453,6 +453,13 @@ def test_leaks_edges(spark):
     assert decontaminate.find_leaks(docs(spark, ["x"]), benchmark.limit(0)).count() == 0
 
 
+def test_a_benchmark_too_large_is_refused(spark, monkeypatch):
+    benchmark = spark.createDataFrame([(1, " ".join(f"w{n}" for n in range(50)))], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "MAX_SPACE", 40 * 960)
+    with pytest.raises(ValueError, match="bytes in the latent space"):
+        decontaminate.find_leaks(docs(spark, ["x"]), benchmark)
+
+
 def test_licenses(spark):
     rows = [
         ("a/LICENSE", "MIT License\n\nReleased under the MIT License.\n" + "other words entirely " * 50),
