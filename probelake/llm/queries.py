@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from probelake.llm import decontaminate, licenses, packing, quality, secrets, simhash, token_counts, toxicity, transport_stream, url_filter
+from probelake.llm import bpe_chunks, decontaminate, divergence, filter_audit, licenses, packing, quality, secrets, simhash, token_counts, toxicity, transport_stream, url_filter
 from probelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.query_rules(spark))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_importance_resampling": op2_importance_resampling,
@@ -83,6 +95,9 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_bpe_chunks": op13_bpe_chunks,
 }
 
 _NOTICES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES))
@@ -137,4 +152,46 @@ ORACLE_SQL: dict[str, str] = {
           GROUP BY host, path)
         SELECT page_id, u.host, u.path, rule, coalesce(action, 'allow') AS verdict
         FROM u LEFT JOIN hit ON u.host = hit.host AND u.path = hit.path""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        f AS (
+          SELECT part, coalesce(good, 0) AS good, coalesce(lab.toxic, 0) AS toxic,
+                 concat(CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+                        CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) THEN 'C' END, CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+                        CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' END) AS fails
+          FROM d LEFT JOIN lab ON d.doc_id = lab.doc_id),
+        n AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+        l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        o AS (SELECT concat(a.x, b.x, c.x, e.x, g.x) AS filter_order FROM l a, l b, l c, l e, l g
+              WHERE a.x NOT IN (b.x, c.x, e.x, g.x) AND b.x NOT IN (c.x, e.x, g.x) AND c.x NOT IN (e.x, g.x) AND e.x <> g.x),
+        s AS (SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS filter, substr(filter_order, 1, step - 1) AS before FROM o, range(1, 6) r(step)),
+        w AS (
+          SELECT part, filter_order, step, filter, n, good, toxic, contains(fails, filter) AS bad, fails = filter AS sole,
+                 length(translate(fails, before, '')) < length(fails) AS gone
+          FROM n, s),
+        t AS (
+          SELECT part, filter_order, step, filter, sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END)::BIGINT AS removed,
+                 sum(CASE WHEN gone AND bad THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN sole THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                 sum(CASE WHEN NOT gone AND bad THEN n * good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND bad THEN n * toxic ELSE 0 END)::BIGINT AS toxic_lost
+          FROM w GROUP BY ALL)
+        SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM t""",
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        x AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+        kept AS (SELECT lang, term FROM x GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM x JOIN kept USING (lang, term) GROUP BY ALL),
+        size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        all_c AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0)::HUGEINT AS n, v FROM g JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND kept.term = c.term),
+        p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // ((sum(n) OVER (PARTITION BY lang, source))::HUGEINT + 5 * v) AS p FROM all_c),
+        q AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // ((sum(n) OVER (PARTITION BY lang))::HUGEINT + 5 * v) AS q FROM (SELECT lang, term, v, sum(n)::HUGEINT AS n FROM all_c GROUP BY ALL)),
+        pair AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT y.lang, y.source AS s1, z.source AS s2, sum(abs(y.p - z.p)) AS s FROM p y JOIN p z ON y.lang = z.lang AND y.term = z.term GROUP BY ALL) f ON f.lang = a.lang AND s1 = a.source AND s2 = b.source),
+        term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }
