@@ -110,11 +110,12 @@ def _heavy_tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tile = np.repeat(base[:, None], len(terms), axis=1)
         there = rows["p"].notna().to_numpy()[mine]
         tile[own[there], term[mine][there]] = rows["p"].to_numpy()[mine][there].astype(np.int64)
-        one[block] = (sid, tile)
-    (ids_a, x), (ids_b, y) = one[a], one[b]
+        one[block] = (sid, base, tile)
+    (ids_a, base_a, x), (ids_b, base_b, y) = one[a], one[b]
+    absent = int(rows["n_terms"].max()) - len(terms)  # terms that none of these groups has
     out = []
     for k, i in enumerate(ids_a):
-        f = np.abs(y - x[k]).sum(axis=1)
+        f = np.abs(y - x[k]).sum(axis=1) + absent * np.abs(base_b - base_a[k])
         keep = ids_b > i if a == b else slice(None)
         out.append(pd.DataFrame({"lang": lang, "a": i, "b": ids_b[keep], "f": f[keep]}))
     return pd.concat(out) if out else pd.DataFrame({"lang": [], "a": [], "b": [], "f": []})
@@ -138,7 +139,7 @@ _SUMS = "lang string, a int, b int, f bigint"
 def pair_sums(postings: DataFrame, groups: DataFrame, light: int = LIGHT) -> DataFrame:
     """lang, a, b, f: the sum of absolute differences over all kept terms for each two groups (by number) of a language.
 
-    ``postings``: lang, term, sid, p, p0, spread. ``groups``: lang, sid, p0, n_light, n_heavy (terms of the language).
+    ``postings``: lang, term, sid, p, p0, spread, is_first (once for each term). ``groups``: lang, sid, p0, n_light, n_heavy (terms of the language).
     """
     few = postings.filter(F.col("spread") <= light)
     two = groups.select("lang", "sid", "p0", "n_light").join(groups.select("lang", F.col("sid").alias("other"), F.col("p0").alias("p0_other")), "lang").filter("sid <> other")
@@ -157,10 +158,10 @@ def pair_sums(postings: DataFrame, groups: DataFrame, light: int = LIGHT) -> Dat
     # Each block meets itself and every other: one copy of its rows for each.
     meets = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("with")
     tile = [F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b")]
-    many = postings.filter(F.col("spread") > light).join(size, "lang").select("lang", "sid", "term", "p", "p0", block, "last", F.pmod(F.xxhash64("term"), parts).cast("int").alias("part"))
-    # Every group is in each tile, also if it has none of its terms.
-    every = groups.filter("n_heavy > 0").join(size.drop("n_heavy"), "lang").select("lang", "sid", F.lit(None).cast("string").alias("term"), F.lit(None).cast("bigint").alias("p"), "p0", block, "last", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    tiles = many.unionByName(every).select("*", meets).select("lang", *tile, "part", "sid", "term", "p", "p0", "block")
+    many = postings.filter(F.col("spread") > light).join(size, "lang").select("lang", "sid", "term", "p", "p0", "is_first", block, "last", F.pmod(F.xxhash64("term"), parts).cast("int").alias("part"))
+    # Every group is in each tile, also if it has none of its terms; it says how many terms the part has.
+    every = groups.select("lang", "sid", "p0", block).join(many.filter("is_first").groupBy("lang", "part", "last").agg(F.count("*").alias("n_terms")), "lang")
+    tiles = many.drop("is_first").unionByName(every, allowMissingColumns=True).select("*", meets).select("lang", *tile, "part", "sid", "term", "p", "p0", "block", "n_terms")
     heavy = tiles.groupBy("lang", "a", "b", "part").applyInPandas(_heavy_tile, _SUMS)
     return base.unionByName(alone).unionByName(shared).unionByName(heavy).groupBy("lang", "a", "b").agg(F.sum("f").alias("f"))
 
