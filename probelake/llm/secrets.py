@@ -1,23 +1,28 @@
 """Secret scans: patterns, and a battery of randomness tests with false-discovery control.
 
-Candidates of the battery are maximal runs of 20 or more of ``A-Za-z0-9+/_=-`` outside
-the patterns' spans. Each gets an inferred encoding, the smallest alphabet that holds it
-(trailing ``=`` is padding), and is judged twice by the positions in that alphabet:
+Candidates of the battery are maximal runs of 20 or more of ``A-Za-z0-9+/_-`` (``=`` only
+ends one, so values after ``name=`` are candidates too) outside the patterns' spans. Each
+gets an inferred encoding, the smallest alphabet that holds it, and is judged twice by the
+positions in that alphabet:
 
 * Is it random? Chi-squared of the letters' counts against a uniform alphabet, the runs above
   and below the alphabet's middle, and the serial correlation of neighbours, each with its
   p-value under letters that are all alike and independent, joined by Fisher's method. A
   string with less than ``LEAST_RANDOM`` is no candidate for a secret (p = 1).
-* Is it ordinary? Chi-squared of the counts against the shares of the letters in the corpus'
-  own words (all documents; numbers for digits, words in capitals for capitals, words with
-  a first capital joined for mixed case), with the variance that words have beyond
-  independent letters, measured over pieces of ``PIECE`` letters.
-
-Benjamini-Hochberg over the second p-value, with weights in proportion to the length (mean
-one over all candidates), controls the false discoveries over the whole table at ``RATE``.
-
-An alphabet of which the corpus has fewer than ``LEAST_PIECES`` ordinary pieces has no null:
-nothing in it is found.
+* Is it ordinary? The likelihood ratio of the corpus' own words and of chance. Words are a
+  chain of letters, whose pairs are counted over all documents (also across joined words;
+  words with a first capital for mixed case), and ``STRANGE`` of its letters follow no rule
+  of the corpus: names, abbreviations, words of other languages. The ratio
+  is a p-value: ordinary text is k times likelier by chance with a probability of 1 / k at
+  most. Words that use every letter, like a pangram, stay likelier as words.
+
+The battery's own p-values hold for random strings, so great ones are no evidence; what has
+to be rejected to find a secret is "ordinary text". Hence Benjamini-Hochberg goes over the
+second p-value, with weights in proportion to the length (mean one over all candidates),
+and controls the false discoveries over the whole table at ``RATE``.
+
+Where a table has little ordinary text, the letters' pairs fall back to the letters' shares
+and these to chance: evidence fades, and no size of the table is treated apart.
 """
 
 from __future__ import annotations
@@ -39,15 +44,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones need no match
 KINDS = ("assign", "access", "hex", "random")
 SHORTEST = 20
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}=*")
 _WORDS = ("passw", "secret", "token", "api")
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Alphabets from small to large, and the ordinary text that each is held against; the first that holds a string is its encoding.
 ENCODINGS = (
-    ("decimal", _DIGITS, "numbers"),
-    ("hex", _DIGITS + "abcdef", "hex words"),
-    ("hex_upper", _DIGITS + "ABCDEF", "hex words"),
+    ("decimal", _DIGITS, "words"),
+    ("hex", _DIGITS + "abcdef", "words"),
+    ("hex_upper", _DIGITS + "ABCDEF", "words"),
     ("lower", _LOWER, "words"),
     ("upper", _UPPER, "words"),
     ("base32", _UPPER + "234567", "words"),
@@ -57,9 +62,10 @@ ENCODINGS = (
     ("base64", _UPPER + _LOWER + _DIGITS + "+/-_", "names"),
 )
 _SETS = [(name, set(letters), {c: i for i, c in enumerate(letters)}) for name, letters, _ in ENCODINGS]
-#: Ordinary texts and their letters: words of these letters alone; ``names`` are words with a first capital, the others are in lower case.
-ORDINARY = (("numbers", _DIGITS), ("hex words", _DIGITS + "abcdef"), ("words", _DIGITS + _LOWER), ("names", _UPPER + _LOWER + _DIGITS + "+/-_"))
-PIECE, LEAST_PIECES = 32, 100
+#: Ordinary texts and their letters: words of these letters alone; ``names`` are words with a first capital, ``words`` are in lower case.
+ORDINARY = (("words", _DIGITS + _LOWER), ("names", _UPPER + _LOWER + _DIGITS + "+/-_"))
+#: Pairs that the letters' own shares stand for beside a letter's pairs; share of letters in ordinary text that follow no rule.
+PRIOR, STRANGE = 10.0, 0.3
 #: Share of false ones among the found, and of random strings that the tests against chance may lose.
 RATE, LEAST_RANDOM = 0.01, 0.01
 
@@ -110,35 +116,24 @@ def chance(v: np.ndarray, k: int) -> tuple[float, float, float]:
 
 
 class Null:
-    """Ordinary text of one alphabet."""
-
-    def __init__(self, pieces: float, second: np.ndarray):
-        """``second``: sum of the outer products of the counts of ``pieces`` pieces, for the letters of the alphabet."""
-        k = len(second)
-        counts = second.sum(axis=1) / PIECE  # a piece's counts sum to PIECE, but for letters outside the alphabet
-        self.shares = (counts + 0.5) / (counts.sum() + 0.5 * k)
-        n = counts.sum() / max(pieces, 1)
-        cells, df = self.cells(n)
-        squares = np.array([second[np.ix_(c, c)].sum() for c in cells]) / max(pieces, 1)
-        expected = n * np.array([self.shares[c].sum() for c in cells])
-        #: Correlation of the letters of a piece: counts have 1 + (n - 1) * within times the variance of independent letters.
-        self.within = max((float((squares / expected).sum()) - n) / df - 1, 0.0) / max(n - 1, 1)
-
-    def cells(self, n: float) -> tuple[list[np.ndarray], int]:
-        """Each letter that ``n`` ordinary ones hold once or more, and all others as one cell; and the degrees of freedom."""
-        often = n * self.shares >= 1
-        cells = [np.array([i]) for i in np.flatnonzero(often)]
-        if not often.all():
-            cells.append(np.flatnonzero(~often))
-        return cells, max(len(cells) - 1, 1)
+    """Ordinary text of one alphabet, as a chain of letters."""
+
+    def __init__(self, pairs: np.ndarray, own: list[int], ends: float = 0.0):
+        """``pairs``: how often each letter follows each in ordinary text; ``own``: the letters of the alphabet; ``ends``: the share of letters after which a run ends.
+
+        What follows a letter may also lie outside the alphabet: text that keeps to few of its letters is unusual by itself.
+        """
+        k, kept = len(own), pairs[np.ix_(own, own)]
+        single = kept.sum(axis=0)
+        shares = (single + 1) / (single.sum() + k)
+        follows = (kept + PRIOR * shares) / (pairs.sum(axis=1)[own][:, None] + PRIOR)
+        #: Log likelihood ratio of ordinary text and of chance: of the first letter, and of each pair; ``STRANGE`` bounds what one letter can say.
+        self.first = np.log((1 - STRANGE) * k * shares + STRANGE)
+        self.pair = np.log((1 - STRANGE) * k * follows + STRANGE) + math.log1p(-ends)
 
     def p_value(self, v: np.ndarray) -> float:
-        """The probability that ordinary text of this length is as far from ordinary."""
-        n = len(v)
-        counts = np.bincount(v, minlength=len(self.shares))
-        cells, df = self.cells(n)
-        x = sum(float(counts[c].sum()) ** 2 / (n * float(self.shares[c].sum())) for c in cells) - n
-        return chi_squared_tail(x / (1 + (n - 1) * self.within), df)
+        """A p-value for ordinary text: that the ratio of chance over it is so great, which has a probability of one over the ratio at most."""
+        return math.exp(min(0.0, float(self.first[v[0]] + self.pair[v[:-1], v[1:]].sum())))
 
 
 #: For each byte: what it is in each ordinary text, and bits for those that hold it.
@@ -149,11 +144,15 @@ for _n, (_name, _letters) in enumerate(ORDINARY):
         for _d in {_c} if _name == "names" else {_c, _c.upper()}:
             _INDEX[_n, ord(_d)] = _i
             _HOLDS[ord(_d)] |= 1 << _n
+#: Bit of the bytes that are digits.
+DIGITS = len(ORDINARY)
+for _c in _DIGITS:
+    _HOLDS[ord(_c)] |= 1 << DIGITS
 _HOLDS[ord("=")] = 128  # part of a run, of no alphabet
 
 
 def ordinary(text: str) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of the ordinary text, positions in pieces) of a text's words of fewer than ``SHORTEST`` letters, in order."""
+    """(number of the ordinary text, positions) of a text's words of fewer than ``SHORTEST`` letters, joined in order; last (-1, lengths of its numbers)."""
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     holds = _HOLDS[b]
     edge = np.flatnonzero(np.diff(holds != 0, prepend=False, append=False))
@@ -173,35 +172,29 @@ def ordinary(text: str) -> Iterator[tuple[int, np.ndarray]]:
             b = b.copy()
             lower = first[(b[first] >= 97) & (b[first] <= 122)]
             b[lower] -= 32
-        v = _INDEX[n][b[own]]
-        full = len(v) // PIECE
-        if full:
-            yield n, v[: full * PIECE].reshape(full, PIECE)
+        yield n, _INDEX[n][b[own]]
+    yield -1, size[words >> DIGITS & 1 != 0]
 
 
 class Sums:
-    """Numbers of pieces, and sums of the outer products of their counts, of each ordinary text; additive."""
+    """How often each letter follows each in both ordinary texts, and the numbers there; additive."""
 
     def __init__(self) -> None:
-        self.pieces = np.zeros(len(ORDINARY))
-        self.second = [np.zeros((len(letters), len(letters))) for _, letters in ORDINARY]
+        self.pairs = [np.zeros((len(letters), len(letters))) for _, letters in ORDINARY]
+        self.numbers = np.zeros(2)  # runs of digits alone, and their digits
 
     def add(self, n: int, v: np.ndarray) -> None:
-        k = len(self.second[n])
-        for at in range(0, len(v), 4096):
-            part = v[at : at + 4096]
-            counts = np.bincount((np.arange(len(part))[:, None] * k + part).ravel(), minlength=len(part) * k).reshape(-1, k).astype(np.float32)
-            self.pieces[n] += len(part)
-            self.second[n] += counts.T @ counts
+        k = len(self.pairs[n])
+        self.pairs[n] += np.bincount(v[:-1] * k + v[1:], minlength=k * k).reshape(k, k)
 
     def nulls(self) -> dict[str, Null]:
-        """By encoding; those without enough ordinary text are missing."""
+        """By encoding. Alphabets of one case share the pairs of all words."""
         out, at = {}, {name: n for n, (name, _) in enumerate(ORDINARY)}
         for name, letters, text in ENCODINGS:
             n = at[text]
-            if self.pieces[n] >= LEAST_PIECES:
-                own = [ORDINARY[n][1].index(c if text == "names" else c.lower()) for c in letters]
-                out[name] = Null(self.pieces[n], self.second[n][np.ix_(own, own)])
+            own = [ORDINARY[n][1].index(c if text == "names" else c.lower()) for c in letters]
+            # Numbers are not joined without a sign between them, so a long one is unusual by itself.
+            out[name] = Null(self.pairs[n], own, (self.numbers[0] + 1) / (self.numbers[1] + 4) if name == "decimal" and self.numbers[1] else 0.0)
         return out
 
 
@@ -216,38 +209,33 @@ def fit_nulls(docs: DataFrame, text_col: str = "text") -> dict[str, Null]:
     schema = pa.schema([("kind", pa.int32()), ("cell", pa.int32()), ("x", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, waiting = Sums(), [[] for _ in ORDINARY]
+        sums = Sums()
         for text in _texts(batches):
             for n, v in ordinary(text):
-                waiting[n].append(v)
-                if len(waiting[n]) >= 64:
-                    sums.add(n, np.concatenate(waiting[n]))
-                    waiting[n] = []
-        for n, own in enumerate(waiting):
-            if own:
-                sums.add(n, np.concatenate(own))
-            x = np.append(sums.second[n].ravel(), sums.pieces[n])
+                if n < 0:
+                    sums.numbers += len(v), v.sum()
+                elif len(v) > 1:
+                    sums.add(n, v)
+        for n, x in enumerate([*(p.ravel() for p in sums.pairs), sums.numbers]):
             cell = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([n] * len(cell), pa.int32()), pa.array(cell, pa.int32()), pa.array(x[cell])], schema=schema)
 
     total = Sums()
-    flat = [np.append(s.ravel(), 0.0) for s in total.second]
+    flat = [*(p.reshape(-1) for p in total.pairs), total.numbers]
     for r in docs.select(F.col(text_col)).mapInArrow(run, "kind int, cell int, x double").groupBy("kind", "cell").agg(F.sum("x").alias("x")).collect():
         flat[r.kind][r.cell] += r.x
-    for n, x in enumerate(flat):
-        total.pieces[n], total.second[n] = x[-1], x[:-1].reshape(total.second[n].shape)
     return total.nulls()
 
 
 def battery(s: str, nulls: dict[str, Null]) -> tuple[str | None, float]:
-    """The encoding, and the p-value that an ordinary string is this far from ordinary: 1 if it isn't random, or nothing ordinary is known."""
+    """The encoding, and the p-value that an ordinary string is this far from ordinary: 1 if it isn't random."""
     s = s.rstrip("=")
     found = encoding(s) if len(s) > 1 else None
     if found is None:
         return None, 1.0
     name, index = found
     v = np.fromiter((index[c] for c in s), np.int64, len(s))
-    if name not in nulls or fisher(list(chance(v, len(index)))) < LEAST_RANDOM:
+    if fisher(list(chance(v, len(index)))) < LEAST_RANDOM:
         return name, 1.0
     return name, nulls[name].p_value(v)
 

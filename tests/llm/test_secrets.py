@@ -38,24 +38,46 @@ def test_p_values_of_random_strings_are_even():
     assert secrets.chance(up, 26)[0] > 0.9 and secrets.chance(up, 26)[2] < 1e-6
 
 
-def plain_pieces(texts, alphabet, shape):
-    """Pieces of a text's short words that the alphabet holds, letter by letter."""
+def plain_words(text, alphabet, shape):
+    """A text's short words that the alphabet holds, joined, letter by letter."""
+    return "".join(shape(w) for w in re.findall("[A-Za-z0-9+/_=-]+", text or "") if len(w) < 20 and set(shape(w)) <= set(alphabet))
+
+
+@pytest.mark.parametrize(
+    ("name", "whole", "shape"),
+    [("base36", "0123456789abcdefghijklmnopqrstuvwxyz", str.lower), ("hex_upper", "0123456789abcdefghijklmnopqrstuvwxyz", str.lower), ("decimal", "0123456789abcdefghijklmnopqrstuvwxyz", str.lower), ("base64", secrets.ENCODINGS[-1][1], lambda w: w[0].upper() + w[1:])],
+)
+def test_nulls_equal_brute_force(texts, nulls, name, whole, shape):
+    letters = next(x for n, x, _ in secrets.ENCODINGS if n == name)
+    fold = letters if name == "base64" else letters.lower()
+    pairs, numbers = Counter(), []
     for t in texts:
-        own = "".join(shape(w) for w in re.findall("[A-Za-z0-9+/_=-]+", t or "") if len(w) < 20 and set(shape(w)) <= set(alphabet))
-        for at in range(0, len(own) // 32 * 32, 32):
-            yield Counter(own[at : at + 32])
-
-
-@pytest.mark.parametrize(("name", "alphabet", "shape"), [("base36", "0123456789abcdefghijklmnopqrstuvwxyz", str.lower), ("base64", secrets.ENCODINGS[-1][1], lambda w: w[0].upper() + w[1:])])
-def test_nulls_equal_brute_force(texts, nulls, name, alphabet, shape):
-    pieces = list(plain_pieces(texts, alphabet, shape))
-    total = sum(pieces, Counter())
-    k = len(alphabet)
-    assert nulls[name].shares == pytest.approx([(total[c] + 0.5) / (32 * len(pieces) + 0.5 * k) for c in alphabet])
-    often = [c for c, p in zip(alphabet, nulls[name].shares, strict=True) if 32 * p >= 1]
-    rest = 1 - sum(nulls[name].shares[alphabet.index(c)] for c in often)
-    x = [sum(c[a] ** 2 / (32 * nulls[name].shares[alphabet.index(a)]) for a in often) + (32 - sum(c[a] for a in often)) ** 2 / (32 * rest) - 32 for c in pieces]
-    assert nulls[name].within == pytest.approx((np.mean(x) / len(often) - 1) / 31, rel=1e-4)
+        own = plain_words(t, whole, shape)
+        pairs.update(zip(own, own[1:], strict=False))
+        numbers += [w for w in re.findall("[A-Za-z0-9+/_=-]+", t or "") if len(w) < 20 and w.isdigit()]
+    k, into, outof = len(fold), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        outof[a] += n
+        into[b] += n if a in fold and b in fold else 0
+    total = sum(into[c] for c in fold)
+    share = {c: (into[c] + 1) / (total + k) for c in fold}
+    ends = (len(numbers) + 1) / (sum(map(len, numbers)) + 4) if name == "decimal" else 0
+    s = "".join(RND.choices(letters, k=20))
+    v = [letters.index(c) for c in s]
+    s = s if name == "base64" else s.lower()
+    log = np.log(0.7 * k * share[s[0]] + 0.3)
+    for a, b in zip(s, s[1:], strict=False):
+        log += np.log(0.7 * k * (pairs[a, b] + 10 * share[b]) / (outof[a] + 10) + 0.3) + np.log(1 - ends)
+    assert nulls[name].p_value(np.array(v)) == pytest.approx(min(1, np.exp(log)), rel=1e-6)
+
+
+def test_no_size_of_the_table_is_treated_apart(spark):
+    """Words in any number leave a pangram alone, and values after a name are found in each table."""
+    pangram, key = "thequickbrownfoxjumpsoverthelazydog", "Zk3vQ9pL0tXb7YwR2mNc5HdJ8sGf1aVe"
+    for name in ("sf0.001", "sf0.01", "sf0.1"):
+        rows = [r.text for r in spark.read.parquet(f"{data(name)}/documents.parquet").select("text").collect()] + [f"x {pangram} y", f"x AWS_KEY={key}", f"?sig={key}&x=1", f"x {key}== y"]
+        found = {r.doc_id - len(rows) + 4: r.spans for r in secrets.report(docs(spark, rows)).collect() if r.doc_id >= len(rows) - 4}
+        assert found == {0: "", 1: "random:10:42", 2: "random:5:37", 3: "random:2:36"}
 
 
 def plain_threshold(cases, rate):
@@ -99,9 +121,7 @@ def test_recall_by_encoding_and_ordinary_strings(spark, texts):
         number[name, n] += 1
         hits[name, n] += i in found
     share = {k: hits[k] / number[k] for k in number}
-    # Without enough ordinary numbers the digits have no null; 32 letters of one case are near the limit.
-    assert all(v >= 0.9 for (name, n), v in share.items() if n == 64 and name != "decimal"), share
-    assert all(v >= 0.75 for (name, n), v in share.items() if name != "decimal"), share
+    assert all(v >= 0.9 for v in share.values()), share
 
 
 def test_battery_edges(spark, nulls):
@@ -110,6 +130,8 @@ def test_battery_edges(spark, nulls):
     long = "".join(RND.choices(secrets.ENCODINGS[8][1], k=300_000))
     got = {r.doc_id: r.spans for r in secrets.report(docs(spark, [None, "", long, "words " * 100_000, long], [1, 1, 2, None, 2])).collect()}
     assert set(got) == {1, 2, None}
-    assert secrets.fit_nulls(docs(spark, [None, ""])) == {} and secrets.fit_nulls(docs(spark, [])) == {}
+    for nothing in ([None, ""], []):  # nothing is known of ordinary text: nothing is found
+        bare = secrets.fit_nulls(docs(spark, nothing))
+        assert all(secrets.battery("".join(RND.choices(letters, k=64)), bare)[1] > 0.5 for _, letters, _ in secrets.ENCODINGS)
     clash = docs(spark, ["x password=hunter22"]).selectExpr("doc_id", "text", "1 AS spans", "2 AS base", "3 AS found")
     assert secrets.report(clash).first().spans == "assign:2:19"
