@@ -15,9 +15,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ FILTER_BITS = 1 << 26
 #: Marks the first id of a word in the arrays that parts are kept in.
 FIRST = np.uint32(1 << 31)
 #: Words whose ids a worker keeps; beyond it, it starts anew.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Bytes of texts or ids that a worker passes on at once.
 OUT_BYTES = 8 << 20
 
@@ -104,48 +104,37 @@ class Encoder:
         self.size = np.array([len(b) for b in self.bytes], np.int64)
         self.text = list(map(str, range(size)))
         self.special = re.compile("|".join(map(re.escape, added.values())) or r"(?!)")
-        self.cache: dict[str, list[int]] = {}
-
-    def words(self, text: str) -> list[list[int]]:
-        """Ids of each word of a text, words as the pre-tokenizer parts them."""
-        if not _PLAIN.fullmatch(text) or self.special.search(text):
-            found = self.own.encode(text, add_special_tokens=False)
-            out: list[list[int]] = []
-            last = None
-            for i, w in zip(found.ids, found.word_ids, strict=True):
-                if w != last:
-                    out.append([])
-                    last = w
-                out[-1].append(i)
-            return out
-        words = _WORD.findall(text)
-        known = self.cache
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > CACHE:
-                known = self.cache = {}
-                new = list(set(words))
-            for w, e in zip(new, self.own.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        return list(map(known.__getitem__, words))
-
-    def encode(self, text: bytes) -> list[int]:
-        return list(chain.from_iterable(self.words(text.decode())))
+        self.cache: dict[str, bytes] = {}
 
     def marked(self, text: bytes) -> np.ndarray:
-        """Ids, with the first of each word marked."""
-        found = self.words(text.decode())
-        ids = np.fromiter(chain.from_iterable(found), np.uint32)
-        first = np.cumsum(np.fromiter(map(len, found), np.int64))
-        ids[np.concatenate([[0], first[:-1]])] |= FIRST
-        return ids
+        """Ids of a text, with the first of each word marked, words as the pre-tokenizer parts them."""
+        plain = text.decode()
+        if not _PLAIN.fullmatch(plain) or self.special.search(plain):
+            found = self.own.encode(plain, add_special_tokens=False)
+            ids, word = np.array(found.ids, np.uint32), np.array(found.word_ids)
+            ids[np.flatnonzero(np.diff(word, prepend=-1))] |= FIRST
+            return ids
+        words = _WORD.findall(plain)
+        if new := set(words).difference(self.cache):
+            if len(self.cache) + len(new) > CACHE:
+                self.cache, new = {}, set(words)
+            new = list(new)
+            for w, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                first, *rest = e.ids
+                self.cache[w] = array("I", [first | int(FIRST), *rest]).tobytes()
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), np.uint32)
+
+    def encode(self, text: bytes) -> np.ndarray:
+        return self.marked(text) & ~FIRST
 
     def spelled(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
-    def report(self, ids: list[int]) -> tuple[int, str, str]:
+    def report(self, ids: np.ndarray) -> tuple[int, str, str]:
         """n_tokens, ids_sha256, decoded_sha256; bytes that are no character are decoded to U+FFFD."""
-        data = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").encode()
-        listed = ",".join(map(self.text.__getitem__, ids)).encode()
+        listed = ids.tolist()
+        data = b"".join(map(self.bytes.__getitem__, listed)).decode("utf-8", "replace").encode()
+        listed = ",".join(map(self.text.__getitem__, listed)).encode()
         return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(data).hexdigest()
 
 
@@ -215,9 +204,8 @@ class Joiner:
         self.done.append(ids[start:end])
         self.open, self.tried = self.enc.spelled(ids[end:]), 0
 
-    def finish(self) -> list[int]:
-        rest = np.array(self.enc.encode(self.open), np.uint32)
-        return np.concatenate([*self.done, rest]).tolist()
+    def finish(self) -> np.ndarray:
+        return np.concatenate([*self.done, self.enc.encode(self.open)])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
