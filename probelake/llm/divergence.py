@@ -183,8 +183,10 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     some = counts.filter("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "in_lang_total", "terms", "n_light"])
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     base = F.when(F.col("terms") > 0, share(F.lit(0), F.col("total"), F.col("terms"))).otherwise(0)
-    groups = some.withColumns({"sid": number, "p0": base, "n_heavy": F.col("terms") - F.col("n_light")})
+    # Written once: what follows reads both several times, and must not be dealt by language alone, as these windows are.
+    groups = stage(some.withColumns({"sid": number, "p0": base, "n_heavy": F.col("terms") - F.col("n_light")}), "groups")
     postings = kept.join(groups.drop("n_light", "n_heavy"), ["lang", "source"]).withColumns({"p": share(F.col("n"), F.col("total"), F.col("terms")), "q": share(F.col("in_lang"), F.col("in_lang_total"), F.col("terms"))})
+    postings = stage(postings.select("lang", "source", "term", "sid", "p", "p0", "q", "spread", "is_first"), "postings")
 
     sums = pair_sums(postings, groups, light)
     both = sums.select("lang", F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("b").alias("other")), F.struct(F.col("b").alias("sid"), F.col("a").alias("other")))).alias("x"), "f").select("lang", "x.*", "f")
