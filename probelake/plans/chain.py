@@ -1,4 +1,8 @@
-"""The daily chain: state, report, history. Days depend on the day before and run in order."""
+"""The daily chain: state, report, history. Days depend on the day before and run in order.
+
+A day counts as done when its commit record says so (commits), which is made after all its
+outputs. A run that breaks anywhere is started again from the first day without a record.
+"""
 
 from __future__ import annotations
 
@@ -12,28 +16,48 @@ from probelake.functions import schema as S
 from probelake.functions.addresses import v4_bytes, v4_number
 from probelake.functions.dates import on_day, seconds_text
 from probelake.operators import cube, history, netjoin, ranking, state
+from probelake.plans import commits
 from probelake.sources import readers, sinks
 
 FIRST_DAY = date(2017, 4, 20)
 
 
 def next_day(spark: SparkSession, snapshots: str, first: date = FIRST_DAY) -> date:
-    """The day after the newest stored snapshot, else the first one."""
-    newest = spark.read.parquet(snapshots).agg(F.max("day").alias("d")).first().d if _has(spark, snapshots) else None
+    """The day after the newest stored snapshot, else the first one; whether that day's other tables are there, the commit records tell."""
+    newest = _newest(spark, snapshots)
     return first if newest is None else newest + timedelta(days=1)
 
 
+def _newest(spark: SparkSession, path: str, before: date | None = None) -> date | None:
+    """The newest stored day of a table, before a day."""
+    if not _has(spark, path):
+        return None
+    days = spark.read.parquet(path)
+    return (days if before is None else days.filter(F.col("day") < F.lit(before))).agg(F.max("day").alias("d")).first().d
+
+
+def _before(spark: SparkSession, path: str, day: date) -> DataFrame | None:
+    """The rows of the newest stored day before a day; a day that left no rows is not stored."""
+    newest = _newest(spark, path, day)
+    return None if newest is None else spark.read.parquet(path).filter(F.col("day") == F.lit(newest)).drop("day")
+
+
+def snapshot_schema() -> str:
+    """Of the stored snapshots, also where no day left any rows."""
+    kinds = {"whoami_g": "binary", "whoami_a": "binary", "whoami_6": "binary", "hijacked": "array<binary>"}
+    return ", ".join(["prb_id long", "addr binary", *[f"{c} {kinds.get(c, 'int')}" for c in state.SNAPSHOT_STATES], "updated long", "logged long", "day date"])
+
+
 def run_day(spark: SparkSession, day: date, observations: str, snapshots: str, timelines: str) -> None:
-    """The state of a day from its observations and the snapshot of the day before; messages are decoded once."""
+    """The state of a day from its observations and the newest snapshot before it; messages are decoded once."""
     rows = readers.read_observations(spark, observations, str(day), str(day + timedelta(days=1)))
-    previous = None
-    if _has(spark, snapshots):
-        previous = spark.read.parquet(snapshots).filter(F.col("day") == F.lit(day - timedelta(days=1))).drop("day")
+    previous = _before(spark, snapshots, day)
+    commits.remove(spark, f"{snapshots}/day={day}")  # a repetition may have no rows to replace it with
     work = f"{timelines}_work/day={day}"
     snapshot, timeline = state.day_state(rows, previous, F.lit(str(day)), hold=lambda df: sinks.staged(df, work))
     sinks.write_snapshot(snapshot, snapshots, str(day))
     sinks.write_timeline(timeline, f"{timelines}/day={day}")
-    _remove(spark, work)
+    commits.remove(spark, work)
 
 
 def _has(spark: SparkSession, path: str) -> bool:
@@ -42,11 +66,6 @@ def _has(spark: SparkSession, path: str) -> bool:
     return len(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []) > 0
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def today(snapshot: DataFrame, day: date) -> DataFrame:
     """Entities updated on the day; a snapshot holds ten days of them."""
     return snapshot.filter(on_day(F.timestamp_seconds("updated"), F.lit(day)))
@@ -135,7 +154,9 @@ def run_report(spark: SparkSession, day: date, snapshots: str, reports: str, pro
     selections, for the dimensions ``by``), members and dimension_members (a folder for each
     selection or ASN).
     """
-    snapshot = spark.read.parquet(snapshots).filter(F.col("day") == F.lit(day)).drop("day")
+    snapshot = spark.read.schema(snapshot_schema()).parquet(snapshots).filter(F.col("day") == F.lit(day)).drop("day")
+    for name in ("base", "values", "masks", "bands", "report", "members", "probes", "dimensions", "dimension_members"):
+        commits.remove(spark, f"{reports}/{name}/day={day}")  # folders of selections or items that a repetition has no more
     work = f"{reports}_work/day={day}"
     rows = sinks.staged(enriched(snapshot, day, probes, prefixes4, prefixes6), work)
     tables = tables_of(rows, day, depth)
@@ -149,11 +170,11 @@ def run_report(spark: SparkSession, day: date, snapshots: str, reports: str, pro
         own, members = dimension_reports(rows, dim, day)
         sinks.write_dimension(own, f"{reports}/dimensions", dim, "asn")
         sinks.write_dimension(members, f"{reports}/dimension_members", dim, "asn")
-    _remove(spark, work)
+    commits.remove(spark, work)
 
 
 def run_history(spark: SparkSession, day: date, timelines: str, histories: str, prefixes4: DataFrame) -> None:
-    """The three histories of rewritten answers after a day: those of the day before, and the day's timeline, without what has expired."""
+    """The three histories of rewritten answers after a day: the newest before it, and the day's timeline, without what has expired."""
     rows = readers.read_timeline(spark, f"{timelines}/day={day}")
     ips = rows.select(F.explode("hijacked").alias("ip")).distinct().withColumn("n", v4_number(v4_bytes(F.col("ip"))))
     order = "nth" if "nth" in prefixes4.columns else None
@@ -161,18 +182,39 @@ def run_history(spark: SparkSession, day: date, timelines: str, histories: str,
     keys = {"by_probe": ["prb_id", "resolver", "asn"], "by_asn": ["asn", "prb_id", "resolver"], "ips_by_asn": ["asn", "ip"]}
     for name, new in history.rewrites(rows, asns).items():
         path = f"{histories}/{name}"
-        old = spark.read.parquet(path).filter(F.col("day") == F.lit(day - timedelta(days=1))).drop("day") if _has(spark, path) else None
+        old = _before(spark, path, day)
+        commits.remove(spark, f"{path}/day={day}")
         sinks.write_partitions(history.fold(old, new, keys[name], F.lit(day)).withColumn("day", F.lit(day)), path, ["day"])
 
 
-def run_days(spark: SparkSession, until: date, observations: str, snapshots: str, timelines: str, first: date = FIRST_DAY, reports: str | None = None, dimensions: tuple[DataFrame, DataFrame, DataFrame] | None = None, depth: int = 2) -> list[date]:
-    """All days that have no snapshot yet, before ``until``, in order; with ``reports`` and ``dimensions`` (probes, IPv4 and IPv6 prefixes) their reports and histories too."""
-    done, day = [], next_day(spark, snapshots, first)
+def run_days(
+    spark: SparkSession, until: date, observations: str, snapshots: str, timelines: str, first: date = FIRST_DAY, reports: str | None = None,
+    dimensions: tuple[DataFrame, DataFrame, DataFrame] | None = None, depth: int = 2, histories: str | None = None, log: str | None = None, by: tuple[str, ...] = ("prb", "res", "auth"),
+) -> list[date]:
+    """Every open day from ``first`` to before ``until``, in order; the days on which something was done.
+
+    With ``dimensions`` (probes, IPv4 and IPv6 prefixes), ``reports`` and ``histories`` (a
+    folder of the reports if not given) say what is made besides the state. A day is open
+    until the ``log`` (beside the snapshots) has a record of all its steps. If a day's state
+    is made, all later days are opened too, since they rest on it.
+    """
+    log = log or f"{snapshots}_commits"
+    histories = histories or (f"{reports}/histories" if reports else None)
+    work = {"state": lambda day: run_day(spark, day, observations, snapshots, timelines)}
+    if reports:
+        work["report"] = lambda day: run_report(spark, day, snapshots, reports, *dimensions, depth=depth, by=by)
+    if histories:
+        work["history"] = lambda day: run_history(spark, day, timelines, histories, dimensions[1])
+    done, whole, day = [], commits.committed(spark, log), first
     while day < until:
-        run_day(spark, day, observations, snapshots, timelines)
-        if reports:
-            run_report(spark, day, snapshots, reports, *dimensions, depth=depth)
-            run_history(spark, day, timelines, f"{reports}/histories", dimensions[1])
-        done.append(day)
+        missing = [step for step in work if step not in whole.get(day, ())]
+        if "state" in missing:
+            commits.revoke(spark, log, day)
+            whole, missing = {}, list(work)
+        for step in missing:
+            work[step](day)
+        if missing:
+            commits.commit(spark, log, day, missing)
+            done.append(day)
         day += timedelta(days=1)
     return done
