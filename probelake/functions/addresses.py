@@ -75,6 +75,11 @@ def address_bytes(text: Column) -> Column:
     return F.when(text.contains(":"), v6_bytes(text)).otherwise(mapped(v4_bytes(text)))
 
 
+def given(addr: Column) -> Column:
+    """An address that is there: null for one of zeros only (0.0.0.0 or ::), which stands for none."""
+    return F.when((addr != F.unhex(F.lit("00" * 4))) & (addr != F.unhex(F.lit("00" * 16))), addr)
+
+
 def is_mapped(addr: Column) -> Column:
     return (F.length(addr) == 16) & (F.hex(F.substring(addr, 1, 12)) == MAPPED)
 

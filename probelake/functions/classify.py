@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from probelake.functions import schema as S
+from probelake.functions.addresses import given
 
 INTERNAL, FORWARDING, EXTERNAL = 1, 2, 3
 
@@ -53,7 +54,7 @@ def capability_values(origin: Column | None = None) -> dict[str, Column]:
     """Capability key to its value (0 to 3), over the columns of a snapshot."""
     flag = lambda test: F.when(test, S.CAN).otherwise(S.UNKNOWN)
     return {
-        "ipv6": flag(F.col("whoami_6").isNotNull()),
+        "ipv6": flag(given(F.col("whoami_6")).isNotNull()),
         "tcp": F.col("tcp_ipv4"),
         "tcp6": F.col("tcp_ipv6"),
         "ecs": flag((F.col("ecs_mask") != 0) | (F.col("ecs_mask6") != 0)),

@@ -12,7 +12,7 @@ import ipaddress
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probelake.functions.addresses import after_v6, is_mapped, mapped, network_v6, number_v4, prefix_end, v4_number
+from probelake.functions.addresses import after_v6, given, is_mapped, mapped, network_v6, number_v4, prefix_end, v4_number
 
 #: A prefix table up to this number of rows (some 30 bytes each) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -129,7 +129,7 @@ SLOTS = {"auth_g": -1, "auth_a": -1, "auth_6": -1, "res": 0, "nxhj": -1}
 
 
 def enrich(snapshot: DataFrame, probes: DataFrame, prefixes4: DataFrame, prefixes6: DataFrame) -> DataFrame:
-    """A snapshot with auth_g, auth_a, auth_6, prb_4, prb_6, res and nxhj: -1 without an address, 0 if not routed.
+    """A snapshot with auth_g, auth_a, auth_6, prb_4, prb_6, res and nxhj: -1 without an address (or one of zeros), 0 if not routed.
 
     The addresses that are there become rows (entity, slot, ip), so nothing is joined on
     missing ones. Distinct addresses are looked up once; what is found is gathered by entity
@@ -137,9 +137,9 @@ def enrich(snapshot: DataFrame, probes: DataFrame, prefixes4: DataFrame, prefixe
     column ``nth`` count the last of equal prefixes.
     """
     key = ["prb_id", "addr"]
-    wide = lambda c: F.when(F.length(c) == 4, mapped(F.col(c))).otherwise(F.col(c))
+    wide = lambda c: F.when(F.length(given(c)) == 4, mapped(given(c))).otherwise(given(c))
     first = F.try_element_at(F.col("hijacked"), F.lit(1))
-    ips = {"auth_g": wide("whoami_g"), "auth_a": wide("whoami_a"), "auth_6": F.col("whoami_6"), "res": F.col("addr"), "nxhj": F.when(F.length(first) == 4, mapped(first)).otherwise(first)}
+    ips = {"auth_g": wide(F.col("whoami_g")), "auth_a": wide(F.col("whoami_a")), "auth_6": given(F.col("whoami_6")), "res": F.col("addr"), "nxhj": wide(first)}
     slots = F.array(*[F.struct(F.lit(n).alias("slot"), c.alias("ip")) for n, c in ips.items()])
     each = snapshot.select(*key, F.explode(F.filter(slots, lambda s: F.length(s.ip) == 16)).alias("s")).select(*key, "s.slot", "s.ip")
     of = lambda df: "nth" if "nth" in df.columns else None

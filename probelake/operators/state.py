@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from probelake.functions import rules
 from probelake.functions import schema as S
 from probelake.functions.wire import parse_dns
+from probelake.sources.sinks import checkpointed
 
 KEY = ["prb_id", "addr"]
 ORDER = ["time", "stream_ord", "seq"]
@@ -70,34 +71,41 @@ def as_of(rows: DataFrame) -> DataFrame:
     return rows.withColumns({n: rules.running(F.col(n), window, None if n in _NONE else empty if n == "hijacked" else 0) for n in S.ASSIGNED})
 
 
-def clock(time: Column, seen: Column, acc: Column) -> Column:
-    """One step of the throttle: acc is (updated, logged, emitted rows); ``seen`` is the row's number."""
-    late = acc.updated - time > S.LATE
-    updated = F.greatest(acc.updated, time)
-    emits = ~late & (updated - acc.logged > S.QUIET)
-    return (
-        F.when(acc.updated == 0, F.struct(time.alias("updated"), time.alias("logged"), acc.emitted.alias("emitted")))
-        .when(late, acc)
-        .otherwise(F.struct(updated.alias("updated"), F.when(emits, time).otherwise(acc.logged).alias("logged"), F.when(emits, F.concat(acc.emitted, F.array(F.struct(seen.alias("nth"), updated.alias("updated"))))).otherwise(acc.emitted).alias("emitted")))
-    )
-
-
 def throttle(rows: DataFrame, key: list[str], time: str = "time", nth: str = "nth", updated: str | None = None, logged: str | None = None) -> DataFrame:
-    """Key, updated, logged, emitted (array of row number and the clock then): the fold over an entity's rows by number.
+    """Key, updated, logged, emitted (array of row number and the clock then): the throttle over an entity's rows by number.
 
     An event more than an hour before the latest is late and moves nothing. When the
     latest is over an hour after the last logged time, the state is emitted and the
     event's own time is logged. ``updated`` / ``logged`` name columns with carried clocks.
-    The rows of one entity and day are few, so they are folded as one array.
+
+    Only an event later than all before it can emit: after each emission and at the start
+    the latest is within an hour of the logged time. These records are found without the
+    other events: the first row of each second, summed in the tasks, is one if no later
+    second came before it. So what meets in a task is a row for each second of the day at
+    most, however many events an entity has.
     """
-    events = F.array_sort(F.collect_list(F.when(F.col(updated).isNull() if updated else F.lit(True), F.struct(F.col(nth).cast("long").alias("nth"), F.col(time).alias("time")))))
-    start = F.struct(
-        (F.coalesce(F.max(updated), F.lit(0)) if updated else F.lit(0)).cast("long").alias("updated"),
-        (F.coalesce(F.max(logged), F.lit(0)) if logged else F.lit(0)).cast("long").alias("logged"),
-        F.array().cast("array<struct<nth:bigint,updated:bigint>>").alias("emitted"),
+    none = F.lit(None).cast("long")
+    event = F.col(updated).isNull() if updated else F.lit(True)
+    seconds = rows.groupBy(*key, F.col(time).alias("at")).agg(
+        F.min(F.when(event, F.col(nth).cast("long"))).alias("first"), (F.max(updated) if updated else F.max(none)).alias("held_updated"), (F.max(logged) if logged else F.max(none)).alias("held_logged")
     )
-    folded = rows.groupBy(*key).agg(events.alias("events"), start.alias("start"))
-    return folded.select(*key, F.aggregate("events", F.col("start"), lambda acc, e: clock(e.time, e.nth, acc)).alias("c")).select(*key, "c.updated", "c.logged", "c.emitted")
+    later = Window.partitionBy(*key).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    marked = seconds.withColumn("record", F.col("first").isNotNull() & F.coalesce(F.col("first") < F.min("first").over(later), F.lit(True)))
+    records = F.array_sort(F.collect_list(F.when(F.col("record"), F.struct("at", "first"))))
+    entity = marked.groupBy(*key).agg(records.alias("records"), *[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in ("held_updated", "held_logged")])
+    start = F.struct(F.col("held_updated").alias("updated"), F.col("held_logged").alias("logged"), F.array().cast("array<struct<nth:bigint,updated:bigint>>").alias("emitted"))
+
+    def step(acc: Column, r: Column) -> Column:
+        emits = (r["at"] > acc.updated) & (r["at"] - acc.logged > S.QUIET)
+        return (
+            F.when(acc.updated == 0, F.struct(r["at"].alias("updated"), r["at"].alias("logged"), acc.emitted.alias("emitted")))
+            .otherwise(F.struct(
+                F.greatest(acc.updated, r["at"]).alias("updated"), F.when(emits, r["at"]).otherwise(acc.logged).alias("logged"),
+                F.when(emits, F.concat(acc.emitted, F.array(F.struct(r["first"].alias("nth"), r["at"].alias("updated"))))).otherwise(acc.emitted).alias("emitted"),
+            ))
+        )
+
+    return entity.select(*key, F.aggregate("records", start, step).alias("c")).select(*key, "c.updated", "c.logged", "c.emitted")
 
 
 def day_state(observations: DataFrame, previous: DataFrame | None = None, start: Column | None = None, hold: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -123,28 +131,22 @@ def day_state(observations: DataFrame, previous: DataFrame | None = None, start:
     return snapshot, timeline
 
 
-#: Rows of the sample from which the borders of a merge are taken, for each part.
-BORDER_SAMPLE = 20
+#: Bits of a number of monotonically_increasing_id() below the number of the partition (fixed).
+_WITHIN = 33
 
 
 def merge_order(rows: DataFrame, stream: str, time: str, tie: list[str]) -> DataFrame:
     """k-way merge of streams: rows numbered by time, ties to the stream that sorts first, then by ``tie``.
 
-    The order is cut into as many ranges as there are shuffle partitions, at borders from a
-    sample (the smallest hashes); rows are numbered within their range, and the ranges' sizes,
-    a row each, give what lies before. No task sorts more than a range.
+    The engine deals the rows out by ranges of the order and sorts each range. The result
+    is checkpointed, since a second run might cut other ranges; rows are numbered within
+    theirs as they lie, and the ranges' sizes, a row each, give what comes before.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = [time, stream, *tie]
-    sample = rows.select(*columns).orderBy(F.xxhash64(*columns)).limit(parts * BORDER_SAMPLE).sort(*columns).collect()
-    borders = sample[BORDER_SAMPLE // 2 :: BORDER_SAMPLE]
-    place = F.struct(*columns)
-    kinds = {f.name: f.dataType for f in rows.select(*columns).schema}
-    listed = [F.struct(*[F.lit(b[c]).cast(kinds[c]).alias(c) for c in columns]) for b in borders]
-    part = F.size(F.filter(F.array(*listed), lambda b: b <= place)) if listed else F.lit(0)
-    ranged = rows.withColumn("merge_part", part)
-    within = F.row_number().over(Window.partitionBy("merge_part").orderBy(*columns))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(rows.repartitionByRange(parts, *columns).sortWithinPartitions(*columns).withColumn("merge_id", F.monotonically_increasing_id()))
+    part = F.shiftright("merge_id", _WITHIN)
     before = F.coalesce(F.sum("n").over(Window.orderBy("merge_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranged.groupBy("merge_part").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")  # a row for each range
-    return ranged.withColumn("within", within).join(F.broadcast(offsets), "merge_part").withColumn("merge_ord", F.col("within") + F.col("before")).drop("merge_part", "within", "before")
+    offsets = ranged.groupBy(part.alias("merge_part")).agg(F.count("*").alias("n")).withColumn("before", before).drop("n")  # a row for each range
+    numbered = ranged.withColumn("merge_part", part).join(F.broadcast(offsets), "merge_part")
+    return numbered.withColumn("merge_ord", F.col("merge_id").bitwiseAND(F.lit((1 << _WITHIN) - 1)) + 1 + F.col("before")).drop("merge_part", "merge_id", "before")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelake.functions import schema as S
-from probelake.functions.addresses import address_text, v4_text
+from probelake.functions.addresses import address_text, given, v4_text
 from probelake.functions.dates import seconds_text
 
 
@@ -30,6 +33,17 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder that the session names and read back; only a local session may go without one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A long table of the report, partitioned by day, so that a repeated day does not double."""
     write_partitions(report, path, ["day"])
@@ -70,11 +84,11 @@ def timeline_columns() -> list[tuple[str, Column]]:
     out = [
         ("datetime", seconds_text(F.col("updated"))), ("probe ID", F.col("prb_id")), ("probe resolver", address_text(F.col("addr"))),
         # Names of the questions whose answers these are.
-        ("o-o.myaddr.l.google.com TXT", v4_text(F.col("whoami_g"))), ("whoami.akamai.net A", v4_text(F.col("whoami_a"))), ("whoami AAAA", address_text(F.col("whoami_6"))),
-        ("can_ipv6", F.when(F.col("whoami_6").isNotNull(), 1).otherwise(0)), ("can_tcp", F.col("tcp_ipv4")), ("can_tcp6", F.col("tcp_ipv6")), ("ecs_mask", F.col("ecs_mask")), ("ecs_mask6", F.col("ecs_mask6")),
+        ("o-o.myaddr.l.google.com TXT", v4_text(given(F.col("whoami_g")))), ("whoami.akamai.net A", v4_text(given(F.col("whoami_a")))), ("whoami AAAA", address_text(given(F.col("whoami_6")))),
+        ("can_ipv6", F.when(given(F.col("whoami_6")).isNotNull(), 1).otherwise(0)), ("can_tcp", F.col("tcp_ipv4")), ("can_tcp6", F.col("tcp_ipv6")), ("ecs_mask", F.col("ecs_mask")), ("ecs_mask6", F.col("ecs_mask6")),
         ("does_ecs", F.when((F.col("ecs_mask") != 0) | (F.col("ecs_mask6") != 0), 1).otherwise(0)), ("does_flagday", one("does_flagday", S.CAN)),
         ("does_qnamemin", one("qnamemin", S.CAN)), ("doesnt_qnamemin", one("qnamemin", S.CANNOT)),
-        *[(f"hijacked #{k}", v4_text(F.try_element_at(F.col("hijacked"), F.lit(k + 1)))) for k in range(4)],
+        *[(f"hijacked #{k}", v4_text(given(F.try_element_at(F.col("hijacked"), F.lit(k + 1))))) for k in range(4)],
         ("does_nxdomain", one("nxdomain", S.CAN)), ("doesnt_nxdomain", one("nxdomain", S.CANNOT)),
     ]
     for anchor in ("ta_19036", "ta_20326"):

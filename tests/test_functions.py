@@ -76,3 +76,17 @@ def test_dots_within_labels():
     # An answer whose owner is one label with a dot is not that of the question's two labels.
     answer = one + struct.pack("!2HIH", wire.A, 1, 60, 4) + bytes([145, 97, 20, 17])
     assert wire.decode(struct.pack("!6H", 1, 0x8180, 1, 1, 0, 0) + two + struct.pack("!2H", wire.A, 1) + answer)["answers"] == []
+
+
+def test_a_name_with_cname_and_address():
+    """The CNAME is followed first, unless it was asked for."""
+    target = wire.write_name("b.example")
+    records = [("a.example", 1, bytes(4)), ("a.example", 5, target), ("b.example", 1, b"\1\2\3\4")]
+    assert [r["rdata"] for r in wire.decode(wire.encode("a.example", 1, records))["answers"]] == [b"\1\2\3\4"]
+    assert [r["rdata"] for r in wire.decode(wire.encode("a.example", 5, records))["answers"]] == [target]
+
+
+def test_an_address_of_zeros_is_none(spark):
+    rows = spark.createDataFrame([(bytes(4),), (bytes(16),), (None,), (b"\0\0\0\1",), (bytes(15) + b"\1",), (bytes(10) + b"\xff\xff" + bytes(4),)], "a binary")
+    got = [r.g and bytes(r.g) for r in rows.select(addresses.given(F.col("a")).alias("g")).collect()]
+    assert got == [None, None, None, b"\0\0\0\1", bytes(15) + b"\1", bytes(10) + b"\xff\xff" + bytes(4)]

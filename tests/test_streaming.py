@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from probelake.functions import rules
+from probelake.functions import schema as S
 from probelake.operators import state
 from probelake.streaming import state_stream as stream
+from tests.test_state import START, observations
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -35,3 +37,49 @@ def test_clock_of_the_stream():
     assert stream.step_clock(13601, 13601, 10000) == (13601, 13601, False)
     assert stream.step_clock(13601, 13601, 10001) == (13601, 13601, False)
     assert stream.step_clock(10000, 10000, 13601) == (13601, 13601, True)
+
+
+def plain(rows):
+    return sorted(str([bytes(v) if isinstance(v, bytearray) else [bytes(x) for x in v] if isinstance(v, list) else v for v in r]) for r in rows)
+
+
+def test_whole_state_over_days_and_restarts(spark, tmp_path):
+    """Three days in six files, from a batch snapshot, with a restart; an entity that is away for eleven days starts anew."""
+    rnd = random.Random(29)
+    days = [0, 1, 12]
+    frames = []
+    for n in days:
+        rows = sorted(observations(rnd, 70, START + 86_400 * (n + 1)), key=lambda r: r[10])
+        rows = [r for r in rows if n != 1 or r[5] != 1]  # probe 1 is away
+        frames.append(rows)
+    table = lambda rows: spark.createDataFrame([(*r[:3], r[3], *r[4:9]) for r in rows], S.OBSERVATION_SCHEMA)
+    initial = spark.createDataFrame(state.day_state(table(observations(rnd, 60, START)))[0].collect(), state.day_state(table([]))[0].schema)
+    snapshot, timeline = initial, []
+    for n, rows in zip(days, frames, strict=True):
+        held, emitted = state.day_state(table(rows), snapshot, F.lit(str(dt.date(2018, 8, 17) + dt.timedelta(n))))
+        timeline += emitted.collect()
+        snapshot = spark.createDataFrame(held.collect(), held.schema)
+
+    source, out, check = (str(tmp_path / x) for x in ("source", "out", "check"))
+    halves = [part for rows in frames for noon in [rows[len(rows) // 2][10]] for part in ([r for r in rows if r[10] < noon], [r for r in rows if r[10] >= noon])]
+
+    def run(parts):
+        for part in parts:
+            table(part).coalesce(1).write.mode("append").parquet(source)
+            read = spark.readStream.schema(S.OBSERVATION_SCHEMA).parquet(source)
+            query = stream.whole_state_stream(read, initial).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+            query.awaitTermination(300)
+            assert query.exception() is None
+
+    run(halves)  # each part is a restart from the checkpoint
+    names = ["prb_id", "addr", "updated", *state.SNAPSHOT_STATES]
+    assert plain(spark.read.parquet(out).select(*names).collect()) == plain(r for r in spark.createDataFrame(timeline, snapshot.select(*names).schema).select(*names).collect()) and timeline
+    left = stream.read_state(spark, check, F.lit("2018-08-29"))
+    assert plain(left.select(*snapshot.columns).collect()) == plain(snapshot.collect())
+
+
+def test_expiry_is_that_of_the_daily_chain():
+    day = 86_400
+    for updated in (START, START + 1, START + day - 1):
+        at = stream.expiry(updated)
+        assert at % day == 0 and updated < at - S.KEEP_DAYS * day and updated >= at - day - S.KEEP_DAYS * day
