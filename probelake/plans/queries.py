@@ -636,7 +636,7 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "click", F.struct(F.lit(1.5).alias("rt"), F.regexp_replace(F.base64(F.encode(k, "utf-8")), "=", "").alias("abuf"))).alias("result"),
     )
     lines = _events(spark, sf_dir).select(F.to_json(F.struct(F.array(attempt).alias("resultset"), e.alias("prb_id"), F.lit("ignored").alias("extra"))).alias("line"))
-    rows = readers.parse_lines(lines, "line", S.NXDOMAIN, "2024-01-01")
+    rows, _ = readers.parse_lines(lines, "line", S.NXDOMAIN, "2024-01-01")
     message = F.decode("msg", "utf-8")
     return rows.select("prb_id", "seq", "time", addresses.v4_text(F.substring("addr", 13, 4)).alias("address"), "is_error", F.when(F.col("is_error"), F.get_json_object(message, "$.timeout")).otherwise(message).alias("k"))
 

@@ -7,21 +7,29 @@ from pyspark.sql import functions as F
 
 from probelake.functions import schema as S
 from probelake.functions.addresses import address_bytes, base64_bytes, v4_bytes, v4_number
+from probelake.sources import json_scan
 
 
-def observations(raw: DataFrame, msm_id, day) -> DataFrame:
+#: Attempts of an object that a position has room for.
+_ATTEMPTS = 1 << 24
+
+
+def observations(raw: DataFrame, msm_id, day, order: str | None = None) -> DataFrame:
     """Objects of ``RAW_SCHEMA`` to observations: one row per attempt with an address and an answer or an error.
 
     The address is ``dst_addr``, else a ``dst_name`` that is an address literal. An answer
-    beats an error. ``seq`` numbers attempts within their object.
+    beats an error. ``seq`` is the attempt's position: by ``order`` (a column that numbers
+    the objects as their file has them), then by its place in the object, so equal times
+    are no open ties.
     """
-    each = raw.select("prb_id", F.posexplode("resultset").alias("seq", "r")).filter("prb_id is not null")
+    first = F.col(order).cast("long") * _ATTEMPTS if order else F.lit(0)
+    each = raw.select("prb_id", first.alias("first"), F.posexplode("resultset").alias("nth", "r")).filter("prb_id is not null")
     answer = base64_bytes(F.col("r.result.abuf"))
     # An address that is there but is no literal is not replaced by the name.
     addr = F.when(F.col("r.dst_addr").isNotNull(), address_bytes(F.col("r.dst_addr"))).otherwise(address_bytes(F.col("r.dst_name")))
     return (
         each.select(
-            F.lit(msm_id).cast("int").alias("msm_id"), F.lit(day).cast("date").alias("day"), F.col("seq").cast("long").alias("seq"),
+            F.lit(msm_id).cast("int").alias("msm_id"), F.lit(day).cast("date").alias("day"), (F.col("first") + F.col("nth")).alias("seq"),
             F.timestamp_seconds(F.coalesce("r.time", F.lit(0))).alias("time"), F.when(F.col("r.result.rt") >= 0, F.col("r.result.rt")).cast("float").alias("rt"),
             "prb_id", addr.alias("addr"), answer.isNull().alias("is_error"), F.coalesce(answer, F.encode(F.col("r.error"), "utf-8")).alias("msg"),
         )
@@ -30,18 +38,20 @@ def observations(raw: DataFrame, msm_id, day) -> DataFrame:
 
 
 def read_measurements(spark: SparkSession, path: str, msm_id: int, day: str) -> tuple[DataFrame, DataFrame]:
-    """(observations, quarantined rows) of JSON files that hold an array of objects each.
+    """(observations, quarantined objects) of JSON files that hold an array of objects each; a file is as many tasks as it has splits.
 
-    Only the columns of ``RAW_SCHEMA`` are parsed. Objects or files that are no JSON are
-    kept in ``_corrupt_record`` for inspection, never deleted.
+    Only the columns of ``RAW_SCHEMA`` are parsed. What is no JSON object is kept as text
+    with its file and number, never deleted.
     """
-    raw = spark.read.schema(f"{S.RAW_SCHEMA}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return observations(raw.filter("_corrupt_record is null").drop("_corrupt_record"), msm_id, day), raw.filter("_corrupt_record is not null")
+    return parse_lines(json_scan.scan_objects(spark, path), "text", msm_id, day, "number")
 
 
-def parse_lines(lines: DataFrame, column: str, msm_id: int, day: str) -> DataFrame:
-    """The same for a text column with one object in each row."""
-    return observations(lines.select(F.from_json(column, S.RAW_SCHEMA).alias("o")).select("o.*"), msm_id, day)
+def parse_lines(lines: DataFrame, column: str, msm_id: int, day: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same for a text column with one object in each row; ``order``: a column that numbers them. Quarantined rows are whole."""
+    parsed = lines.withColumn("o", F.from_json(column, f"{S.RAW_SCHEMA}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    broken = F.col("o").isNull() | F.col("o._corrupt_record").isNotNull()
+    kept = parsed.filter(~broken).select("o.prb_id", "o.resultset", *([F.col(order).alias("object_order")] if order else []))
+    return observations(kept, msm_id, day, "object_order" if order else None), parsed.filter(broken & F.col(column).isNotNull()).drop("o")
 
 
 def read_observations(spark: SparkSession, path: str, day: str | None = None, until: str | None = None, msm_ids: list[int] | None = None) -> DataFrame:
