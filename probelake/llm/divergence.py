@@ -25,7 +25,7 @@ from probelake.llm.common import ROWS, stage
 #: Documents of its language that a term must be in; what is added to each count; shares are parts of ``UNIT``.
 LEAST_DOCS, PRIOR, UNIT = 30, 5, 1_000_000_000
 #: A term in more groups than this is heavy; groups and (on average) terms of a tile; ranks of the terms.
-LIGHT, TILE_GROUPS, TILE_TERMS, TOP_TERMS = 8, 128, 1024, 50
+LIGHT, TILE_GROUPS, TILE_TERMS, TOP_TERMS = 8, 128, 256, 50
 #: Distinct terms that a worker counts before it passes the counts on; bytes of a text that are split at once.
 HELD, PIECE = 200_000, 1 << 20
 
