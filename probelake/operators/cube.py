@@ -45,6 +45,25 @@ def cube(rows: DataFrame, held: Column, probe: str, depth: int, updated: str | N
     return per_probe.groupBy(*extra, "selection").agg(F.sum("n").alias("n_resolvers"), F.count("probe").alias("n_probes"), *latest)
 
 
+def probe_bitmaps(rows: DataFrame, held: Column, probe: str, depth: int, extra: list[str] | None = None) -> DataFrame:
+    """selection, bucket, probes (a bitmap), n_resolvers, for each group of ``extra`` columns: counters that add up exactly.
+
+    Sums and distinct counts of any union of groups, such as the days of a month, come from
+    their stored rows by ``merged``, without the rows they were made of. A bucket has 32,768
+    probe numbers, so a selection has few, of 4 KB each.
+    """
+    extra = extra or []
+    slim = rows.select(*extra, F.col(probe).cast("long").alias("probe"), F.explode(selections(held, depth)).alias("selection"))
+    return slim.groupBy(*extra, "selection", F.bitmap_bucket_number("probe").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("probe")).alias("probes"), F.count("*").alias("n_resolvers"))
+
+
+def merged(bitmaps: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """selection, n_resolvers, n_probes (distinct), over all rows of ``probe_bitmaps`` or for each group of ``by``."""
+    by = [*(by or []), "selection"]
+    buckets = bitmaps.groupBy(*by, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("probes")).alias("n_probes"), F.sum("n_resolvers").alias("n_resolvers"))
+    return buckets.groupBy(*by).agg(F.sum("n_resolvers").alias("n_resolvers"), F.sum("n_probes").alias("n_probes"))
+
+
 def value_counts(rows: DataFrame, held: Column, probe: str, depth: int, extra: list[str] | None = None, flags: DataFrame | None = None) -> DataFrame:
     """selection, value, n (rows of the selection with the value), n_prbs, for each group of ``extra`` columns.
 

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from probelake.functions.addresses import after_v6, given, is_mapped, mapped, network_v6, number_v4, prefix_end, v4_number
 
-#: A prefix table up to this number of rows (some 30 bytes each) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A prefix table up to this size, at a row's bytes in a hashed relation, is broadcast (two million rows: the whole routing table); beyond it the join shuffles.
+BROADCAST_BYTES, ROW_BYTES = 128 << 20, 64
 
 
 def _hint(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows * ROW_BYTES <= BROADCAST_BYTES else df
 
 
 def network(number: Column, masklen: Column, width: int = 32) -> Column:
@@ -60,6 +60,30 @@ def lpm_v6(addresses: DataFrame, prefixes: DataFrame, ip: str = "ip", order: str
     return best.select(ip, F.coalesce("asn", F.lit(0)).alias("asn"))
 
 
+def crossing(prefixes: DataFrame) -> DataFrame:
+    """The IPv4 prefixes that begin within an earlier range and end after it, with ``crossed``, the end they pass: these do not nest.
+
+    Prefixes are taken as they are given, also where their network has bits beyond the
+    length. By start (the longer range first), the running maximum of the ends shows the
+    range that is still open. An address space block of /8 has all ranges that touch it, so
+    a row is judged in the block where it begins and tasks take blocks apart.
+    """
+    size = 1 << 24
+    till = prefix_end(F.col("network"), F.col("masklen"))
+    rows = prefixes.withColumn("range_end", till)
+    blocks = F.sequence(F.floor(F.col("network") / size), F.floor((F.col("range_end") - 1) / size))
+    each = rows.withColumn("own_block", F.floor(F.col("network") / size)).withColumn("in_block", F.explode(blocks))
+    earlier = Window.partitionBy("in_block").orderBy("network", F.desc("range_end")).rowsBetween(Window.unboundedPreceding, -1)
+    open_end = each.withColumn("crossed", F.max("range_end").over(earlier)).filter("in_block = own_block")
+    return open_end.filter((F.col("crossed") > F.col("network")) & (F.col("range_end") > F.col("crossed"))).select(*prefixes.columns, "crossed")
+
+
+def nested(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prefixes that nest or are disjoint, those that cross another): only the former may be flattened."""
+    bad = crossing(prefixes)
+    return prefixes.join(bad.select("network", "masklen").distinct(), ["network", "masklen"], "left_anti"), bad
+
+
 def flatten_v4(prefixes: DataFrame, order: str | None = None) -> DataFrame:
     """Disjoint half-open ranges (from, till, asn) with the longest prefix's ASN; neighbours of one ASN are one range.
 

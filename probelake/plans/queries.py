@@ -557,10 +557,11 @@ def report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.pivot_report(long, "day", "event_type", "n", _TYPES)
 
 
-@query("SELECT s_suppkey, coalesce(n_name, 'AS' || s_nationkey) AS label FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) ON s_nationkey = n_nationkey")
+@query("SELECT s_suppkey, coalesce(n_name, 'AS' || (s_nationkey + s_suppkey % 2 * 10)) AS label FROM supplier LEFT JOIN nation ON s_nationkey + s_suppkey % 2 * 10 = n_nationkey")
 def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _table(spark, sf_dir, "nation").filter("n_nationkey % 3 <> 0").select(F.concat(F.lit("AS"), "n_nationkey").alias("asn"), F.col("n_name").alias("name"))
-    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("AS"), "s_nationkey").alias("asn"))
+    """Numbers beyond the known ones have no name."""
+    names = _table(spark, sf_dir, "nation").select(F.concat(F.lit("AS"), "n_nationkey").alias("asn"), F.col("n_name").alias("name"))
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("AS"), F.col("s_nationkey") + F.col("s_suppkey") % 2 * 10).alias("asn"))
     return series.with_labels(rows, names).select("s_suppkey", "label")
 
 
@@ -811,3 +812,101 @@ def rewrites_by_asn(spark: SparkSession, sf_dir: str) -> DataFrame:
     timeline = _events(spark, sf_dir).select(F.to_date("ts").alias("dt"), F.col("user_id").alias("prb_id"), F.lit("r").alias("resolver"), slots.alias("hijacked"))
     asns = spark.range(7).select(F.concat(F.lit("h"), "id").alias("ip"), F.col("id").cast("int").alias("asn"))
     return history.rewrites(timeline, asns)["by_asn"].select("asn", "prb_id", "dt")
+
+
+# --- mergeable counters, checks, capability values ----------------------------
+
+
+@query("WITH " + _CUBE_SQL + """
+SELECT date_trunc('month', day)::DATE AS month, selection, count(*) AS n_resolvers, count(DISTINCT user_id) AS n_probes FROM s1 GROUP BY ALL""")
+def monthly_probes_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct probes of a month from the bitmaps of its days."""
+    rows, held = _daily(spark, sf_dir)
+    days = cube.probe_bitmaps(rows, held, "user_id", 1, ["day"])
+    return cube.merged(days.withColumn("month", F.trunc("day", "month")), ["month"])
+
+
+_CROSSING_SQL = """
+  WITH r AS (SELECT s_suppkey, (s_suppkey * 2654435761) % 4294967296 // 256 * 256 AS f, 8 + s_suppkey % 12 AS masklen FROM supplier),
+  x AS (SELECT *, f + (CAST(1 AS BIGINT) << CAST(32 - masklen AS INTEGER)) AS t FROM r)
+"""
+
+
+@query(_CROSSING_SQL + """
+SELECT a.s_suppkey, a.f AS network, CAST(a.masklen AS INTEGER) AS masklen, max(b.t) AS crossed FROM x a JOIN x b ON b.f < a.f OR b.f = a.f AND b.t > a.t GROUP BY ALL HAVING max(b.t) > a.f AND a.t > max(b.t)""")
+def prefix_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes with bits beyond their length, which overlap others in part."""
+    k = F.col("s_suppkey")
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", (F.floor((k * 2654435761) % (1 << 32) / 256) * 256).alias("network"), (F.lit(8) + k % 12).cast("int").alias("masklen"))
+    return netjoin.crossing(rows)
+
+
+@query("""
+WITH x AS (SELECT o_orderkey, o_orderkey % 5 AS six, o_orderkey % 7 AS m4, o_orderkey % 3 AS m6, CAST(o_orderkey % 4 AS INTEGER) AS v, CAST(o_custkey % 4 AS INTEGER) AS w FROM orders)
+SELECT o_orderkey, concat_ws(',', CASE WHEN six > 2 THEN 'can_ipv6' END, CASE WHEN v = 1 THEN 'can_tcp' END, CASE WHEN w = 1 THEN 'can_tcp6' END, CASE WHEN m4 = 1 OR m6 = 2 THEN 'does_ecs' END, CASE WHEN v = 1 THEN 'does_flagday' END,
+  CASE w WHEN 1 THEN 'does_qnamemin' WHEN 2 THEN 'doesnt_qnamemin' END, CASE v WHEN 1 THEN 'does_nxdomain' WHEN 2 THEN 'doesnt_nxdomain' END, CASE w WHEN 1 THEN 'has_ta_19036' WHEN 2 THEN 'hasnt_ta_19036' END, CASE v WHEN 1 THEN 'has_ta_20326' WHEN 2 THEN 'hasnt_ta_20326' END, """
+  + ", ".join(f"CASE {'v' if k % 2 else 'w'} WHEN 1 THEN 'can_{p}' WHEN 2 THEN 'cannot_{p}' WHEN 3 THEN 'broken_{p}' END" for k, p in enumerate(x.split("_", 1)[1] for x in S.PAIRS))
+  + """, CASE w WHEN 1 THEN 'is_internal' WHEN 2 THEN 'is_forwarding' WHEN 3 THEN 'is_external' END) AS held
+FROM x""")
+def capability_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 24 capabilities of raw states; an IPv6 address of zeros is none."""
+    k, v, w = F.col("o_orderkey"), (F.col("o_orderkey") % 4).cast("int"), (F.col("o_custkey") % 4).cast("int")
+    zero, some = F.unhex(F.lit("00" * 16)), F.unhex(F.lit("00" * 15 + "01"))
+    rows = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 5 > 2, some).when(k % 5 > 0, zero).alias("whoami_6"), F.when(k % 7 == 1, 24).otherwise(0).alias("ecs_mask"), F.when(k % 3 == 2, 56).otherwise(0).alias("ecs_mask6"),
+        v.alias("tcp_ipv4"), w.alias("tcp_ipv6"), v.alias("does_flagday"), w.alias("qnamemin"), v.alias("nxdomain"), w.alias("has_ta_19036"), v.alias("has_ta_20326"), w.alias("origin"),
+        *[(v if n % 2 else w).alias(f"{p}_result") for n, p in enumerate(S.PAIRS)],
+    )
+    return rows.select("o_orderkey", F.array_join(cube.held_values(classify.capability_values(F.col("origin")), dict(S.CAPABILITIES)), ",").alias("held"))
+
+
+@query("""
+WITH c AS (SELECT event_type, user_id % 9 AS g, CAST(ts AS DATE) AS day, count(*) AS total, count(*) FILTER (value > 50) AS n FROM events GROUP BY ALL),
+l AS (SELECT event_type, g, max(day) AS day FROM c GROUP BY ALL)
+SELECT event_type, g, day, n, total, round(100.0 * n / total, 6) AS share FROM c JOIN l USING (event_type, g, day)""")
+def latest_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).groupBy("event_type", (F.col("user_id") % 9).alias("g"), F.to_date("ts").alias("day")).agg(F.count("*").alias("total"), F.count_if(F.col("value") > 50).alias("n"))
+    return series.latest_share(rows, ["event_type", "g"], "day", "n", "total").withColumn("share", F.round("share", 6))
+
+
+@query("""
+WITH v AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY ALL), t AS (SELECT CAST(ts AS DATE) AS day, count(*) AS total FROM events GROUP BY 1),
+x AS (SELECT day, 'does_qnamemin' AS label, n FROM v WHERE event_type = 'click' UNION ALL SELECT day, 'doesnt_qnamemin', n FROM v WHERE event_type = 'view'),
+u AS (SELECT * FROM x UNION ALL SELECT t.day, 'unknown', total - coalesce(s, 0) FROM t LEFT JOIN (SELECT day, sum(n) AS s FROM x GROUP BY day) USING (day)),
+f AS (SELECT label, min(day) AS start FROM u WHERE n <> 0 GROUP BY label)
+SELECT day, label, CAST(n AS BIGINT) AS n, round(100.0 * n / total, 6) AS share FROM u JOIN f USING (label) JOIN t USING (day) WHERE day >= start""")
+def property_series_qnamemin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One property's daily series from the tables of a report."""
+    days = _events(spark, sf_dir).select(F.to_date("ts").alias("day"), "event_type", F.lit("").alias("selection"))
+    name = F.when(F.col("event_type") == "click", "does_qnamemin").when(F.col("event_type") == "view", "doesnt_qnamemin").when(F.col("event_type") == "error", "does_flagday")
+    values = days.withColumn("value", name).filter("value is not null").groupBy("day", "selection", "value").agg(F.count("*").alias("n"))
+    base = days.groupBy("day", "selection").agg(F.count("*").alias("n_resolvers"))
+    prop = next(p for p in series.PROPERTIES if p[0] == "qnamemin")
+    return series.property_series(prop, base, values, None, None)
+
+
+@F.arrow_udf(BinaryType())
+def _compressed(ids):
+    import pyarrow as pa
+
+    out = []
+    for n in ids.to_pylist():
+        # The question at 12; the CNAME's owner points to it, its target ends in the question's last label; the address' owner points to that target.
+        name = wire.write_name(f"host{n}.example")
+        target = bytes([5]) + b"alias" + bytes([0xC0, 12 + 1 + len(f"host{n}")])
+        head = wire.encode(f"host{n}.example", wire.A, counts=(2, 0, 0))
+        at = len(head) + 12
+        cname = bytes([0xC0, 12, 0, wire.CNAME, 0, 1, 0, 0, 0, 60, 0, len(target)]) + target
+        a = bytes([0xC0 | at >> 8, at & 255, 0, wire.A, 0, 1, 0, 0, 0, 60, 0, 4, 10, n >> 16 & 255, n >> 8 & 255, n & 255])
+        assert head[12 : 12 + len(name)] == name
+        out.append(head + cname + a)
+    return pa.array(out, pa.binary())
+
+
+@query("""
+SELECT event_id, 'host' || event_id || '.example.' AS qname, 'alias.example.' AS owner, '10.' || (event_id // 65536 % 256) || '.' || (event_id // 256 % 256) || '.' || (event_id % 256) AS answer FROM events""")
+def wire_compressed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with pointers: to the question, into its labels, and to a name that ends in a pointer."""
+    answer = F.try_element_at(F.col("m.answers"), F.lit(1))
+    rows = _events(spark, sf_dir).select("event_id", wire.parse_dns(_compressed("event_id")).alias("m"))
+    return rows.select("event_id", "m.qname", answer["name"].alias("owner"), addresses.v4_text(answer["rdata"]).alias("answer"))
