@@ -74,7 +74,8 @@ class Counter:
         for last, (size, score) in self.machine.iter(word):
             ends[last + 1].append((size, score))
         best: list[float | None] = [0.0] + [None] * n
-        came, unknown = [0] * (n + 1), [False] * (n + 1)
+        # Beside its score an end carries the pieces of its best way, and whether that ends in an unknown character, which joins the next one.
+        count, unknown = [0] * (n + 1), [False] * (n + 1)
         singles, miss = self.singles, self.unknown
         for e in range(1, n + 1):
             found = ends[e]
@@ -86,15 +87,9 @@ class Counter:
                     top, start, odd = at + score, e - size, False
             if word[e - 1] not in singles and (at := best[e - 1]) is not None and (top is None or at + miss > top):
                 top, start, odd = at + miss, e - 1, True
-            best[e], came[e], unknown[e] = top, start, odd
-        pieces, e, fused = 0, n, False
-        while e:
-            if unknown[e]:
-                pieces += len(word[e - 1].encode("utf-8")) if self.bytes else not fused
-            else:
-                pieces += 1
-            fused, e = unknown[e], came[e]
-        return best[n] or 0.0, pieces
+            best[e], unknown[e] = top, odd
+            count[e] = count[start] + (1 if not odd else len(word[e - 1].encode("utf-8")) if self.bytes else not unknown[start])
+        return best[n] or 0.0, count[n]
 
     def count(self, text: str | None) -> tuple[int, float]:
         """Tokens and score of a text; words are cached."""
