@@ -16,6 +16,7 @@ from probelake.functions import addresses, classify, dates, rules, wire
 from probelake.functions import schema as S
 from probelake.operators import cube, gates, history, netjoin, ranking, series, state
 from probelake.sources import readers
+from probelake.sources.sinks import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -225,7 +226,8 @@ def _last_day(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(snapshot, timeline) of the last day; the snapshot of the days before is carried into it."""
     rows = _observations(spark, sf_dir)
     last = F.lit(_table(spark, sf_dir, "events").agg(F.max(F.to_date("ts"))).first()[0])
-    early, _ = state.day_state(rows.filter(F.col("day") < last))
+    # Written once, as the daily job does: each branch of the last day would fold the days before anew.
+    early = checkpointed(state.day_state(rows.filter(F.col("day") < last))[0])
     return state.day_state(rows.filter(F.col("day") == last), early, last)
 
 
