@@ -95,6 +95,17 @@ def histogram(rows: DataFrame, value: Column, held: Column, depth: int, keep: Co
     return slim.groupBy(*extra, "selection", "value").agg(F.count("*").alias("n"))
 
 
+def histograms(rows: DataFrame, values: dict[str, tuple[Column, Column | None]], held: Column, depth: int, extra: list[str] | None = None) -> DataFrame:
+    """family, selection, value, n: the histograms of several dimensions, (value, whether it counts) by family, from one pass.
+
+    A row becomes its selections once and these the row's few values, so a further dimension adds no scan.
+    """
+    extra = extra or []
+    cells = F.array(*[F.when(F.lit(True) if keep is None else keep, F.struct(F.lit(name).alias("family"), value.cast("long").alias("value"))) for name, (value, keep) in values.items()])
+    slim = rows.select(*extra, F.array_compact(cells).alias("cells"), F.explode(selections(held, depth)).alias("selection"))
+    return slim.select(*extra, "selection", F.explode("cells").alias("c")).groupBy(*extra, "selection", "c.family", "c.value").agg(F.count("*").alias("n"))
+
+
 def members(rows: DataFrame, held: Column, probe: str, address: Column, depth: int) -> DataFrame:
     """selection, probe, address: the members of each selection, one row each.
 

@@ -83,19 +83,18 @@ def enriched(snapshot: DataFrame, day: date, probes: DataFrame, prefixes4: DataF
 DIMENSIONS = {"probe": ("probe_asn", None), "resolver": ("resolver_asn", None), "auth": ("auth_asn", None), "nxhj": ("nxhj", F.col)}
 
 
+#: Families of masks by their columns.
+MASKS = {"ECS mask": "ecs_mask", "ECS mask6": "ecs_mask6"}
+
+
 def report_tables(rows: DataFrame, day: date, depth: int, extra: list[str] | None = None, flags: DataFrame | None = None) -> dict[str, DataFrame]:
     """base, values, masks and bands of the enriched ``rows`` by selection, for each group of ``extra`` columns; all long, with the day."""
     extra, held = extra or [], F.col("held_values")
     by = [*extra, "selection"]
-    bands = masks = None
-    for dim, (column, positive) in DIMENSIONS.items():
-        h = cube.histogram(rows, F.col(column), held, depth, positive(column) > 0 if positive else None, extra)
-        own = ranking.bands(h, by, "value", few_groups=not extra).withColumn("dim", F.lit(dim))
-        bands = own if bands is None else bands.unionByName(own)
-    for family, column in (("ECS mask", "ecs_mask"), ("ECS mask6", "ecs_mask6")):
-        h = cube.histogram(rows, F.col(column), held, depth, F.col(column) != 0, extra)
-        own = ranking.top_n(h, by, "value", "n", ranking.TOP_MASKS).withColumnRenamed("value", "mask").withColumn("family", F.lit(family))
-        masks = own if masks is None else masks.unionByName(own)
+    counted = {dim: (F.col(column), positive(column) > 0 if positive else None) for dim, (column, positive) in DIMENSIONS.items()}
+    bands = ranking.bands(cube.histograms(rows, counted, held, depth, extra).withColumnRenamed("family", "dim"), [*by, "dim"], "value", few_groups=not extra)
+    families = {family: (F.col(column), F.col(column) != 0) for family, column in MASKS.items()}
+    masks = ranking.top_n(cube.histograms(rows, families, held, depth, extra), [*by, "family"], "value", "n", ranking.TOP_MASKS).withColumnRenamed("value", "mask")
     base = cube.cube(rows, held, "prb_id", depth, updated="updated", extra=extra).withColumn("datetime", seconds_text(F.col("updated")))
     values = cube.value_counts(rows, held, "prb_id", depth, extra, flags)
     return {n: t.withColumn("day", F.lit(day)) for n, t in (("base", base), ("values", values), ("masks", masks), ("bands", bands))}
