@@ -135,3 +135,20 @@ def test_enrich_equals_plain_lookups(spark):
     want = {r[6]: (asn(r[2], -1), asn(r[3], -1), asn(r[4], -1), asn(r[1], 0), asn(r[5][0] if r[5] else None, -1), {1: 5}.get(r[0], -1), {2: 6}.get(r[0], -1)) for r in rows}
     assert {r.k: (r.auth_g, r.auth_a, r.auth_6, r.res, r.nxhj, r.prb_4, r.prb_6) for r in plan.collect()} == want
     assert plan.count() == len(rows)
+
+
+def test_crossing_prefixes_are_kept_apart(spark):
+    """Ranges in any order over several /8 blocks: those that nest are flattened, those that cross an earlier one come back."""
+    rnd = random.Random(19)
+    rows = sorted({(rnd.randrange(0, 1 << 32, 1 << 20), rnd.choice([6, 8, 9, 12])) for _ in range(60)} | {(0, 6), (0, 12), (1 << 26, 6)})
+    rows = [(n, m, k) for k, (n, m) in enumerate(rows) if n + (1 << 32 - m) <= 1 << 32]
+    end = lambda r: r[0] + (1 << 32 - r[1])
+    want, open_end = set(), 0
+    for r in sorted(rows, key=lambda r: (r[0], -end(r))):
+        if r[0] < open_end < end(r):
+            want.add((*r, open_end))
+        open_end = max(open_end, end(r))
+    good, bad = netjoin.nested(spark.createDataFrame(rows, "network long, masklen int, asn int").repartition(5))
+    assert {(r.network, r.masklen, r.asn, r.crossed) for r in bad.collect()} == want and want
+    kept = {(r.network, r.masklen) for r in good.collect()}
+    assert kept == {(r[0], r[1]) for r in rows} - {(r[0], r[1]) for r in want}
