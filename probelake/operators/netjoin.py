@@ -2,12 +2,14 @@
 
 A direct range join would compare every address with every range. Instead each distinct
 address is expanded to its network at each prefix length that the table has (at most 33
-or 129), which makes an equi-join; the longest match wins.
+or 129), which makes an equi-join with the broadcast table; the longest match wins. A table
+that is too large for that is sorted with the addresses in blocks of the address space.
 """
 
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,30 +36,56 @@ def unique_prefixes(prefixes: DataFrame, order: str | None = None) -> DataFrame:
     return prefixes.groupBy("network", "masklen").agg(pick.alias("asn"))
 
 
-def lpm_v4(addresses: DataFrame, prefixes: DataFrame, ip: str = "ip", order: str | None = None) -> DataFrame:
-    """Distinct IPv4 numbers ``ip`` with their ASN by the longest matching prefix; 0 if none. Prefixes: network, masklen, asn."""
+def _by_length(distinct: DataFrame, table: DataFrame, ip: str, lengths: list[int], rows: int, network_of: Callable) -> DataFrame:
+    """ip, asn (null if none): each address is expanded to its networks at ``lengths``, and the longest that is there wins."""
+    options = distinct.select(ip, F.explode(F.array(*map(F.lit, lengths))).alias("masklen")).withColumn("network", network_of(F.col(ip), F.col("masklen")))
+    found = options.join(_hint(table, rows), ["masklen", "network"], "left")
+    return found.groupBy(ip).agg(F.max_by("asn", F.when(F.col("asn").isNotNull(), F.col("masklen"))).alias("asn"))
+
+
+def _by_order(distinct: DataFrame, table: DataFrame, ip: str, lengths: list[int], block_of: Callable, end_of: Callable) -> DataFrame:
+    """ip, asn (null if none): addresses and prefixes sorted together, block by block.
+
+    Prefixes of one length are disjoint, so the last that begins up to an address is the
+    only one of its length that may hold it. No prefix is longer than its block, so none
+    is copied, and nothing is expanded. IPv4 blocks (/16) have 65,536 addresses at most.
+    """
+    starts = table.select(F.col("network").alias("at"), F.lit(0).alias("kind"), "masklen", F.struct(end_of(F.col("network"), F.col("masklen")).alias("till"), "asn").alias("held"))
+    both = distinct.select(F.col(ip).alias("at"), F.lit(1).alias("kind")).unionByName(starts, allowMissingColumns=True).withColumn("block", block_of(F.col("at")))
+    order = Window.partitionBy("block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    open_at = both.withColumns({f"held_{n}": F.last(F.when(F.col("masklen") == n, F.col("held")), ignorenulls=True).over(order) for n in lengths}).filter("kind = 1")
+    holds = lambda n: F.col(f"held_{n}").isNotNull() & (F.col(f"held_{n}.till").isNull() | (F.col(f"held_{n}.till") > F.col("at")))
+    return open_at.select(F.col("at").alias(ip), F.coalesce(*[F.when(holds(n), F.col(f"held_{n}.asn")) for n in sorted(lengths, reverse=True)]).alias("asn"))
+
+
+def _lpm(addresses: DataFrame, prefixes: DataFrame, ip: str, order: str | None, network_of: Callable, block_of: Callable, block_bits: int, end_of: Callable) -> DataFrame:
+    """A table that may be broadcast is joined by length; of a larger one only the prefixes shorter than a block are, which are few, and the rest by order."""
     table = unique_prefixes(prefixes, order)
-    shapes = table.groupBy("masklen").count().collect()  # at most 33 rows
-    lengths = sorted(r.masklen for r in shapes)
+    shapes = {r.masklen: r["count"] for r in table.groupBy("masklen").count().collect()}  # at most 33 or 129 rows
     distinct = addresses.select(ip).distinct()
-    if not lengths:
+    if not shapes:
         return distinct.withColumn("asn", F.lit(0))
-    options = distinct.select(ip, F.explode(F.array(*map(F.lit, lengths))).alias("masklen")).withColumn("network", network(F.col(ip), F.col("masklen")))
-    best = options.join(_hint(table, sum(r["count"] for r in shapes)), ["masklen", "network"], "left").groupBy(ip).agg(F.max_by("asn", F.when(F.col("asn").isNotNull(), F.col("masklen"))).alias("asn"))
+    small = sum(shapes.values()) * ROW_BYTES <= BROADCAST_BYTES
+    long = [] if small else sorted(n for n in shapes if n >= block_bits)
+    short = sorted(set(shapes) - set(long))
+    parts = []
+    if long:
+        parts.append(_by_order(distinct, table.filter(F.col("masklen") >= block_bits), ip, long, block_of, end_of).withColumn("rank", F.lit(1)))
+    if short:
+        rows = sum(shapes[n] for n in short)
+        parts.append(_by_length(distinct, table.filter(F.col("masklen").isin(short)) if long else table, ip, short, rows, network_of).withColumn("rank", F.lit(0)))
+    best = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy(ip).agg(F.max_by("asn", F.when(F.col("asn").isNotNull(), F.col("rank"))).alias("asn"))
     return best.select(ip, F.coalesce("asn", F.lit(0)).alias("asn"))
 
 
+def lpm_v4(addresses: DataFrame, prefixes: DataFrame, ip: str = "ip", order: str | None = None) -> DataFrame:
+    """Distinct IPv4 numbers ``ip`` with their ASN by the longest matching prefix; 0 if none. Prefixes: network, masklen, asn."""
+    return _lpm(addresses, prefixes, ip, order, network, lambda at: F.shiftright(at, 16), 16, prefix_end)
+
+
 def lpm_v6(addresses: DataFrame, prefixes: DataFrame, ip: str = "ip", order: str | None = None) -> DataFrame:
-    """The same over 16-byte addresses."""
-    table = unique_prefixes(prefixes, order)
-    shapes = table.groupBy("masklen").count().collect()  # at most 129 rows
-    lengths = sorted(r.masklen for r in shapes)
-    distinct = addresses.select(ip).distinct()
-    if not lengths:
-        return distinct.withColumn("asn", F.lit(0))
-    options = distinct.select(ip, F.explode(F.array(*map(F.lit, lengths))).alias("masklen")).withColumn("network", network_v6(F.col(ip), F.col("masklen")))
-    best = options.join(_hint(table, sum(r["count"] for r in shapes)), ["masklen", "network"], "left").groupBy(ip).agg(F.max_by("asn", F.when(F.col("asn").isNotNull(), F.col("masklen"))).alias("asn"))
-    return best.select(ip, F.coalesce("asn", F.lit(0)).alias("asn"))
+    """The same over 16-byte addresses, in blocks of /32."""
+    return _lpm(addresses, prefixes, ip, order, network_v6, lambda at: F.substring(at, 1, 4), 32, after_v6)
 
 
 def crossing(prefixes: DataFrame) -> DataFrame:

@@ -152,3 +152,31 @@ def test_crossing_prefixes_are_kept_apart(spark):
     assert {(r.network, r.masklen, r.asn, r.crossed) for r in bad.collect()} == want and want
     kept = {(r.network, r.masklen) for r in good.collect()}
     assert kept == {(r[0], r[1]) for r in rows} - {(r[0], r[1]) for r in want}
+
+
+@pytest.mark.parametrize("size", [0, 1 << 30])
+def test_lookups_in_a_table_of_any_size(spark, size, monkeypatch):
+    """The same matches if the table may not be broadcast; then long prefixes are found without expanding addresses."""
+    monkeypatch.setattr(netjoin, "BROADCAST_BYTES", size)
+    rnd = random.Random(31)
+    four = {}
+    for _ in range(300):
+        m = rnd.choice([0, 1, 8, 15, 16, 17, 24, 31, 32])
+        four[(rnd.choice([0, 0x0A0A0000, 0xFFFF0000]) | rnd.getrandbits(16) | rnd.choice([0, rnd.getrandbits(32)])) >> 32 - m << 32 - m, m] = rnd.randint(1, 50)
+    ips = [0, (1 << 32) - 1, *[n + rnd.choice([0, -1, (1 << 32 - m) - 1, 1 << 32 - m]) for n, m in four], *[rnd.getrandbits(32) for _ in range(50)]]
+    ips = [x for x in ips if 0 <= x < 1 << 32]
+    got = netjoin.lpm_v4(spark.createDataFrame([(x,) for x in ips], "ip long").repartition(3), spark.createDataFrame([(*k, a) for k, a in four.items()], "network long, masklen int, asn int"))
+    assert {r.ip: r.asn for r in got.collect()} == {x: longest(four, x) for x in ips} and got.count() == len(set(ips))
+    six = {}
+    for _ in range(200):
+        m = rnd.choice([0, 3, 16, 31, 32, 33, 48, 64, 65, 127, 128])
+        x = (0x20010DB8 << 96 | rnd.choice([0, 1, 0xFFFF]) << 80 | rnd.getrandbits(80) * rnd.choice([0, 1])) if rnd.random() < 0.8 else rnd.getrandbits(128)
+        six[x >> 128 - m << 128 - m, m] = rnd.randint(1, 50)
+    ips = [0, (1 << 128) - 1, *[n + rnd.choice([0, -1, (1 << 128 - m) - 1, 1 << 128 - m]) for n, m in six]]
+    ips = [x for x in ips if 0 <= x < 1 << 128]
+    best = lambda x: max(((m, a) for (n, m), a in six.items() if x >> 128 - m << 128 - m == n), default=(0, 0))[1]
+    pack = lambda x: x.to_bytes(16, "big")
+    got = netjoin.lpm_v6(spark.createDataFrame([(pack(x),) for x in ips], "ip binary").repartition(3), spark.createDataFrame([(pack(n), m, a) for (n, m), a in six.items()], "network binary, masklen int, asn int"))
+    assert {bytes(r.ip): r.asn for r in got.collect()} == {pack(x): best(x) for x in ips}
+    one = netjoin.lpm_v4(spark.createDataFrame([(5,)], "ip long"), spark.createDataFrame([(0, 24, 7), (1 << 16, 16, 8)], "network long, masklen int, asn int"))
+    assert ("Window" in one._jdf.queryExecution().executedPlan().toString()) == (size == 0) and one.first().asn == 7
