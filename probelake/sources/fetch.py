@@ -29,8 +29,8 @@ class MeasurementDays(DataSource):
     Options: url (a template with {msm_id}, {start}, {stop}), msm_ids, and first and until
     (days, the second not included; until today if not given); a batch may have pairs
     ('msm_id:day', by commas) instead. For each fetch there is one row without an object
-    that has its status, after the objects; those of a fetch whose status is not 200 do
-    not count.
+    that has its status, after the objects (``nth`` numbers them as they came); those of a
+    fetch whose status is not 200 do not count.
     """
 
     @classmethod
@@ -38,7 +38,7 @@ class MeasurementDays(DataSource):
         return "measurement_days"
 
     def schema(self) -> str:
-        return "msm_id int, day date, status int, object string"
+        return "msm_id int, day date, status int, nth long, object string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -71,15 +71,15 @@ def _fetch(url: str, msm_id: int, day: date) -> Iterator[tuple]:
     status = BROKEN
     try:
         with urllib.request.urlopen(url.format(msm_id=msm_id, start=start, stop=start + 86_400), timeout=300) as got:
-            for text in objects(iter(lambda: got.read(CHUNK), b"")):
-                yield msm_id, day, 200, text.lstrip(" \t\r\n,[")
+            for nth, text in enumerate(objects(iter(lambda: got.read(CHUNK), b""))):
+                yield msm_id, day, 200, nth, text.lstrip(" \t\r\n,[")
             if got.status != 200 or not got.length:  # bytes that were promised and did not come
                 status = got.status
     except urllib.error.HTTPError as e:
         status = e.code
     except (OSError, HTTPException):
         status = BROKEN
-    yield msm_id, day, status, None
+    yield msm_id, day, status, None, None
 
 
 class _Options:
@@ -135,7 +135,7 @@ def store(fetched: DataFrame, raw: str, statuses: str) -> None:
         if whole.isEmpty() and not status.isEmpty():
             raise NothingFetched(", ".join(f"{r.msm_id} {r.day}: {r.status}" for r in status.limit(20).collect()))
         days = held.filter("object IS NOT NULL").join(whole, ["msm_id", "day"])
-        days.select("msm_id", "day", "object").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("msm_id", "day").parquet(raw)
+        days.select("msm_id", "day", "nth", "object").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("msm_id", "day").parquet(raw)
         status.write.mode("append").parquet(statuses)
     finally:
         held.unpersist()

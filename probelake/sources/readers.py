@@ -20,16 +20,16 @@ def observations(raw: DataFrame, msm_id, day, order: str | None = None) -> DataF
     The address is ``dst_addr``, else a ``dst_name`` that is an address literal. An answer
     beats an error. ``seq`` is the attempt's position: by ``order`` (a column that numbers
     the objects as their file has them), then by its place in the object, so equal times
-    are no open ties.
+    are no open ties. ``msm_id`` and ``day`` are values, or columns of ``raw``.
     """
     first = F.col(order).cast("long") * _ATTEMPTS if order else F.lit(0)
-    each = raw.select("prb_id", first.alias("first"), F.posexplode("resultset").alias("nth", "r")).filter("prb_id is not null")
+    each = raw.select("prb_id", F.lit(msm_id).cast("int").alias("msm_id"), F.lit(day).cast("date").alias("day"), first.alias("first"), F.posexplode("resultset").alias("nth", "r")).filter("prb_id is not null")
     answer = base64_bytes(F.col("r.result.abuf"))
     # An address that is there but is no literal is not replaced by the name.
     addr = F.when(F.col("r.dst_addr").isNotNull(), address_bytes(F.col("r.dst_addr"))).otherwise(address_bytes(F.col("r.dst_name")))
     return (
         each.select(
-            F.lit(msm_id).cast("int").alias("msm_id"), F.lit(day).cast("date").alias("day"), (F.col("first") + F.col("nth")).alias("seq"),
+            "msm_id", "day", (F.col("first") + F.col("nth")).alias("seq"),
             F.timestamp_seconds(F.coalesce("r.time", F.lit(0))).alias("time"), F.when(F.col("r.result.rt") >= 0, F.col("r.result.rt")).cast("float").alias("rt"),
             "prb_id", addr.alias("addr"), answer.isNull().alias("is_error"), F.coalesce(answer, F.encode(F.col("r.error"), "utf-8")).alias("msg"),
         )
@@ -46,12 +46,19 @@ def read_measurements(spark: SparkSession, path: str, msm_id: int, day: str) ->
     return parse_lines(json_scan.scan_objects(spark, path), "text", msm_id, day, "number")
 
 
-def parse_lines(lines: DataFrame, column: str, msm_id: int, day: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_fetched(spark: SparkSession, path: str, day: str) -> tuple[DataFrame, DataFrame]:
+    """(observations, quarantined objects) of a day as ``fetch.store`` has it, all measurements."""
+    rows = spark.read.schema("nth long, object string, msm_id int, day date").parquet(path).filter(F.col("day") == F.lit(day).cast("date"))
+    return parse_lines(rows, "object", F.col("msm_id"), F.col("day"), "nth")
+
+
+def parse_lines(lines: DataFrame, column: str, msm_id, day, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The same for a text column with one object in each row; ``order``: a column that numbers them. Quarantined rows are whole."""
     parsed = lines.withColumn("o", F.from_json(column, f"{S.RAW_SCHEMA}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     broken = F.col("o").isNull() | F.col("o._corrupt_record").isNotNull()
-    kept = parsed.filter(~broken).select("o.prb_id", "o.resultset", *([F.col(order).alias("object_order")] if order else []))
-    return observations(kept, msm_id, day, "object_order" if order else None), parsed.filter(broken & F.col(column).isNotNull()).drop("o")
+    named = {"object_msm_id": F.lit(msm_id), "object_day": F.lit(day), **({"object_order": F.col(order)} if order else {})}
+    kept = parsed.filter(~broken).select("o.prb_id", "o.resultset", *[c.alias(n) for n, c in named.items()])
+    return observations(kept, F.col("object_msm_id"), F.col("object_day"), "object_order" if order else None), parsed.filter(broken & F.col(column).isNotNull()).drop("o")
 
 
 def read_observations(spark: SparkSession, path: str, day: str | None = None, until: str | None = None, msm_ids: list[int] | None = None) -> DataFrame:

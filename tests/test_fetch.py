@@ -25,7 +25,7 @@ def server():
             if msm in server.bad:
                 self.send_error(404)
                 return
-            body = json.dumps([{"prb_id": k, "at": start, "s": "}{\\"} for k in range(3)], indent=1).encode()
+            body = json.dumps([{"prb_id": k, "at": start, "s": "}{\\", **server.more} for k in range(3)], indent=1).encode()
             self.send_response(200)
             self.send_header("Content-Length", str(len(body)))
             self.end_headers()
@@ -35,7 +35,7 @@ def server():
             pass
 
     server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
-    server.asked, server.bad, server.cut = Counter(), set(), set()
+    server.asked, server.bad, server.cut, server.more = Counter(), set(), set(), {}
     threading.Thread(target=server.serve_forever, daemon=True).start()
     yield server
     server.shutdown()
@@ -80,3 +80,16 @@ def test_objects_of_any_chunk(size):
     got = list(fetch.objects(iter([data[i : i + size] for i in range(0, len(data), size)])))
     assert [json.loads(t.lstrip(" ,[")) for t in got] == want
     assert list(fetch.objects(iter([b"[]"]))) == [] and list(fetch.objects(iter([]))) == []
+
+
+def test_days_from_the_server_to_observations(spark, tmp_path, server):
+    from probelake.plans import cli
+
+    server.more, server.bad = {"resultset": [{"time": START + 5, "dst_addr": "192.0.2.1", "error": {"timeout": 1}}] * 2}, {2}
+    args = [str(tmp_path / x) for x in ("raw", "statuses", "check", "observations", "quarantine")]
+    assert cli.fetch_days(spark, [1, 2], DAY, DAY + dt.timedelta(2), url(server), *args) == 2
+    rows = spark.read.parquet(args[3]).collect()
+    assert sorted((r.msm_id, r.day, r.prb_id, r.seq) for r in rows) == [(1, DAY + dt.timedelta(d), k, (k << 24) + n) for d in range(2) for k in range(3) for n in range(2)]
+    server.bad = set()
+    assert cli.fetch_days(spark, [1, 2], DAY, DAY + dt.timedelta(2), url(server), *args) == 0
+    assert spark.read.parquet(args[3]).count() == 24 and server.asked[1, 0] == 1
