@@ -123,7 +123,7 @@ ORACLE_SQL: dict[str, str] = {
           UNION ALL SELECT doc_id, 1, b, 0, string_agg(text, ' ' ORDER BY i) FROM run WHERE s > 0 GROUP BY doc_id, b HAVING count(*) > {licenses.WRAP}
           UNION ALL SELECT doc_id, 2, 0, 0, text FROM d),
         split AS (SELECT doc_id, kind, a, b, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM unit),
-        near AS (SELECT * FROM split WHERE len(ws) <= {licenses.MOST_WORDS} AND list_has_any(ws, (SELECT list(DISTINCT w) FROM tw))),
+        near AS (SELECT * FROM split WHERE (kind > 0 OR len(ws) <= {licenses.MOST_WORDS}) AND list_has_any(ws, (SELECT list(DISTINCT w) FROM tw))),
         tf AS (SELECT doc_id, kind, a, b, w, count(*) AS n FROM (SELECT doc_id, kind, a, b, unnest(ws) AS w FROM near) GROUP BY ALL),
         sq AS (SELECT doc_id, kind, a, b, sum(((1 + ln(n)) * v) ** 2) AS q FROM tf JOIN idf USING (w) GROUP BY ALL),
         dot AS (SELECT doc_id, kind, a, b, k, sum((1 + ln(n)) * v * x) AS y FROM tf JOIN idf USING (w) JOIN weight USING (w) GROUP BY ALL),
