@@ -353,11 +353,11 @@ def prefix_overlay_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
   look6 AS (SELECT h, coalesce(arg_max(asn, length(stem)), 0) AS asn FROM ip6 LEFT JOIN p6 ON starts_with(h, stem) GROUP BY h),
   c AS (SELECT c_custkey, (c_custkey * 2654435761) % 4294967296 AS ip FROM customer)
   SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE a.asn END AS auth_g, CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE a.asn END AS auth_a, CASE WHEN c_custkey % 5 = 0 THEN -1 WHEN c_custkey % 5 = 1 THEN a.asn ELSE s.asn END AS auth_6,
-         CASE WHEN c_custkey % 2 = 0 THEN a.asn ELSE s.asn END AS res, CASE WHEN c_custkey % 7 = 0 THEN a.asn ELSE -1 END AS nxhj,
+         CASE WHEN c_custkey % 2 = 0 THEN a.asn ELSE s.asn END AS res, CASE WHEN c_custkey % 7 = 0 AND ip <> 0 THEN a.asn ELSE -1 END AS nxhj,
          CASE WHEN c_custkey % 50 = 0 THEN -1 ELSE CAST(c_custkey % 50 AS INTEGER) END AS prb_4, -1 AS prb_6
   FROM c JOIN look a USING (ip) JOIN ip6 USING (c_custkey) JOIN look6 s USING (h)""")
 def network_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Networks of the five addresses of an entity, IPv4 and IPv6, and of its probe."""
+    """Networks of the five addresses of an entity, IPv4 and IPv6, and of its probe; customer 0's address is all zeros, which is none."""
     ips, six = _net6(spark, sf_dir)
     k = F.col("c_custkey")
     four = addresses.number_v4((k * 2654435761) % (1 << 32))
