@@ -453,11 +453,35 @@ def test_leaks_edges(spark):
     assert decontaminate.find_leaks(docs(spark, ["x"]), benchmark.limit(0)).count() == 0
 
 
-def test_a_benchmark_too_large_is_refused(spark, monkeypatch):
-    benchmark = spark.createDataFrame([(1, " ".join(f"w{n}" for n in range(50)))], "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "MAX_SPACE", 40 * 960)
-    with pytest.raises(ValueError, match="bytes in the latent space"):
-        decontaminate.find_leaks(docs(spark, ["x"]), benchmark)
+def test_a_large_benchmark_is_searched_in_parts(spark, monkeypatch):
+    items = [(n, " ".join(f"w{(n * 37 + k * (n + 1)) % 400}" for k in range(50))) for n in range(12)]
+    benchmark = spark.createDataFrame([*items, (99, items[0][1])], "item_id long, text string")
+    texts = docs(spark, ["some other words before it " + items[n % 12][1] for n in range(15)] + ["nothing of it"])
+    whole = {(r.doc_id, r.item_id, r.place) for r in decontaminate.find_leaks(texts, benchmark).collect()}
+    assert {(n, n % 12) for n in range(15)} <= {(d, i) for d, i, _ in whole} and all(d < 15 for d, *_ in whole)
+    own = list(decontaminate.read_parts(benchmark))
+    monkeypatch.setattr(decontaminate, "MAX_SPACE", 200 * 960)  # some words and passages of four items
+    parts = list(decontaminate.read_parts(benchmark))
+    assert len(own) == 1 and len(parts) > 2 and sorted(i for p in parts for i, *_ in p) == list(range(12))
+    monkeypatch.setattr(decontaminate, "MAX_SPACE", 10 * 200 * 960)
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 5)
+    assert {(r.doc_id, r.item_id, r.place) for r in decontaminate.find_leaks(texts, benchmark).collect()} == whole
+
+
+def test_shared_words_bound_the_subsequence():
+    rnd = random.Random(12)
+    items = [(n, own := rnd.choices([f"w{k}" for k in range(12)], k=rnd.randint(8, 40)), own[:2]) for n in range(6)]
+    index = decontaminate.Index(items)
+    for _ in range(60):
+        ids = np.array([rnd.randint(-1, len(index.vocabulary) - 1) for _ in range(rnd.randint(1, 120))], np.int64)
+        starts = np.arange(0, len(ids), decontaminate.STRIDE)
+        i, q = (x.ravel() for x in np.meshgrid(np.arange(len(starts)), np.arange(len(index.of)), indexing="ij"))
+        kept = index.sharing(ids, starts, i, q)
+        for n, (a, b) in enumerate(zip(starts[i], q, strict=True)):
+            (s, e), numbers = index.span[b], index.numbers[index.of[b]]
+            near = ids[max(a - decontaminate.STRIDE, 0) : a + decontaminate.WINDOW + decontaminate.STRIDE].tolist()
+            both = sum(min(near.count(w), numbers[s:e].count(w)) for w in set(numbers[s:e]))
+            assert kept[n] == (both >= decontaminate.PART * (e - s))
 
 
 def test_licenses(spark):
