@@ -3,8 +3,9 @@
 Passages (windows of ``WINDOW`` words, every ``STRIDE``) are TF-IDF vectors over the
 benchmark's words, with idf from all documents. A randomised SVD gives the latent space:
 its power iterations are products of the passage matrix with a thin block, summed over
-partitions. It is fitted on the benchmark's passages and those of at most
-``SAMPLE_DOCS`` documents (smallest hashes of their ids); every document is searched.
+partitions. The matrix has all passages of the benchmark, which are what is looked for: of
+all spaces of the same rank theirs keeps the most of them, and all of them if they are at
+most ``RANK``. Documents are projected into it and have no part in it, so that it depends on no choice of them.
 Pairs of passages with a latent cosine of ``COSINE`` or more, whose product is not less
 than ``KEPT`` of what a copy would have, are candidates, whatever else the window holds. So
 is, beside the latent space, every place that has the first ``SHORT`` words of a passage,
@@ -19,7 +20,8 @@ is in both, has no such subsequence and is left out before it; that bound is exa
 
 Items of fewer than ``SHORT`` words leak only word for word. A benchmark of more than
 ``MAX_ITEMS`` items, or whose words and passages need more than ``MAX_SPACE`` bytes, is
-searched in parts, each with a latent space of its own.
+searched in parts, each with a latent space of its own. The documents' words become numbers
+for each part; those of a benchmark of one part are written once, then counted and searched.
 """
 
 from __future__ import annotations
@@ -27,18 +29,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probelake.llm.common import ROWS
+from probelake.llm.common import ROWS, stage
 
 WINDOW, STRIDE = 32, 16
 RANK, OVERSAMPLE, ITERATIONS, SEED = 224, 16, 2, 7
-SAMPLE_DOCS, MAX_ITEMS = 64, 50_000
+MAX_ITEMS = 50_000
 #: Bytes of the latent vectors of a part's words and passages, which every task holds (a task of the SVD twice), and of the counts of its words by passage.
 MAX_SPACE = 100_000_000
 COSINE, KEPT, SURE, LIKELY, SHORT = 0.6, 0.45, 0.8, 0.6, 8
@@ -82,15 +84,14 @@ def _indices(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
     return np.fromiter(map(vocabulary.get, own, repeat(-1)), np.int64, len(own))
 
 
-def _seeds(ids: np.ndarray) -> np.ndarray:
-    """A hash of the ``SHORT`` words from each position on."""
-    own = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+def _seeds(runs: np.ndarray) -> np.ndarray:
+    """A hash of each row of ``SHORT`` words."""
+    own = (runs.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     own ^= own >> np.uint64(29)
-    n = len(own) - SHORT + 1
-    out = own[:n].copy()
+    out = own[:, 0].copy()
     for i in range(1, SHORT):
         out *= np.uint64(0xBF58476D1CE4E5B9)
-        out += own[i : i + n]
+        out += own[:, i]
     return out
 
 
@@ -117,10 +118,15 @@ class Index:
         # A window with fewer words of the vocabulary has no passage's least share.
         self.least = min((int(np.ceil(PART * (e - s))) for s, e in self.span), default=0)
         self.seeds: dict[int, list[int]] = {}
-        for q, (k, (s, _)) in enumerate(zip(self.of, self.span, strict=True)):
-            self.seeds.setdefault(int(_seeds(np.array(self.numbers[k][s : s + SHORT], np.int64))[0]), []).append(q)
+        firsts = np.array([self.numbers[k][s : s + SHORT] for k, (s, _) in zip(self.of, self.span, strict=True)], np.int64).reshape(-1, SHORT)
+        for q, h in enumerate(_seeds(firsts).tolist()):
+            self.seeds.setdefault(h, []).append(q)
         self.seeded = np.array(sorted(self.seeds), np.uint64)
-        self.short = [(k, " " + " ".join(t) + " ") for k, (_, t, _) in enumerate(items) if 0 < len(t) < SHORT]
+        # Whether some passage has a word as its first, second and so on; the last column stands for words outside the vocabulary.
+        self.opens = np.zeros((SHORT, len(self.vocabulary) + 1), bool)
+        for i in range(SHORT):
+            self.opens[i, firsts[:, i]] = True
+        self.short = [(k, np.array(own, np.int32).tobytes()) for k, own in enumerate(self.numbers) if 0 < len(own) < SHORT]
 
     def weigh(self, total: int, df: np.ndarray) -> None:
         self.idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
@@ -215,10 +221,14 @@ class Index:
         """(start, query passage, 1) of places with the first words of a passage."""
         found: list[tuple[int, int]] = []
         if len(ids) >= SHORT and len(self.seeded):
-            hashes = _seeds(ids)
+            places = np.arange(len(ids) - SHORT + 1)
+            for i in range(SHORT):
+                places = places[self.opens[i][ids[places + i]]]
+            hashes = _seeds(ids[places[:, None] + np.arange(SHORT)])
             at = np.minimum(np.searchsorted(self.seeded, hashes), len(self.seeded) - 1)
-            for i in np.flatnonzero(self.seeded[at] == hashes).tolist():
-                for q in self.seeds[int(hashes[i])]:
+            for n in np.flatnonzero(self.seeded[at] == hashes).tolist():
+                i = int(places[n])
+                for q in self.seeds[int(hashes[n])]:
                     s = self.span[q][0]
                     if ids[i : i + SHORT].tolist() == self.numbers[self.of[q]][s : s + SHORT]:
                         found.append((i, q))
@@ -227,7 +237,10 @@ class Index:
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, int, bool]]:
         """(item number, cosine, share, first word of the place, answer there) of a text's leaks, one for each item."""
-        ids = _indices(text, self.vocabulary)
+        return self.leaks_of(_indices(text, self.vocabulary))
+
+    def leaks_of(self, ids: np.ndarray) -> list[tuple[int, float, float, int, bool]]:
+        """The same of the numbers of a text's words."""
         start, query, cosine = (np.concatenate(x) for x in zip(self.candidates(ids), self.verbatim(ids), strict=True))
         out: dict[int, tuple[float, float, int, bool]] = {}
         tried: dict[tuple[int, int], tuple[float, bool]] = {}
@@ -254,11 +267,13 @@ class Index:
                 if k not in out or share > out[k][1]:
                     out[k] = (float(cosine[i]), share, max(place, 0), there)
         if self.short:
-            whole = " " + " ".join(words(text)) + " "
+            whole, size = ids.astype(np.int32).tobytes(), np.dtype(np.int32).itemsize
             for k, item in self.short:
                 at = whole.find(item)
+                while at > 0 and at % size:
+                    at = whole.find(item, at + 1)
                 if at >= 0:
-                    out[k] = (1.0, 1.0, whole[:at].count(" "), True)
+                    out[k] = (1.0, 1.0, at // size, True)
         return [(k, *v) for k, v in sorted(out.items())]
 
 
@@ -314,25 +329,46 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
             yield batch.slice(at, ROWS).to_pydict()
 
 
-def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.ndarray]:
-    """Number of rows, and of those with each word. ``docs``: text."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def numbered(slim: DataFrame, vocabulary: dict[str, int], more: list[str]) -> DataFrame:
+    """``slim`` (doc_id, text, more) with the numbers of each text's words in place of it: bytes of 16 bits each, or 32 if the vocabulary is large."""
+    shared = slim.sparkSession.sparkContext.broadcast(vocabulary)
+    kept, kind = ["doc_id", *more], _kind(len(vocabulary))
+    schema = pa.schema([*[(c, pa.int64()) for c in kept], ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _slices(batches):
+            yield pa.RecordBatch.from_pydict({**{k: c[k] for k in kept}, "ids": [_indices(t, shared.value).astype(kind).tobytes() for t in c["text"]]}, schema=schema)
+
+    return slim.select(*kept, "text").mapInArrow(run, "".join(f"`{k}` bigint, " for k in kept) + "ids binary")
+
+
+def _kind(words: int) -> type:
+    return np.int16 if words < 1 << 15 else np.int32
+
+
+def _read(ids: bytes, words: int) -> np.ndarray:
+    return np.frombuffer(ids, _kind(words)).astype(np.int64)
+
+
+def frequencies(rows: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """Number of rows, and of those with each of the ``n`` words. ``rows``: ids."""
     schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        count = np.zeros(len(own) + 1, np.int64)
+        count, last = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
         for c in _slices(batches):
-            for text in c["text"]:
-                count[np.fromiter((own[w] for w in own.keys() & set(words(text))), np.int64)] += 1
-            count[-1] += len(c["text"])
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], schema=schema)
-
-    out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():
+            for own in c["ids"]:
+                ids = _read(own, n)
+                ids = ids[ids >= 0]
+                places = np.arange(len(ids))
+                last[ids] = places
+                count[ids[last[ids] == places]] += 1  # each word at its last place alone
+            count[-1] += len(c["ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(at := np.flatnonzero(count)), pa.array(count[at])], schema=schema)
+
+    out = np.zeros(n + 1, np.int64)
+    for r in rows.select("ids").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():
         out[r.word] = r.n
-    shared.unpersist()
     return int(out[-1]), out[:-1]
 
 
@@ -364,49 +400,33 @@ def _thin_product(rows: DataFrame, index: Index, block: np.ndarray) -> np.ndarra
     return total
 
 
-def latent_space(docs: DataFrame, index: Index, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (words by dimensions) of the TF-IDF matrix of sample and benchmark passages."""
-    spark: SparkSession = docs.sparkSession
-    n = len(index.vocabulary)
-    if not n:
-        return np.zeros((0, 1))
-    shared = spark.sparkContext.broadcast(index.vocabulary)
-    schema = pa.schema([("ids", pa.list_(pa.int64()))])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _slices(batches):
-            rows = []
-            for text in c["text"]:
-                ids = _indices(text, shared.value)
-                for s, e in passages(len(ids)):
-                    own = ids[s:e]
-                    if (own >= 0).any():
-                        rows.append(own[own >= 0].tolist())
-            yield pa.RecordBatch.from_pydict({"ids": rows}, schema=schema)
-
-    # Chosen by hashes alone, so that no task gets other texts than those of the sample; equal rows count once.
-    key = F.struct(F.xxhash64(F.lit(SEED), "doc_id").alias("id"), F.xxhash64(F.col("text").isNull(), "text").alias("text"))
-    chosen = docs.select(key.alias("key")).orderBy("key").limit(SAMPLE_DOCS).select("key.id", "key.text").collect()
-    mine = docs.select("text", key.alias("key")).filter(F.col("key.id").isin([r.id for r in chosen]) & F.col("key.text").isin([r.text for r in chosen]))
-    sample = mine.dropDuplicates(["key"]).select("text").repartition(8).mapInArrow(cut, "ids array<bigint>")
-    own = spark.createDataFrame([(r.tolist(),) for r in index.query_rows()], "ids array<bigint>").coalesce(2)
-    rows = sample.unionByName(own).cache()
-    width = min(n, rank + OVERSAMPLE)
+def latent_space(spark: SparkSession, index: Index, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors (words by dimensions) of the TF-IDF matrix of all passages of the benchmark."""
+    n, own = len(index.vocabulary), index.query_rows()
+    if not own:
+        return np.zeros((n, 1))
+    rows = spark.createDataFrame([(r.tolist(),) for r in own], "ids array<bigint>").coalesce(2).cache()
+    width = min(n, len(own), rank + OVERSAMPLE)
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n, width)))[0]
     for _ in range(ITERATIONS):
         q = np.linalg.qr(_thin_product(rows, index, q))[0]
     small = q.T @ _thin_product(rows, index, q)
     rows.unpersist()
     value, vector = np.linalg.eigh((small + small.T) / 2)
-    return q @ vector[:, np.argsort(-value)[:rank]]
+    # Dimensions that no passage has (repeated passages) would be any directions.
+    best = [i for i in np.argsort(-value)[:rank] if value[i] > 1e-5 * value.max()]
+    return q @ vector[:, best]
 
 
-def build_index(docs: DataFrame, items: list[Item]) -> Index:
-    """``docs``: doc_id, text."""
+def build_index(slim: DataFrame, items: list[Item], more: list[str], write: bool) -> tuple[Index, DataFrame]:
+    """The index of the items, and the numbers of all documents' words, which are written if asked for. ``slim``: doc_id, text and ``more``."""
     index = Index(items)
-    index.weigh(*frequencies(docs, index.vocabulary))
-    index.project(latent_space(docs, index))
-    return index
+    rows = numbered(slim, index.vocabulary, more)
+    if write:
+        rows = stage(rows, "numbers")
+    index.weigh(*frequencies(rows, len(index.vocabulary)))
+    index.project(latent_space(slim.sparkSession, index))
+    return index, rows
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None, more: list[str] | None = None) -> DataFrame:
@@ -420,19 +440,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     more = more or []
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
-    parts = [_search(slim, build_index(slim, items), more) for items in read_parts(benchmark, answer_col=answer_col)]
+    of = read_parts(benchmark, answer_col=answer_col)
+    first = list(islice(of, 2))
+    # Many parts' numbers would fill the disk; they are made again where they are read.
+    parts = [_search(*build_index(slim, items, more, write=len(first) == 1), more) for items in chain(first, of)]
     return reduce(DataFrame.unionAll, parts)
 
 
-def _search(slim: DataFrame, index: Index, more: list[str]) -> DataFrame:
+def _search(index: Index, numbers: DataFrame, more: list[str]) -> DataFrame:
     """The leaks of one part of the benchmark's items."""
-    shared = slim.sparkSession.sparkContext.broadcast(index)
+    shared = numbers.sparkSession.sparkContext.broadcast(index)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64()), ("place", pa.int64()), ("answer", pa.bool_()), *[(m, pa.int64()) for m in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for c in _slices(batches):
-            rows = [(d, own.items[k][0], *rest, *with_) for d, text, *with_ in zip(c["doc_id"], c["text"], *[c[m] for m in more], strict=True) for k, *rest in own.leaks(text)]
+            rows = [(d, own.items[k][0], *rest, *with_) for d, ids, *with_ in zip(c["doc_id"], c["ids"], *[c[m] for m in more], strict=True) for k, *rest in own.leaks_of(_read(ids, len(own.vocabulary)))]
             yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(schema.names)}, schema=schema)
 
-    return slim.mapInArrow(run, "doc_id bigint, item_id bigint, cosine double, share double, place bigint, answer boolean" + "".join(f", `{m}` bigint" for m in more))
+    return numbers.mapInArrow(run, "doc_id bigint, item_id bigint, cosine double, share double, place bigint, answer boolean" + "".join(f", `{m}` bigint" for m in more))

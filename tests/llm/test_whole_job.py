@@ -43,3 +43,33 @@ def test_notices_wrapped_over_comment_lines_are_found(spark):
     rows = [("a/x.py", head + "plain words of a longer text\n" * 80), ("b/y.py", "plain words of a longer text\n" * 80)]
     table = spark.createDataFrame([(n, p, t) for n, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
     assert {r.doc_id: (r.license, r.notices) for r in licenses.scan(table).collect()} == {0: ("GPL-3.0", "GPL-3.0"), 1: (None, "")}
+
+
+def test_the_latent_space_keeps_the_whole_benchmark_whatever_the_documents_are(spark):
+    """Passages of few items are kept whole, and other documents change neither the space nor the cosine of a copy."""
+    rnd = np.random.default_rng(3)
+    items = [(n, " ".join(f"w{x}" for x in rnd.integers(0, 300, 40))) for n in range(30)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    # As many documents as items, each with words of the whole benchmark in an order of its own.
+    noise = [(n, " ".join(f"w{x}" for x in rnd.permutation(300))) for n in range(30)]
+    copies = [(1000 + n, f"before {t} after") for n, t in items]
+    index, rows = decontaminate.build_index(spark.createDataFrame(noise + copies, "doc_id long, text string"), next(decontaminate.read_parts(benchmark)), [], write=True)
+    whole = np.array([np.sqrt(((index.idf[w] * n) ** 2).sum()) for w, n in (np.unique(r, return_counts=True) for r in index.query_rows())])
+    assert np.allclose(index.kept * index.whole, whole, rtol=1e-3)
+    assert rows.count() == 60
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(noise + copies, "doc_id long, text string"), benchmark).collect()}
+    assert found == {(1000 + n, n) for n in range(30)}
+
+
+def test_frequencies_count_each_document_once(spark):
+    vocabulary = {w: i for i, w in enumerate("abc")}
+    docs = spark.createDataFrame([(1, "a a b x"), (2, ""), (3, None), (4, "b a b"), (5, "x y")], "doc_id long, text string")
+    total, df = decontaminate.frequencies(decontaminate.numbered(docs, vocabulary, []), 3)
+    assert (total, df.tolist()) == (5, [2, 2, 0])
+
+
+def test_short_items_are_found_at_words(spark):
+    """Numbers of 16 and 32 bits whose bytes could meet across words."""
+    index = leak_index(["a b", *[f"w{i} x{i} y{i} z{i} p{i} q{i} r{i} s{i} t{i}" for i in range(70)]])
+    assert [(k, place) for k, _, _, place, _ in index.leaks("b a x1 a b a b")] == [(0, 3)]
+    assert index.leaks("a") == index.leaks("b a") == []
