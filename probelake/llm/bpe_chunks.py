@@ -96,7 +96,8 @@ class Encoder:
         added = {t["id"]: t["content"] for t in spec["added_tokens"]}
         if any(len(t.encode()) >= MARGIN for t in added.values()):
             raise ValueError(f"an added token has {MARGIN} bytes or more")
-        letters = dict(zip(map(chr, _byte_letters()), range(256), strict=True))
+        self.model, self.letters = self.own.model, dict(enumerate(_byte_letters()))
+        letters = {chr(c): b for b, c in self.letters.items()}
         size = self.own.get_vocab_size(with_added_tokens=True)
         self.bytes = [b""] * size
         for token, i in self.own.get_vocab(with_added_tokens=True).items():
@@ -118,9 +119,9 @@ class Encoder:
         if new := set(words).difference(self.cache):
             if len(self.cache) + len(new) > CACHE:
                 self.cache, new = {}, set(words)
-            new = list(new)
-            for w, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                first, *rest = e.ids
+            for w in new:
+                # The model alone: the word is parted already and holds no added token, so nothing else of the tokenizer applies to it.
+                first, *rest = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
                 self.cache[w] = array("I", [first | int(FIRST), *rest]).tobytes()
         return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), np.uint32)
 

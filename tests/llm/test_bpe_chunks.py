@@ -100,3 +100,11 @@ def test_nothing_and_the_given_table(spark, own):
     docs = spark.read.parquet(f"{data()}/documents.parquet")
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_chunks.encode(docs, PATH).collect()}
     assert got == {r.doc_id: want(own, r.text) for r in docs.collect()}
+
+
+def test_new_words_of_plain_text_need_the_model_alone(own, monkeypatch):
+    """The whole tokenizer, a batch a text, took most of the time of texts with many new words (its threads wait for each other)."""
+    enc, rnd = bpe_chunks.Encoder(PATH), random.Random(8)
+    text = " ".join("".join(rnd.choices("etaoinshrdluçñéßØ019.-'", k=rnd.randint(1, 18))) for _ in range(4000))
+    monkeypatch.setattr(enc, "own", None)
+    assert enc.encode(text.encode()).tolist() == own.encode(text, add_special_tokens=False).ids
