@@ -11,9 +11,9 @@ without replacement in proportion to the weights.
 ``k`` is either given, or the number of documents that look like the target: those whose
 weight passes the cut that best parts the labelled good documents from the labelled poor
 ones. A sample of that size holds nearly all of them, and chance decides near the border; a
-smaller ``k`` draws among the good ones. The target and the cut are fitted on at most
-``MAX_LABELLED`` labelled rows, those with the smallest hashes of their ids; the raw model
-and the keys cover all rows.
+smaller ``k`` draws among the good ones. Every labelled row counts: half of the good ones
+(by hashes of their ids) are the target, the other half and all poor ones, which the models
+have not seen, fit the cut. The raw model and the keys cover all rows.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelake.llm.common import ROWS, stage, text_hash
 
-BUCKETS, SEED, MAX_LABELLED = 10_000, 17, 20_000
+BUCKETS, SEED = 10_000, 17
 #: N-grams for which a weight stands, and n-grams of ratio one that steady short texts.
 PASSAGE, PRIOR = 40.0, 20.0
 #: Share of the labelled that the cut may give up to lie lower, which keeps more of the good.
@@ -63,15 +63,23 @@ def buckets(text: str | None, n: int = BUCKETS) -> np.ndarray:
     return np.concatenate([h % np.uint64(n - 1) + np.uint64(1), pairs]).astype(np.int64)
 
 
-def labelled_sample(labels: DataFrame, column: str, id_col: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, label (the greatest of repeated ones), held (is it left for the cut?): at most ``most`` rows."""
+def _other_half(id_col: str) -> Column:
+    """Whether a good document is left for the cut."""
+    return F.xxhash64(F.lit(SEED + 1), id_col) % 2 == 0
+
+
+def labelled(labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, label (the greatest of repeated ones), held (is it left for the cut?) of all labelled rows."""
     return (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).dropna()
-        .groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
-        .withColumn("held", (F.col("label") != 1) | (F.xxhash64(F.lit(SEED + 1), "doc_id") % 2 == 0))
+        .groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("held", (F.col("label") != 1) | _other_half("doc_id"))
     )
 
 
+#: Its name from when it took some of the rows.
+labelled_sample = labelled
+
+
 def _counts(n: int) -> tuple:
     schema = pa.schema([("target", pa.bool_()), ("bucket", pa.int32()), ("n", pa.int64())])
 
@@ -80,11 +88,8 @@ def _counts(n: int) -> tuple:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS).to_pydict()
-                for text, held in zip(part["text"], part["held"], strict=True):
-                    c = np.bincount(buckets(text, n), minlength=n)
-                    total[0] += c
-                    if held is False:
-                        total[1] += c
+                for text, target in zip(part["text"], part["target"], strict=True):
+                    total[int(target)] += np.bincount(buckets(text, n), minlength=n)
         for k in (0, 1):
             own = np.flatnonzero(total[k])
             yield pa.RecordBatch.from_arrays([pa.array([k == 1] * len(own), pa.bool_()), pa.array(own.astype(np.int32)), pa.array(total[k][own])], schema=schema)
@@ -92,10 +97,15 @@ def _counts(n: int) -> tuple:
     return run, "target boolean, bucket int, n bigint"
 
 
-def log_ratio(docs: DataFrame, n: int = BUCKETS) -> np.ndarray:
-    """Log of target over raw probability by bucket, with one added to each count. ``docs``: text, held (false: target)."""
+def log_ratio(docs: DataFrame, target: DataFrame, n: int = BUCKETS) -> np.ndarray:
+    """Log of target over raw probability by bucket, with one added to each count. ``docs``: doc_id, text; ``target``: the doc_id of some, each once.
+
+    The texts that can be the target's are dealt out by id to meet it, for it may be too large to broadcast.
+    """
     run, kind = _counts(n)
-    rows = docs.select("text", "held").mapInArrow(run, kind).groupBy("target", "bucket").agg(F.sum("n").alias("n")).collect()  # 2 * n rows at most
+    of = docs.filter(~_other_half("doc_id")).join(target.hint("merge"), "doc_id")
+    texts = docs.select("text", F.lit(False).alias("target")).union(of.select("text", F.lit(True)))
+    rows = texts.mapInArrow(run, kind).groupBy("target", "bucket").agg(F.sum("n").alias("n")).collect()  # 2 * n rows at most
     c = np.ones((2, n))
     for r in rows:
         c[int(r.target), r.bucket] += r.n
@@ -151,16 +161,38 @@ def best_cut(weights: np.ndarray, labels: np.ndarray) -> float:
     return float((w[at] + below) / 2)
 
 
+def cut_of(known: DataFrame) -> float:
+    """``best_cut`` of rows (log_weight, label) at any number of them.
+
+    Equal weights are counted together and dealt out by ranges of the weights; the counts
+    above a range, whose totals are a row each, and the sums within it give the shares.
+    """
+    each = known.groupBy("log_weight").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") != 1).alias("poor"))
+    ranged = stage(each.repartitionByRange("log_weight").withColumn("part", F.spark_partition_id()), "cut")
+    totals = ranged.groupBy("part").agg(F.sum("good").alias("good"), F.sum("poor").alias("poor"))
+    good, poor = totals.agg(F.sum("good"), F.sum("poor")).first()
+    if not good or not poor:
+        return -np.inf
+    higher = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    above = totals.select("part", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}_above") for c in ("good", "poor")])
+    within = Window.partitionBy("part").orderBy(F.desc("log_weight"))
+    share = lambda c, n: (F.col(f"{c}_above") + F.sum(c).over(within)) / F.lit(n)
+    scored = ranged.join(F.broadcast(above), "part").select("log_weight", (share("good", good) - share("poor", poor)).alias("score"))
+    most = scored.agg(F.max("score")).first()[0]
+    at = scored.filter(F.col("score") >= F.lit(most - SLACK)).agg(F.min("log_weight")).first()[0]
+    below = ranged.filter(F.col("log_weight") < F.lit(at)).agg(F.max("log_weight")).first()[0]
+    return (at + (at - 1 if below is None else below)) / 2
+
+
 def log_weight(b: np.ndarray, ratio: np.ndarray) -> float:
     return float(ratio[b].sum()) / (len(b) + PRIOR) * PASSAGE
 
 
-def weights(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED, seed: int = SEED) -> DataFrame:
-    """doc_id, text_hash, label (of the sample's rows that the models have not seen, else null), n_grams, log_weight, key: a row for each row."""
-    sample = F.broadcast(labelled_sample(labels, label_col, most=most))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id", "left")
-    ratio = log_ratio(rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("label", pa.int32()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
+def weights(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """doc_id, text_hash, n_grams, log_weight, key: a row for each row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ratio = log_ratio(rows, labelled(labels, label_col).filter(~F.col("held")).select("doc_id"))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,15 +200,15 @@ def weights(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_c
                 part = batch.slice(at, ROWS)
                 found = [buckets(t, len(ratio)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), part.column("label"), pa.array([len(b) for b in found], pa.int64()), pa.array([log_weight(b, ratio) for b in found], pa.float64())], schema=schema
+                    [part.column("doc_id"), part.column("text_hash"), pa.array([len(b) for b in found], pa.int64()), pa.array([log_weight(b, ratio) for b in found], pa.float64())], schema=schema
                 )
 
-    slim = rows.select("doc_id", text_hash("text").alias("text_hash"), F.when(F.col("held"), F.col("label")).alias("label"), "text")
-    scored = slim.mapInArrow(run, "doc_id bigint, text_hash bigint, label int, n_grams bigint, log_weight double")
+    slim = rows.select("doc_id", text_hash("text").alias("text_hash"), "text")
+    scored = slim.mapInArrow(run, "doc_id bigint, text_hash bigint, n_grams bigint, log_weight double")
     return scored.withColumn("key", F.col("log_weight") + gumbel("doc_id", "text_hash", seed=seed))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """doc_id, text_hash, n_grams, log_weight, key of the sampled rows.
 
     A null or empty text has weight 0, so its key is its Gumbel variable. Without labelled
@@ -185,9 +217,9 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, label_col
     together, so a sample can exceed ``k`` by repeated rows. Texts of any length count whole.
     Labels without a document, and null labels, count for nothing. Other columns are not read.
     """
-    keys = stage(weights(docs, labels, label_col, id_col, text_col, most, seed), "quality")
+    keys = stage(weights(docs, labels, label_col, id_col, text_col, seed), "quality")
     if k is None:
-        known = keys.filter("label is not null").select("log_weight", "label").toPandas()  # the rows of at most ``most`` ids
-        cut = best_cut(known["log_weight"].to_numpy(), known["label"].to_numpy())
+        held = labelled(labels, label_col).filter("held").select("doc_id", "label")
+        cut = cut_of(keys.select("doc_id", "log_weight").join(held.hint("merge"), "doc_id"))
         k = keys.filter(F.col("log_weight") >= F.lit(cut)).count()
     return top_k(keys, "key", k).select("doc_id", "text_hash", "n_grams", "log_weight", "key")

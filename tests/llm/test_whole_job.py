@@ -1,8 +1,10 @@
 """Cases in which the operators once did less than the whole job."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from probelake.llm import decontaminate, licenses
+from probelake.llm import decontaminate, licenses, quality
 
 
 def leak_index(texts, total=10**9, df=10**7):
@@ -73,3 +75,35 @@ def test_short_items_are_found_at_words(spark):
     index = leak_index(["a b", *[f"w{i} x{i} y{i} z{i} p{i} q{i} r{i} s{i} t{i}" for i in range(70)]])
     assert [(k, place) for k, _, _, place, _ in index.leaks("b a x1 a b a b")] == [(0, 3)]
     assert index.leaks("a") == index.leaks("b a") == []
+
+
+def test_every_labelled_row_fits_the_quality_model_and_its_cut(spark):
+    """More than 20,000 of them: the target's counts and the cut are those of all rows."""
+    n = 21_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7, F.lit(" x"), F.col("id") % 11, F.lit(" y"), F.col("id") % 13).alias("text"))
+    labels = docs.select("doc_id", (F.xxhash64("doc_id") % 10 < F.col("doc_id") % 7).cast("int").alias("quality"))
+    half = quality.SEED + 1
+    rows = docs.join(labels, "doc_id").select("*", (F.xxhash64(F.lit(half), "doc_id") % 2 == 0).alias("held")).toPandas()
+    c = np.ones((2, quality.BUCKETS))
+    own = [quality.buckets(t) for t in rows["text"]]
+    for b, good, held in zip(own, rows["quality"], rows["held"], strict=True):
+        c[0] += (count := np.bincount(b, minlength=quality.BUCKETS))
+        c[1] += count if good and not held else 0
+    p = np.log(c / c.sum(1, keepdims=True))
+    want = np.array([quality.log_weight(b, p[1] - p[0]) for b in own])
+    got = quality.weights(docs, labels).toPandas().sort_values("doc_id")["log_weight"].to_numpy()
+    assert np.allclose(got, want[np.argsort(rows["doc_id"])], atol=1e-9)
+    seen = (rows["quality"] != 1) | rows["held"]
+    cut = quality.best_cut(want[seen], rows["quality"].to_numpy()[seen])
+    assert quality.resample(docs, labels).agg(F.countDistinct("doc_id")).first()[0] == (want >= cut).sum()
+
+
+def test_the_cut_of_rows_on_spark_is_the_best_cut(spark):
+    rnd = np.random.default_rng(5)
+    for n, digits in ((2, 3), (40, 1), (3000, 2), (3000, 9)):
+        y = rnd.integers(0, 2, n)
+        y[:2] = 0, 1
+        w = np.round(rnd.normal(y, 1), digits)
+        rows = spark.createDataFrame(list(zip(w.tolist(), y.tolist(), strict=True)), "log_weight double, label int").repartition(3)
+        assert quality.cut_of(rows) == pytest.approx(quality.best_cut(w, y), abs=1e-12)
+    assert quality.cut_of(rows.filter("label = 1")) == quality.cut_of(rows.limit(0)) == -np.inf
